@@ -52,10 +52,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "least")
         small = (
             large.join(low, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v")))

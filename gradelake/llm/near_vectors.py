@@ -51,7 +51,7 @@ def _forest(linked: np.ndarray) -> np.ndarray:
 
 
 def range_join(
-    vectors: DataFrame, threshold: float = 0.93, per_pivot: int = 4096, max_pivots: int = 64, tile: int = 2048,
+    vectors: DataFrame, threshold: float = 0.93, per_pivot: int = 4096, max_pivots: int = 64, tile: int = 1024,
     id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label",
 ) -> DataFrame:
     """All rows of vectors with n_links, component_id and kept.
@@ -92,7 +92,7 @@ def range_join(
 
     placed = cut(classes.select("label", "rep", "n", "embedding").mapInPandas(place, "label: {}, rep: {}, n: long, embedding: array<double>, cells: array<int>".format(*(classes.schema[c].dataType.simpleString() for c in ("label", "rep")))), "placed")
     spread = placed.select("label", "rep", "n", "embedding", F.posexplode("cells").alias("p", "cell")).withColumn("home", F.col("p") == 0)
-    blocks = spread.groupBy("label", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / tile)).cast("int").alias("blocks")).withColumnRenamed("label", "l").withColumnRenamed("cell", "c")
+    blocks = cut(spread.groupBy("label", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / tile)).cast("int").alias("blocks")).withColumnRenamed("label", "l").withColumnRenamed("cell", "c"), "blocks")
     tiled = spread.join(blocks, (F.col("label") == F.col("l")) & (F.col("cell") == F.col("c"))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     as_left = tiled.where("home").withColumn("other", F.explode(every)).select("label", "cell", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left"), "rep", "n", "embedding")
@@ -121,9 +121,10 @@ def range_join(
     found = cut(as_left.unionByName(as_right).groupBy("label", "cell", "i", "j").applyInPandas(join, f"a {kind}, b {kind}, links long"), "links")
     links = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "r")
     roots = components(found.where("a <> b").select("a", "b"))
-    known = (
+    known = cut(
         classes.join(links, F.col("rep") == F.col("r"), "left").join(roots, F.col("rep") == F.col("node"), "left")
-        .select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+        .select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")),
+        "known",
     )
     joined = rows.where("usable").join(known, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e"))).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

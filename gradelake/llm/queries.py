@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradelake.llm import bpe, near_vectors, packing, sharding, token_counts
+from gradelake.llm import bpe, near_vectors, packing, sharding, suffix_dedup, token_counts
 from gradelake.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.range_join(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=200)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -37,6 +41,6 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_embedding_near_dedup, op5_bpe, op6_token_counts, op7_best_fit_packing, op8_sharding)
+    for f in (op1_embedding_near_dedup, op3_suffix_array_dedup, op5_bpe, op6_token_counts, op7_best_fit_packing, op8_sharding)
 }
 ORACLES: dict[str, str] = {}
