@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradelake.llm import bpe, near_vectors, packing, sharding, suffix_dedup, token_counts
+from gradelake.llm import bpe, line_quality, near_vectors, order_minhash, packing, sharding, suffix_dedup, token_counts, toxicity
 from gradelake.llm.common import table
 
 
@@ -19,10 +19,19 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.range_join(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=200)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,8 +48,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_embedding_near_dedup, op3_suffix_array_dedup, op5_bpe, op6_token_counts, op7_best_fit_packing, op8_sharding)
+    for f in (
+        op1_embedding_near_dedup, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_toxicity, op5_bpe, op6_token_counts,
+        op7_best_fit_packing, op8_sharding, op9_quality_rules,
+    )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_quality_rules": line_quality.ORACLE}
