@@ -41,7 +41,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.intercept + self.weights[np.unique(i[self.weights[i] != 0])].sum(), -500, 500))))
 
 
-def train(texts: list[str], toxic: np.ndarray, least: int = 3, z: float = 4.0, steps: int = 300, ridge: float = 1e-4) -> Model:
+def train(texts: list[str], toxic: np.ndarray, least: int = 3, z: float = 3.0, steps: int = 300, ridge: float = 1e-4) -> Model:
     """Logistic regression on the presence of n-grams, each scaled by r = log of its smoothed share of toxic over that of other texts.
 
     n-grams in fewer than `least` texts, or with a ratio less than z standard errors from 0, are left out.
