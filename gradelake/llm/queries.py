@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradelake.llm import bpe, line_quality, near_vectors, order_minhash, packing, sharding, suffix_dedup, token_counts, toxicity
+from gradelake.llm import bpe, line_quality, near_vectors, order_minhash, packing, pii, sharding, suffix_dedup, token_counts, toxicity
 from gradelake.llm.common import table
 
 
@@ -52,11 +52,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.annotate(docs, pii.fit(docs))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_toxicity, op5_bpe, op6_token_counts,
-        op7_best_fit_packing, op8_sharding, op9_quality_rules,
+        op7_best_fit_packing, op8_sharding, op9_quality_rules, op10_pii,
     )
 }
 ORACLES: dict[str, str] = {"op9_quality_rules": line_quality.ORACLE}
