@@ -32,7 +32,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 GROUPS = re.compile(r"\(?[0-9][0-9().-]*(?: [0-9().-]*[0-9][0-9().-]*)+|[^\s<>\"',;]*[0-9@][^\s<>\"',;]*")
 SECRET = re.compile(r"[A-Za-z_]*(?:pass|pwd|secret|token|key)[A-Za-z_]*[=:]\S{6,}\Z|[A-Z]{4}[A-Z0-9]{12,}\Z|(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{16,}\Z")
 NATIONAL = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}\Z|[0-9]{8}[A-Z]\Z|[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{4}){2,}\Z")
-PLAIN = re.compile(r"[(]?[0-9]{1,4}(?:[.,:/-][0-9]{1,4}){0,2}[).%]*\Z|v?[0-9]+(?:\.[0-9]+){0,2}\Z")
+PLAIN = re.compile(r"[(v]?[0-9]{1,6}(?:[.,:/-][0-9]{1,6}){0,2}[).%]*\Z")
 
 
 def luhn(digits: str) -> bool:
@@ -92,10 +92,15 @@ def _plain(kind: str, s: str) -> int:
 
 def _digits(kind: str, s: str) -> int:
     n = sum(c.isdigit() for c in s)
-    return -1 if n < 6 and "@" not in s else 1 if n >= 8 and kind == "number" and re.search(r"[0-9][ .()-]+[0-9]", s) else 0
+    return -1 if n < 6 and not re.search("[A-Za-z@]", s) else 1 if n >= 8 and kind == "number" and re.search(r"[0-9][ .()-]+[0-9]", s) else 0
 
 
-LABELERS = (_regex, _gazetteer, _national, _secret, _plain, _digits)
+def _checksum(kind: str, s: str) -> int:
+    digits = s.replace(" ", "").replace("-", "")
+    return 0 if not (digits.isascii() and digits.isdigit() and 16 <= len(digits) <= 19) else 1 if luhn(digits) else -1
+
+
+LABELERS = (_regex, _gazetteer, _national, _secret, _plain, _digits, _checksum)
 
 
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, tuple[int, ...]]]:
@@ -130,15 +135,16 @@ def features(kind: str, s: str, votes: tuple[int, ...]) -> str:
 
 
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Posterior of being personal data for each vote pattern, given how often it occurs (Dawid and Skene, 1979)."""
-    p = 1 / (1 + np.exp(-2.0 * votes.sum(axis=1)))  # the start: the majority
-    values = np.stack([(votes == v) for v in (-1, 0, 1)])
+    """Posterior of being personal data for each vote pattern, given how often it occurs (after Dawid and Skene, 1979).
+
+    A labeler has one reliability, how often its votes are right; no vote says nothing. Reliabilities start at 0.8, weigh as 10 votes there, and stay within 0.55 and 0.99.
+    """
+    p, voted = np.full(len(votes), 0.5), votes != 0
     for _ in range(rounds):
-        given = [(values * (w * counts)[None, :, None]).sum(axis=1) + 0.5 for w in (1 - p, p)]
-        given = [g / g.sum(axis=0) for g in given]
-        prior = ((p * counts).sum() + 1) / (counts.sum() + 2)
-        odds = math.log(prior / (1 - prior)) + (values * (np.log(given[1]) - np.log(given[0]))[:, None, :]).sum(axis=(0, 2))
-        new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        right = np.where(votes > 0, p[:, None], 1 - p[:, None]) * voted if _ else 0.8 * voted
+        reliability = np.clip(((right * counts[:, None]).sum(axis=0) + 8) / ((voted * counts[:, None]).sum(axis=0) + 10), 0.55, 0.99)
+        prior = np.clip(((p * counts).sum() + 5) / (counts.sum() + 10), 0.2, 0.5)
+        new = 1 / (1 + np.exp(-(votes * np.log(reliability / (1 - reliability))).sum(axis=1) - math.log(prior / (1 - prior))))
         if np.abs(new - p).max(initial=0) < 1e-6:
             break
         p = new
