@@ -106,7 +106,7 @@ def lead_verdict(cells: DataFrame) -> DataFrame:
     noise = F.broadcast(rep_noise(cells, ok_only=True).select("noise"))
     se = F.col("sd") / F.sqrt("items")
     real = (F.col("lead") > 2 * se) & (F.col("items") >= 3) & (F.col("noise").isNull() | (F.col("lead") > F.col("noise")))
-    return d.join(noise, F.lit(True)).select(F.col("v1").alias("best"), F.col("v2").alias("second"), "lead", se.alias("se"), "noise", "items", real.alias("probably_real"))
+    return d.join(noise, F.lit(True)).select(F.col("v1").alias("best"), F.col("v2").alias("runner_up"), "lead", se.alias("se"), "noise", "items", real.alias("probably_real"))
 
 
 def effects(cells: DataFrame, factor: str, base: str, metrics: tuple[str, ...]) -> DataFrame:
