@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ def _pivots(classes: DataFrame, n: int) -> np.ndarray:
     return p / np.linalg.norm(p, axis=1, keepdims=True) if len(p) else p
 
 
-def _unit(embeddings: pd.Series) -> np.ndarray:
-    x = np.array(embeddings.tolist(), dtype=np.float64)
+def _unit(embeddings: pa.Array) -> np.ndarray:
+    x = embeddings.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(embeddings), -1)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the squares
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -51,7 +52,7 @@ def _forest(linked: np.ndarray) -> np.ndarray:
 
 
 def range_join(
-    vectors: DataFrame, threshold: float = 0.93, per_pivot: int = 4096, max_pivots: int = 64, tile: int = 1024,
+    vectors: DataFrame, threshold: float = 0.93, per_pivot: int = 16384, max_pivots: int = 64, tile: int = 1024,
     id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label",
 ) -> DataFrame:
     """All rows of vectors with n_links, component_id and kept.
@@ -64,8 +65,8 @@ def range_join(
     rows that share an id are one node. Other columns of the input, whatever their names, are not looked at.
     per_pivot, max_pivots: a pivot for so many classes, up to a bound. tile: cells of more rows are joined as blocks of about so many.
     """
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(group_col).alias("label"))
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(group_col).alias("label"))
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf")))
     usable = F.coalesce(F.forall("embedding", fine) & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = rows.withColumn("usable", usable)
     good = rows.where("usable")
@@ -74,23 +75,24 @@ def range_join(
     pivots = _pivots(classes, max(1, min(max_pivots, -(-n_classes // per_pivot))))
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each class with the cells that must see it; the first is its home."""
         between = np.linalg.norm(pivots[:, None] - pivots[None], axis=2)
         for b in batches:
-            cells = [[0]] * len(b)
-            whole = np.flatnonzero(b["embedding"].map(len).to_numpy() == pivots.shape[1])
+            cells = [[0]] * b.num_rows
+            whole = np.flatnonzero(pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False) == pivots.shape[1])
             if len(whole):
-                x = _unit(b["embedding"].iloc[whole])
+                x = _unit(b.column(3).take(pa.array(whole)))
                 square = 2 - 2 * (x @ pivots.T)
                 home = square.argmin(axis=1)
                 least = square[np.arange(len(x)), home]
                 near = square - least[:, None] <= 2 * radius * between[home] + SLACK
                 for i, k in enumerate(whole):
                     cells[k] = [int(home[i]), *(int(c) for c in np.flatnonzero(near[i]) if c != home[i])]
-            yield b.assign(cells=cells)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], [*b.schema.names, "cells"])
 
-    placed = cut(classes.select("label", "rep", "n", "embedding").mapInPandas(place, "label: {}, rep: {}, n: long, embedding: array<double>, cells: array<int>".format(*(classes.schema[c].dataType.simpleString() for c in ("label", "rep")))), "placed")
+    kinds = {c: classes.schema[c].dataType.simpleString() for c in ("label", "rep", "embedding")}
+    placed = cut(classes.select("label", "rep", "n", "embedding").mapInArrow(place, f"label {kinds['label']}, rep {kinds['rep']}, n long, embedding {kinds['embedding']}, cells array<int>"), "placed")
     spread = placed.select("label", "rep", "n", "embedding", F.posexplode("cells").alias("p", "cell")).withColumn("home", F.col("p") == 0)
     blocks = cut(spread.groupBy("label", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / tile)).cast("int").alias("blocks")).withColumnRenamed("label", "l").withColumnRenamed("cell", "c"), "blocks")
     tiled = spread.join(blocks, (F.col("label") == F.col("l")) & (F.col("cell") == F.col("c"))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -98,27 +100,30 @@ def range_join(
     as_left = tiled.where("home").withColumn("other", F.explode(every)).select("label", "cell", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left"), "rep", "n", "embedding")
     as_right = tiled.withColumn("other", F.explode(every)).select("label", "cell", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"), "rep", "n", "embedding")
 
-    def join(g: pd.DataFrame) -> pd.DataFrame:
-        """Of one tile: how many rows each left class links with, and a spanning forest of the links."""
-        out = []
-        for _, part in g.groupby(g["embedding"].map(len)):
-            a, b = part[part["left"]], part[~part["left"]]
+    def join(g: pa.Table) -> pa.Table:
+        """Of one tile: how many rows each left class links with (a = b), and a spanning forest of the links (a <> b)."""
+        g, out = g.combine_chunks(), []
+        size = pc.list_value_length(g["embedding"])
+        for n in pc.unique(size).to_pylist():
+            own = g.filter(pc.equal(size, n))
+            a, b = own.filter(own["left"]), own.filter(pc.invert(own["left"]))
             if not len(a) or not len(b):
                 continue
-            linked = _unit(a["embedding"]) @ _unit(b["embedding"]).T >= threshold
-            ids_a, ids_b, n_b = a["rep"].to_numpy(), b["rep"].to_numpy(), b["n"].to_numpy()
+            linked = _unit(a["embedding"].combine_chunks()) @ _unit(b["embedding"].combine_chunks()).T >= threshold
+            ids_a, ids_b = a["rep"].to_numpy(), b["rep"].to_numpy()
             linked &= ids_a[:, None] != ids_b[None]
-            links = linked @ n_b
+            links = linked @ b["n"].to_numpy()
             some = links > 0
-            out.append(pd.DataFrame({"a": ids_a[some], "b": ids_a[some], "links": links[some]}))
+            out.append((ids_a[some], ids_a[some], links[some]))
             label, ids = _forest(linked), np.concatenate([ids_a, ids_b])
             for k in np.unique(label[label >= 0]):
                 members = np.unique(ids[label == k])
-                out.append(pd.DataFrame({"a": members[1:], "b": members[0], "links": 0}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "links": []})
+                out.append((members[1:], np.repeat(members[:1], len(members) - 1), np.zeros(len(members) - 1, np.int64)))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
+        kind = g.schema.field("rep").type
+        return pa.table({"a": pa.array(columns[0]).cast(kind), "b": pa.array(columns[1]).cast(kind), "links": pa.array(columns[2], pa.int64())})
 
-    kind = classes.schema["rep"].dataType.simpleString()
-    found = cut(as_left.unionByName(as_right).groupBy("label", "cell", "i", "j").applyInPandas(join, f"a {kind}, b {kind}, links long"), "links")
+    found = cut(as_left.unionByName(as_right).groupBy("label", "cell", "i", "j").applyInArrow(join, f"a {kinds['rep']}, b {kinds['rep']}, links long"), "links")
     links = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "r")
     roots = components(found.where("a <> b").select("a", "b"))
     known = cut(
