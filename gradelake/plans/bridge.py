@@ -31,6 +31,10 @@ RELATIONS: dict[str, str] = {
             case when doc_id % 3 = 0 then null else timestamp '2024-01-01 00:00:00' + doc_id % 1000 * interval '1' hour end listed_at,
             timestamp '2024-01-01 00:00:00' + doc_id % 777 * interval '1' hour fetched_at
         from documents""",
+    # documents as Markdown: two sections, a badge and a link in every fifth
+    "md_docs": """
+        select doc_id, lang, concat('https://github.com/', source, '/doc', cast(doc_id as string)) url, concat('# Doc ', cast(doc_id as string), chr(10), substr(text, 1, cast(floor(length(text) / 3) as int)), chr(10), chr(10), '## Part B', chr(10),
+            substr(text, cast(floor(length(text) / 3) as int) + 1), case when doc_id % 5 = 0 then concat(chr(10), chr(10), '![badge](https://img.example/x.svg) see [the docs](https://example.org/a?b=c).') else '' end) text from documents""",
     # generated quizzes
     "quizzes": """
         select o_orderkey quiz_id, o_custkey owner, o_orderkey % 500 source_id, o_orderdate created_at, o_shippriority_ idem,
