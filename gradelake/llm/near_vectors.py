@@ -28,7 +28,7 @@ def _pivots(classes: DataFrame, n: int) -> np.ndarray:
     dims = [len(r[0]) for r in rows]
     size = max(set(dims), key=dims.count) if dims else 0
     p = np.array([r[0] for r in rows if len(r[0]) == size], dtype=np.float64)
-    return p / np.linalg.norm(p, axis=1, keepdims=True) if len(p) else p
+    return p / np.linalg.norm(p, axis=1, keepdims=True) if len(p) else np.zeros((0, 0))
 
 
 def _unit(embeddings: pa.Array) -> np.ndarray:
