@@ -31,7 +31,7 @@ def shards(
     total = docs.count()
     parts = 1 << max(6, min(16, (max(1, total // rows_per_part) - 1).bit_length()))  # at most 65,536: what is broadcast below
     source = F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col("__source")), F.lit("-")))
-    rows = rows.withColumn("__key", source).withColumn("__part", F.conv(F.substring("__order", 1, 4), 16, 10).cast("int") % parts)
+    rows = rows.withColumn("__key", source).withColumn("__part", F.shiftright(F.conv(F.substring("__order", 1, 4), 16, 10).cast("int") * parts, 16))
 
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("__key", "__part").agg(F.count(F.lit(1)).alias("n"))
