@@ -1,0 +1,71 @@
+"""Keyword rules against instructions aimed at a model: a grammar of verbs and objects in three languages, one rule for each pairing.
+
+A rule is (id, category, language, pattern, sentence it must match). Patterns are for Python's re, without look-behind of variable length.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+#: Words of the grammar. Verbs that cancel instructions, what they cancel, and so on, by language.
+VOCABULARY = {
+    "en": {
+        "cancel": "ignore|disregard|forget|skip|override|bypass|do not follow|stop following", "told": "instructions?|rules?|guidelines?|directions?|prompts?|orders?", "before": "all|any|previous|prior|above|earlier|your|the|these|those|of",
+        "reveal": "reveal|print|show|repeat|output|display|disclose|leak|write out", "secret": "system prompt|hidden prompt|initial instructions|your instructions|system message|secret key",
+        "become": "you are now|act as|pretend to be|pretend you are|behave as|roleplay as|from now on you are", "persona": "an?|the|my|unrestricted|evil|dan", "mode": "developer mode|jailbreak mode|god mode|debug mode|unrestricted mode|dan mode", "enter": "enable|enter|activate|switch to|you are in",
+        "reply": "reply|respond|answer", "only": "only with|with only|only|exclusively with", "key": "the correct answer is always|mark (?:option )?[a-d] as correct|every answer must be", "swap": "instead of (?:the|a) quiz|do not (?:generate|write|create) (?:the |a )?(?:quiz|questions)|write a poem instead",
+        "put": "include|insert|add|put|place", "link": "(?:this|the|a) (?:link|url|image|address)", "where": "in|into|to", "target": "(?:the |every |each )?(?:first )?(?:question|answer|explanation|quiz)s?", "fence": "end of (?:the )?document|new instructions?:|begin system|system override",
+    },
+    "es": {
+        "cancel": "ignora|ignore|olvida|olvide|descarta|omite|no sigas", "told": "instrucciones|reglas|indicaciones|[oó]rdenes", "before": "todas|las|los|anteriores|previas|tus|sus|estas", "reveal": "revela|muestra|imprime|repite|escribe", "secret": "prompt del sistema|instrucciones iniciales|tus instrucciones|mensaje del sistema",
+        "become": "ahora eres|act[uú]a como|finge ser|comp[oó]rtate como", "persona": "una?|el|la|mi", "mode": "modo desarrollador|modo sin restricciones|modo jailbreak", "enter": "activa|entra en|cambia a|est[aá]s en", "reply": "responde|contesta", "only": "solo con|s[oó]lo con|[uú]nicamente con",
+        "key": "la respuesta correcta es siempre|marca la opci[oó]n [a-d] como correcta", "swap": "en lugar del cuestionario|no (?:generes|escribas|crees) (?:el |un )?(?:cuestionario|preguntas)", "put": "incluye|inserta|a[nñ]ade|pon", "link": "(?:este|el|un) (?:enlace|url|v[ií]nculo)|(?:esta|la|una) imagen",
+        "where": "en|a", "target": "(?:la |cada )?(?:primera )?(?:pregunta|respuesta|explicaci[oó]n)s?", "fence": "fin del documento|nuevas instrucciones:",
+    },
+    "pt": {
+        "cancel": "ignore|ignora|esque[cç]a|desconsidere|descarte|n[aã]o siga", "told": "instru[cç][oõ]es|regras|orienta[cç][oõ]es|ordens", "before": "todas|as|os|anteriores|pr[eé]vias|suas|tuas|estas", "reveal": "revele|mostre|imprima|repita|escreva", "secret": "prompt do sistema|instru[cç][oõ]es iniciais|suas instru[cç][oõ]es|mensagem do sistema",
+        "become": "agora voc[eê] [eé]|aja como|finja ser|comporte-se como", "persona": "uma?|o|a|meu", "mode": "modo desenvolvedor|modo sem restri[cç][oõ]es|modo jailbreak", "enter": "ative|entre no|mude para o|voc[eê] est[aá] no", "reply": "responda|retorne", "only": "apenas com|somente com|s[oó] com",
+        "key": "a resposta correta [eé] sempre|marque a op[cç][aã]o [a-d] como correta", "swap": "em vez do question[aá]rio|n[aã]o (?:gere|escreva|crie) (?:o |um )?(?:question[aá]rio|quiz|perguntas)", "put": "inclua|insira|adicione|coloque", "link": "(?:este|o|um) (?:link|url|endere[cç]o)|(?:esta|a|uma) imagem",
+        "where": "em|na|no", "target": "(?:a |na |cada )?(?:primeira )?(?:pergunta|resposta|explica[cç][aã]o)s?", "fence": "fim do documento|novas instru[cç][oõ]es:",
+    },
+}
+#: Which words make a rule of which category, in this order, with up to so many others between.
+SHAPES = (
+    ("override", ("cancel", "told"), 4), ("prompt_leak", ("reveal", "secret"), 3), ("role_hijack", ("become", "persona"), 0), ("mode_switch", ("enter", "mode"), 2), ("output_hijack", ("reply", "only"), 1), ("output_hijack", ("key",), 0),
+    ("task_swap", ("swap",), 0), ("exfiltration", ("put", "link", "where", "target"), 2), ("delimiter", ("fence",), 0),
+)
+MARKUP = re.compile(r"(?i)<\|(?:im_start|im_end|endoftext|system|user|assistant|eot_id|begin_of_text)\|>|\[/?INST\]|<</?SYS>>")
+
+
+@dataclass(frozen=True)
+class Rule:
+    id: str
+    category: str
+    lang: str
+    pattern: re.Pattern[str]
+
+    @property
+    def imperative(self) -> bool:
+        return self.category != "prompt_leak"
+
+
+def _build() -> tuple[Rule, ...]:
+    out = []
+    for lang, words in VOCABULARY.items():
+        for i, (category, parts, gap) in enumerate(SHAPES):
+            between = r"\W+" + (rf"(?:\w+\W+){{0,{gap}}}?" if gap else "")
+            body = between.join(f"(?:{words[p]})" for p in parts)
+            out.append(Rule(f"{lang}-{category}-{i}", category, lang, re.compile(rf"(?i)(?<!\w)(?:{body})(?!\w)" if parts != ("fence",) else rf"(?i)(?<!\w)(?:{body})")))
+    return tuple(out)
+
+
+RULES = _build()
+#: One cheap look for any first word, so most lines meet no rule at all. The same text serves Spark's rlike.
+TRIGGER = r"(?i)(?:" + "|".join(words[parts[0]] for words in VOCABULARY.values() for _, parts, _ in SHAPES) + ")"
+_TRIGGER = re.compile(TRIGGER)
+
+
+def matching(text: str) -> list[Rule]:
+    """Rules that match a text (raw or normalised)."""
+    return [r for r in RULES if r.pattern.search(text)] if _TRIGGER.search(text) else []
