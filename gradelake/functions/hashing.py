@@ -20,8 +20,6 @@ def content_hash(text: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over UTF-16 units, as the sum over a string's characters in order; characters beyond the basic plane count as two units."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    point = lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("long")
-    units = F.flatten(F.transform(chars, lambda c: F.when(point(c) < 65536, F.array(point(c))).otherwise(F.array(F.lit(55296) + F.shiftright(point(c) - 65536, 10), F.lit(56320) + (point(c) - 65536) % 1024))))
+    """32-bit FNV-1a over UTF-16 units, in order."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), 1), lambda u: F.conv(u, 16, 10).cast("long"))
     return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: (h.bitwiseXOR(u) * 16777619) % 4294967296)
