@@ -124,3 +124,13 @@ def phase_updates(stream: DataFrame) -> DataFrame:
         yield pd.DataFrame({"quiz_id": [key[0]], "status": [finished or "generating"], "steps": [step], "ignored": [ignored]})
 
     return stream.groupBy("quiz_id").applyInPandasWithState(apply, "quiz_id long, status string, steps int, ignored int", "finished string, step int, ignored int", "update", GroupStateTimeout.NoTimeout)
+
+
+def stream_admission(stream: DataFrame, table: str, checkpoint: str, allowed: tuple[str, ...] = ("en", "pt", "es")) -> None:
+    """Admit arriving documents (doc_id, text): each micro-batch writes its outcomes to a folder of its own under table, so a batch that is tried again replaces itself. Reads take the last batch of an id."""
+    from gradelake.guard.inspect import admit_documents
+
+    def admit(batch: DataFrame, batch_id: int) -> None:
+        admit_documents(batch, allowed=allowed).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(admit).start().awaitTermination()
