@@ -64,4 +64,11 @@ QUERIES = {
         op7_best_fit_packing, op8_sharding, op9_quality_rules, op10_pii,
     )
 }
-ORACLES: dict[str, str] = {"op9_quality_rules": line_quality.ORACLE}
+OP1_SQL = """
+with recursive v as (select vec_id, label, cast(embedding as double[]) e from embeddings where label is not null and vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+n as (select *, sqrt(list_dot_product(e, e)) norm from v where list_dot_product(e, e) > 0),
+link as (select a.vec_id a, b.vec_id b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join link l on r.b = l.a)
+select e.vec_id, (select count(*) from link where a = e.vec_id) n_links, r.b component_id, r.b = e.vec_id kept from embeddings e join (select a, min(b) b from reach group by a) r on r.a = e.vec_id
+"""
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL, "op9_quality_rules": line_quality.ORACLE}
