@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ SHALLOW = 32
 
 
 def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of the texts: (index of the text, first string's start, number of strings, anchor's place, anchor's hash)."""
+    """Segments of the texts: (index of the text, first string's start, number of strings, anchor's place, hash of the anchor and half the string beside it)."""
     out: list[tuple[np.ndarray, ...]] = []
     part: list[tuple[int, int, bytes]] = []
     size = 0
@@ -70,8 +71,20 @@ def _block(part: list[tuple[int, int, bytes]], width: int) -> tuple[np.ndarray,
     n = np.diff(np.r_[first, len(start)])
     s0, a = start[first], place[first]
     own = np.searchsorted(ends, s0, side="right")
+    # of a string, half of what is not the anchor lies on its left or on its right: that half's hash goes into the key, so short common lines make no groups
+    half = (width - GRAM) // 2
+    on_left = np.clip(a - s0 - half + 1, 0, n)
+    steps = [*range(0, half, GRAM), half]
+    s0, n, a, side = np.r_[s0, s0 + on_left], np.r_[on_left, n - on_left], np.r_[a, a], np.repeat([1, 0], len(s0))
+    some = n > 0
+    s0, n, a, side = s0[some], n[some], a[some], side[some]
+    key = side.astype(np.uint64)
+    for step in steps:
+        key = (key ^ h[a - side * half + step]) * np.uint64(0x94D049BB133111EB)
+        key ^= key >> np.uint64(30)
+    own = np.searchsorted(ends, s0, side="right")
     shift = np.array([at for _, at, _ in part])[own] - (ends - sizes)[own]
-    return np.array([i for i, _, _ in part])[own], s0 + shift, n, a + shift, h[a].view(np.int64)
+    return np.array([i for i, _, _ in part])[own], s0 + shift, n, a + shift, key.view(np.int64)
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -197,7 +210,7 @@ def _unpack(column: pa.Array) -> list[bytes]:
 
 
 def remove_repeats(
-    docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, most_in_group: int = 128, carry: tuple[str, ...] = ()
+    docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, most_in_group: int = 1024, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (and with keep_text the kept text); carry names further columns to return.
 
@@ -299,21 +312,39 @@ def remove_repeats(
     hit = hit.groupBy("k1", "k2").agg(F.collect_list(F.struct("s0", "ranges")).alias("hits"))
     schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
 
+    def spans(hits: pa.ListArray, sizes: np.ndarray, copies: np.ndarray) -> list[list[tuple[int, int]]]:
+        """Of each text the united byte ranges of its hits; all of it if there are copies of it."""
+        base = np.cumsum(np.r_[0, sizes[:-1] + 1])  # all texts on one line, so that one sort unites all ranges
+        row = np.repeat(np.arange(len(sizes)), np.nan_to_num(pc.list_value_length(hits).to_numpy(zero_copy_only=False).astype(float)).astype(int))
+        each, whole = hits.flatten(), np.flatnonzero((copies > 1) & (sizes >= width))
+        ranges = each.field("ranges")
+        at = np.repeat(base[row] + each.field("s0").to_numpy(zero_copy_only=False), pc.list_value_length(ranges).to_numpy(zero_copy_only=False))
+        flat = ranges.flatten()
+        start = np.r_[at + flat.field("from").to_numpy(zero_copy_only=False), base[whole]]
+        end = np.r_[at + flat.field("to").to_numpy(zero_copy_only=False) + width - 1, base[whole] + sizes[whole]]
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], np.maximum.accumulate(end[order]) if len(end) else end
+        new = np.flatnonzero(np.r_[True, start[1:] > end[:-1]]) if len(start) else np.zeros(0, np.int64)
+        a, b = start[new], end[np.r_[new[1:] - 1, len(end) - 1]] if len(new) else end
+        of = np.searchsorted(base, a, side="right") - 1
+        out: list[list[tuple[int, int]]] = [[] for _ in sizes]
+        for i, x, y in zip(of.tolist(), (a - base[of]).tolist(), (b - base[of]).tolist()):
+            out[i].append((x, y))
+        return out
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            removed, spans, sha, kept_texts = [], [], [], []
-            for n, size, z, hits in zip(*(c.to_pylist() for c in b.columns[2:])):
-                if n > 1 and size >= width:
-                    gone = [(0, size)]
-                else:
-                    gone = _unite([(x["s0"] + r["from"], x["s0"] + r["to"] + width - 1) for x in hits or () for r in x["ranges"]])
+            removed, n_spans, sha, kept_texts = [], [], [], []
+            sizes = b.column(3).to_numpy(zero_copy_only=False)
+            for gone, size, z in zip(spans(b.column(5), sizes, b.column(2).to_numpy(zero_copy_only=False)), sizes.tolist(), b.column(4).to_pylist()):
                 t = zstandard.ZstdDecompressor().decompress(z)
-                kept = b"".join(t[x:y] for x, y in zip([0, *(y for _, y in gone)], [*(x for x, _ in gone), size]))
+                kept = b"".join([t[x:y] for x, y in zip([0, *(y for _, y in gone)], [*(x for x, _ in gone), size])]) if gone else t
                 removed.append(size - len(kept))
-                spans.append(len(gone))
+                n_spans.append(len(gone))
                 sha.append(hashlib.sha256(kept).hexdigest())
-                kept_texts.append(kept.decode(errors="replace"))
-            arrays = [b.column(0), b.column(1), b.column(3), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())]
+                if keep_text:
+                    kept_texts.append(kept.decode(errors="replace"))
+            arrays = [b.column(0), b.column(1), b.column(3), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())]
             names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if keep_text:
                 arrays, names = [*arrays, pa.array(kept_texts, pa.string())], [*names, "kept"]
