@@ -129,8 +129,12 @@ def b13(events):
     return events.select("event_id", m["api_token"].alias("token"), m["user"].alias("kept"))
 
 
-@query("e14_sections", "md_docs", sql=r"""
-    select doc_id, 0 as section, 'Doc ' || doc_id heading, 1 as level from md_docs union all select doc_id, 1, 'Part B', 2 from md_docs""")
+HEADING = r"'^(#{1,3})\s+(.+?)\s*#*\s*$'"
+
+
+@query("e14_sections", "md_docs", sql=f"""
+    with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from md_docs), h as (select doc_id, i, regexp_extract(line, {HEADING}, 1) m, regexp_extract(line, {HEADING}, 2) heading from l)
+    select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as int) as section, heading, cast(length(m) as int) as level from h where m <> ''""")
 def e14(docs):
     return C.section_rows(docs).select("doc_id", "section", "heading", "level")
 
