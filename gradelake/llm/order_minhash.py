@@ -147,16 +147,19 @@ def classes(
 
     No bucket is expanded into pairs. All of a bucket are aligned with its least member; who does not link starts over with the least of those left, `rounds` times.
     Links past the leader are not lost: x linked with leader l, y not: |d(y,l) - d(x,l)| bounds d(x,y) from below, and what that bound and the word counts
-    leave possible is aligned, too. What is left after the rounds is compared within its bucket under the same bounds. n_links counts links that were aligned.
+    leave possible is aligned, too,
+    unless links have joined x and y by then. What is left after the rounds is compared within its bucket under the same bounds. n_links counts links that were aligned.
     """
     rows = docs.select(F.col(id_col), *carry, normalised(F.col(text_col)).alias("norm"))
     rows = rows.withColumn("c", F.lower(F.concat(F.lpad(F.hex(F.xxhash64("norm")), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), "norm")), 16, "0"))))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [t.split(" ") if t else [] for t in b.column(2).to_pylist()]
-            arrays = [b.column(0), b.column(1), pa.array([len(w) for w in words], pa.int32()), pa.array([sketches(w, k, n_sketches, minima) for w in words], pa.list_(pa.int64())), pa.array([bins(w) for w in words], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "c", "n_words", "sketches", "bins"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):  # few texts at a time are held as words
+                b = whole.slice(at, 512)
+                words = [t.split(" ") if t else [] for t in b.column(2).to_pylist()]
+                arrays = [b.column(0), b.column(1), pa.array([len(w) for w in words], pa.int32()), pa.array([sketches(w, k, n_sketches, minima) for w in words], pa.list_(pa.int64())), pa.array([bins(w) for w in words], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "c", "n_words", "sketches", "bins"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = rows.select(id_col, "c", "norm").mapInArrow(sketch, f"id {kind}, c string, n_words int, sketches array<long>, bins array<int>")
@@ -171,7 +174,7 @@ def classes(
     slack = 1 - similarity
     far = min(1.0, slack * (1 / similarity + 1 / similarity**2) + 0.01)  # beyond this from the leader, y links with no x linked with the leader
     size = needed.select(F.col("c").alias("sc"), "n_words", "bins")
-    edges, left = None, bucket
+    left = bucket
     known: DataFrame | None = None
     crossed: list[DataFrame] = []
     for _ in range(rounds):
@@ -185,10 +188,13 @@ def classes(
         rest = cut(tried.where("not linked").select("s", "c"), "rest")
         head = cut(rest.groupBy("s").agg(F.min("c").alias("leader")).withColumnRenamed("s", "t"), "leaders")
         left = cut(rest.join(head, F.col("s") == F.col("t")).select("s", "c", "leader"), "left")
+    linked = cut(known.where("linked").select("a", "b"), "links")
+    roots = cut(components(linked), "roots")  # whom links have already joined needs no further alignment
     within = lambda a, b: F.abs(F.col(f"n{a}") - F.col(f"n{b}")) <= slack * F.greatest(f"n{a}", f"n{b}") + 1e-9
     apart = F.aggregate(F.zip_with("h1", "h2", lambda p, q: F.abs(p - q)), F.lit(0), lambda t, v: t + v)
-    sized = lambda df, k: df.join(size.withColumnsRenamed({"n_words": f"n{k}", "bins": f"h{k}"}), F.col("c") == F.col("sc")).drop("sc").withColumnRenamed("c", f"c{k}")
-    possible = within(1, 2) & (apart <= 2 * (slack * F.greatest("n1", "n2") + 1e-9))
+    size = cut(size.join(roots, F.col("sc") == F.col("node"), "left").select("sc", "n_words", "bins", F.coalesce("root", "sc").alias("root")), "sizes")
+    sized = lambda df, k: df.join(size.withColumnsRenamed({"n_words": f"n{k}", "bins": f"h{k}", "root": f"r{k}"}), F.col("c") == F.col("sc")).drop("sc").withColumnRenamed("c", f"c{k}")
+    possible = (F.col("r1") != F.col("r2")) & within(1, 2) & (apart <= 2 * (slack * F.greatest("n1", "n2") + 1e-9))
     more = []
     for tried in crossed:
         x = cut(sized(tried.where("linked").select("s", "leader", "c", F.col("d").alias("dx")), 1), "linked")
@@ -201,10 +207,12 @@ def classes(
         pairs = pairs.unionByName(extra)
     pairs = pairs.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
     last = _verified(cut(pairs, "pairs"), body, similarity, slack)
-    edges = cut(known.where("linked").select("a", "b").unionByName(last.where("linked").select("a", "b")).distinct(), "links")
+    more_links = last.where("linked").select("a", "b")
+    edges = cut(linked.unionByName(more_links).distinct(), "links")
 
     degree = edges.select(F.col("a").alias("x")).unionByName(edges.select(F.col("b").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("links"))
-    roots = components(edges)
+    if not more_links.isEmpty():
+        roots = cut(components(edges), "roots")
     of = texts.select("c", "id").join(roots, F.col("c") == F.col("node"), "left").join(degree, F.col("c") == F.col("x"), "left").select("c", "id", F.coalesce("root", "c").alias("root"), F.coalesce("links", F.lit(0)).alias("n_links"))
     of = cut(of, "roots")
     least = cut(of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "c")).alias("least")).select(F.col("root").alias("r"), F.col("least.id").alias("class_id"), F.col("least.c").alias("least_c")), "least")
