@@ -53,9 +53,9 @@ def train(texts: list[str], toxic: np.ndarray, least: int = 3, z: float = 3.0, s
     ratio = np.log(share[1]) - np.log(share[0])
     used = (counts.sum(axis=0) >= least) & (np.abs(ratio) >= z * np.sqrt((1 / (counts + 0.5)).sum(axis=0)))
     where = np.cumsum(used) - 1
-    rows = [where[u] for t in texts for u in [np.unique(g[used[g]]) for g in [ngrams(t)]]]
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    rows = [where[u].astype(np.int32) for t in texts for u in [np.unique(g[used[g]]) for g in [ngrams(t)]]]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    col = np.concatenate(rows) if rows else np.zeros(0, np.int32)
     r, y = ratio[used], toxic.astype(float)
     w, b = np.zeros(len(r)), float(np.log((of[1] + 0.5) / (of[0] + 0.5)))
     if not of.all():  # one kind of label alone: the share of toxic labels is all there is to learn
