@@ -8,18 +8,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.llm.common import components, cut
 
 BINS = 32
+#: Pairs of texts of so many k-mers at most are found without sketches: minima drawn from few k-mers agree less often than J^minima.
+SHORT = 80
 
 
-def sketches(words: list[str], k: int = 5, n_sketches: int = 20, minima: int = 5) -> list[int]:
-    """n_sketches signed 64-bit sketches of a sequence of words. Sequences shorter than k words are one k-mer; without words there are none."""
+def grams(words: list[str], k: int = 5) -> np.ndarray:
+    """The k-mers of a sequence of words as 64 bits each, labelled by occurrence, in text order. Sequences shorter than k words are one k-mer; without words there are none."""
     if not words:
-        return []
+        return np.zeros(0, np.uint64)
     w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     if len(w) < k:
         w = np.append(w, np.full(k - len(w), 7, np.uint64))
@@ -33,6 +35,18 @@ def sketches(words: list[str], k: int = 5, n_sketches: int = 20, minima: int = 5
     if same.any():
         run = np.arange(len(x)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(x))))
         x[order] += run.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return x
+
+
+def sketches(words: list[str], k: int = 5, n_sketches: int = 20, minima: int = 5) -> list[int]:
+    """n_sketches signed 64-bit sketches of a sequence of words."""
+    return sketches_of(grams(words, k), n_sketches, minima)
+
+
+def sketches_of(x: np.ndarray, n_sketches: int = 20, minima: int = 5) -> list[int]:
+    """The sketches of labelled k-mers; of none there are none."""
+    if not len(x):
+        return []
     seeds = np.arange(1, n_sketches + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
     h = x[None] ^ seeds[:, None]
     h *= np.uint64(0xE7037ED1A0B428DB)
@@ -140,8 +154,10 @@ def classes(
     """Per row: id, class_id (least id among the documents reachable by links), n_links (other distinct texts linked), kept; carry names further columns to return.
 
     Texts are compared as lower-case words between white space. Two different texts are candidates if one of n_sketches sketches agrees: the `minima`
-    least of their k-mers of words, each labelled by its occurrence, in text order. A sketch agrees with a chance of J^minima, J the Jaccard similarity of the labelled k-mers, so at J = 0.8 a
-    pair is missed with a chance under 0.0004. Candidates link if their edit distance is at most (1 - similarity) of the longer one's words.
+    least of their k-mers of words, each labelled by its occurrence, in text order. For long texts a sketch agrees with a chance near J^minima, J the Jaccard similarity of the labelled k-mers;
+    minima are drawn without replacement, so at J = 0.8 a pair with a text of more than SHORT k-mers is missed with a chance under 0.0005 (k = 5, the other defaults alike).
+    Two texts of at most SHORT k-mers are candidates whenever J is at least `similarity`, too, whatever their sketches: such pairs share one of their rarest k-mers
+    (prefix filter: of n, n - ceil(similarity * n) + 1), meet on it, and J is counted. Candidates link if their edit distance is at most (1 - similarity) of the longer one's words.
     Equal texts are one class without alignment. Empty and null texts are equal to each other and link with nothing else. Null ids come last: class_id is null where
     all ids of a class are null. kept marks the rows of the class's least id (of one text, if rows of different texts share that id). An empty table gives no rows.
 
@@ -158,16 +174,28 @@ def classes(
             for at in range(0, whole.num_rows, 512):  # few texts at a time are held as words
                 b = whole.slice(at, 512)
                 words = [t.split(" ") if t else [] for t in b.column(2).to_pylist()]
-                arrays = [b.column(0), b.column(1), pa.array([len(w) for w in words], pa.int32()), pa.array([sketches(w, k, n_sketches, minima) for w in words], pa.list_(pa.int64())), pa.array([bins(w) for w in words], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "c", "n_words", "sketches", "bins"])
+                of, drawn, few = pa.array([len(w) for w in words], pa.int32()), [], []
+                for w in words:
+                    x = grams(w, k)
+                    drawn.append(sketches_of(x, n_sketches, minima))
+                    few.append(x.view(np.int64).tolist() if len(x) <= SHORT else [])
+                longs = pa.list_(pa.int64())
+                arrays = [b.column(0), b.column(1), of, pa.array(drawn, longs), pa.array(few, longs), pa.array([bins(w) for w in words], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "c", "n_words", "sketches", "grams", "bins"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = rows.select(id_col, "c", "norm").mapInArrow(sketch, f"id {kind}, c string, n_words int, sketches array<long>, bins array<int>")
-    texts = cut(texts.groupBy("c").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"), F.first("bins").alias("bins")), "texts")
+    texts = rows.select(id_col, "c", "norm").mapInArrow(sketch, f"id {kind}, c string, n_words int, sketches array<long>, grams array<long>, bins array<int>")
+    texts = cut(texts.groupBy("c").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"), F.first("grams").alias("grams"), F.first("bins").alias("bins")), "texts")
     members = texts.select(F.explode("sketches").alias("s"), "c")
     shared = cut(members.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("leader")).where("m > 1").select(F.col("s").alias("t"), "leader"), "buckets")
     bucket = cut(members.join(shared, F.col("s") == F.col("t")).select("s", "c", "leader"), "members")
-    needed = cut(bucket.select("c").distinct().join(texts.select("c", "id", "n_words", "bins"), "c"), "needed")
+    short = cut(texts.where(F.size("grams") > 0).select("c", "grams"), "short")
+    each = short.select("c", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    often = each.groupBy(F.col("g").alias("og")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    rarest = Window.partitionBy("c").orderBy(F.coalesce("m", F.lit(1)), "g")
+    first = each.join(often, F.col("g") == F.col("og"), "left").withColumn("at", F.row_number().over(rarest))
+    first = cut(first.where((F.col("at") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1) & F.col("m").isNotNull()).select("g", "c"), "rarest")
+    needed = cut(bucket.select("c").unionByName(first.select("c")).distinct().join(texts.select("c", "id", "n_words", "bins"), "c"), "needed")
     own = needed.select(F.col("c").alias("nc"), F.col("id").alias("nid"))
     body = cut(rows.select(id_col, "c", "norm").join(own, (F.col("c") == F.col("nc")) & F.col(id_col).eqNullSafe(F.col("nid"))).select("c", "norm").dropDuplicates(["c"]), "bodies")
 
@@ -205,6 +233,15 @@ def classes(
     pairs = more[0].unionByName(more[1]) if len(more) == 2 else more[0].unionByName(more[1]).unionByName(more[2])
     for extra in more[3:]:
         pairs = pairs.unionByName(extra)
+    x = cut(sized(first, 1), "rarest")  # k-mers that one set of linked texts has to itself have nothing to add
+    apiece = x.groupBy(F.col("g").alias("ag")).agg(F.min("r1").alias("least"), F.max("r1").alias("most")).where("least <> most").select("ag")
+    x = cut(x.join(apiece, F.col("g") == F.col("ag")).drop("ag"), "rarest")
+    y = x.withColumnsRenamed({"g": "g2", "c1": "c2", "n1": "n2", "h1": "h2", "r1": "r2"})
+    met = cut(x.join(y, (F.col("g") == F.col("g2")) & (F.col("c1") < F.col("c2")) & possible).select("c1", "c2").distinct(), "met")
+    held = lambda i: short.select(F.col("c").alias(f"k{i}"), F.col("grams").alias(f"g{i}"))
+    both = F.size(F.array_intersect("g1", "g2"))
+    met = met.join(held(1), F.col("c1") == F.col("k1")).join(held(2), F.col("c2") == F.col("k2")).where(both >= similarity * (F.size("g1") + F.size("g2") - both) - 1e-9)
+    pairs = pairs.unionByName(met.select("c1", "c2"))
     pairs = pairs.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
     last = _verified(cut(pairs, "pairs"), body, similarity, slack)
     more_links = last.where("linked").select("a", "b")

@@ -122,3 +122,17 @@ def test_query_misses_no_near_copy(spark, small):
     grams = {d["doc_id"]: {*zip(*(d["text"].lower().split()[k:] for k in range(5)))} for d in docs}
     pairs = [(a, b) for a, b in itertools.combinations(grams, 2) if grams[a] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
     assert pairs and all(got[a] == got[b] for a, b in pairs)
+
+
+def test_short_texts_miss_no_near_copy(spark, words):
+    """All pairs of short texts with J >= 0.8 and an edit similarity of 0.8 are of one class, whether or not a sketch agrees."""
+    rng, rows = random.Random(21), []
+    for g in range(60):
+        a = [f"{rng.choice(words)}{g}" for _ in range(8 + g % 30)]
+        rows += [(2 * g, " ".join(a)), (2 * g + 1, " ".join(a + ["end"] if g < 30 else [*a[:-1], "end"]))]
+    got = {r["doc_id"]: r["class_id"] for r in run(spark, rows).collect()}
+    grams = {i: Counter(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    near = [(i, j) for (i, a), (j, b) in itertools.combinations(rows, 2) if (grams[i] & grams[j]).total() >= 0.8 * (grams[i] | grams[j]).total() and edit(a.split(), b.split()) <= 0.2 * max(len(a.split()), len(b.split())) + 1e-9]
+    apart = [(i, j) for i, j in near if not set(M.sketches(rows[i][1].split())) & set(M.sketches(rows[j][1].split()))]
+    assert len(near) > 40 and apart and all(got[i] == got[j] for i, j in near)
+    assert all(got[i] // 2 == i // 2 for i in got)  # and no others are joined
