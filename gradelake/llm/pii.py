@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradelake.llm.common import cut
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "number", "secret")
 #: Top-level domains that labelers take for a sign of an address.
@@ -125,13 +127,21 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
     return out
 
 
+#: Classes of characters, and all words that features() can say.
+CLASSES = tuple("dUl@.-+()= :_/x")
+VOCABULARY = (
+    *(f"k={k}" for k in KINDS), *(f"n={i}" for i in range(9)), *(f"d={i}" for i in range(21)), *(f"a={i}" for i in range(9)), *(f"s={i}" for i in range(5)),
+    *(f"c={'space' if c == ' ' else c}" for c in CLASSES), *(f"v{i}={v}" for i in range(len(LABELERS) + 1) for v in (1, -1)),
+)
+
+
 def features(kind: str, s: str, votes: tuple[int, ...]) -> str:
-    """What the classifier sees of a span, as words: its kind, shape and votes, all from bounded sets."""
+    """What the classifier sees of a span, as words of VOCABULARY: its kind, shape and votes."""
     digits, letters = sum(c.isdigit() for c in s), sum(c.isalpha() for c in s)
-    kinds = "".join(dict.fromkeys("d" if c.isdigit() else "U" if c.isupper() else "l" if c.islower() else c if c in "@.-+()= :_/" else "x" for c in s))[:8]
+    held = {"d" if c.isdigit() else "U" if c.isupper() else "l" if c.islower() else c if c in "@.-+()= :_/" else "x" for c in s}
     share = round(4 * digits / max(1, len(s)))
-    words = [f"k={kind}", f"n={min(8, len(s).bit_length())}", f"d={min(20, digits)}", f"a={min(8, letters.bit_length())}", f"s={share}", f"t={kinds.translate({32: '_'})}"]
-    return " ".join(words + [f"v{i}={v}" for i, v in enumerate(votes) if v])
+    words = [f"k={kind}", f"n={min(8, len(s).bit_length())}", f"d={min(20, digits)}", f"a={min(8, letters.bit_length())}", f"s={share}"]
+    return " ".join(words + [f"c={'space' if c == ' ' else c}" for c in CLASSES if c in held] + [f"v{i}={v}" for i, v in enumerate(votes) if v])
 
 
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
@@ -160,45 +170,70 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.intercept + sum(self.weights.get(w, 0.0) for w in words.split())))))
 
 
-def learn(patterns: list[tuple[str, float, float]], steps: int = 400) -> Classifier:
-    """Logistic regression on (features, count, posterior)."""
-    names = {w: i for i, w in enumerate(dict.fromkeys(w for f, _, _ in patterns for w in f.split()))}
-    x = np.zeros((len(patterns), len(names)))
-    for i, (f, _, _) in enumerate(patterns):
-        x[i, [names[w] for w in f.split()]] = 1
-    n, y = np.array([c for _, c, _ in patterns], float), np.array([p for _, _, p in patterns])
-    n = np.sqrt(n) / np.sqrt(n).sum() if len(n) else n
-    w, b, m, v = np.zeros(len(names)), 0.0, np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    for k in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -500, 500)))
-        g = np.append(x.T @ (n * (p - y)) + 1e-4 * w, (n * (p - y)).sum())
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return Classifier(dict(zip(names, map(float, w))), float(b))
-
-
-def fit(docs: DataFrame, text_col: str = "text", max_patterns: int = 20_000) -> Classifier:
+def learn(patterns: DataFrame, posterior: dict[str, float], ridge: float = 1e-4, rounds: int = 100) -> Classifier:
+    """Logistic regression on patterns (f: features, v: votes, n: count), all of them, by Newton's method with step halving.
+
+    A pattern weighs as the root of its count. Spark sums loss, gradient and curvature over the patterns; the driver holds one square matrix over VOCABULARY, whatever their number.
+    """
+    size, at = len(VOCABULARY) + 1, {w: i for i, w in enumerate(VOCABULARY)}
+    total = patterns.agg(F.sum(F.sqrt("n"))).first()[0]
+    if not total:
+        return Classifier({}, 0.0)
+
+    def sums(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, slope, bend = 0.0, np.zeros(size), np.zeros((size, size))
+            for whole in batches:
+                for k in range(0, whole.num_rows, 4096):
+                    b = whole.slice(k, 4096)
+                    x = np.zeros((b.num_rows, size))
+                    x[:, -1] = 1
+                    for i, f in enumerate(b.column(0).to_pylist()):
+                        x[i, [at[w] for w in f.split()]] = 1
+                    y, n = np.array([posterior[v] for v in b.column(1).to_pylist()]), np.sqrt(b.column(2).to_numpy()) / total
+                    z = x @ theta
+                    q = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                    loss += float((n * (np.logaddexp(0, z) - y * z)).sum())
+                    slope += x.T @ (n * (q - y))
+                    bend += (x * (n * q * (1 - q))[:, None]).T @ x
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[loss], slope, bend.ravel()]).tobytes()], pa.binary())], ["sums"])
+
+        got = sum(np.frombuffer(r["sums"]) for r in patterns.select("f", "v", "n").mapInArrow(run, "sums binary").toLocalIterator())
+        return float(got[0]), got[1 : size + 1], got[size + 1 :].reshape(size, size)
+
+    pull = np.append(np.full(size - 1, ridge), 1e-9)
+    theta, best, least = np.zeros(size), np.zeros(size), math.inf
+    for _ in range(rounds):
+        loss, slope, bend = sums(theta)
+        loss += float((pull * theta * theta).sum()) / 2
+        if loss > least + 1e-12:
+            theta = (theta + best) / 2
+            continue
+        best, least = theta, loss
+        step = np.linalg.solve(bend + np.diag(pull), slope + pull * theta)
+        if np.abs(step).max() < 1e-4:
+            break
+        theta = theta - step
+    return Classifier(dict(zip(VOCABULARY, map(float, best))), float(best[-1]))
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Classifier:
     """A span classifier learned from all candidates of all documents.
 
-    Spark counts candidates by features (which hold their votes); the driver sees each combination once, the max_patterns commonest at most: all draw on small bounded sets of values.
+    Spark counts candidates by features and votes. Expectation-maximisation runs on the driver over counts by votes alone, at most 3 to the power of the labelers; the classifier's sums stay in Spark.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [features(k, t[s:e], v) for t in b.column(0).to_pylist() if t for k, s, e, v in candidates(t, base_spans(t))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["f"])
+            out = [(features(k, t[s:e], v), ",".join(map(str, v))) for t in b.column(0).to_pylist() if t for k, s, e, v in candidates(t, base_spans(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in out], pa.string()), pa.array([v for _, v in out], pa.string())], ["f", "v"])
 
     marked = docs.select(F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike("[0-9@]"))
-    rows = marked.mapInArrow(run, "f string").groupBy("f").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "f").limit(max_patterns).collect()
-    votes = np.zeros((len(rows), len(LABELERS) + 1), int)
-    for i, r in enumerate(rows):
-        for w in r["f"].split():
-            if m := re.match(r"v(\d+)=(-?\d)", w):
-                votes[i, int(m[1])] = int(m[2])
-    counts = np.array([r["n"] for r in rows], float)
-    posterior = expectation_maximisation(votes, counts) if len(rows) else np.zeros(0)
-    return learn([(r["f"], float(c), float(p)) for r, c, p in zip(rows, counts, posterior)])
+    patterns = cut(marked.mapInArrow(run, "f string, v string").groupBy("f", "v").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    rows = patterns.groupBy("v").agg(F.sum("n").alias("n")).orderBy("v").collect()
+    votes = np.array([[int(x) for x in r["v"].split(",")] for r in rows], int).reshape(len(rows), len(LABELERS) + 1)
+    posterior = expectation_maximisation(votes, np.array([r["n"] for r in rows], float)) if len(rows) else np.zeros(0)
+    return learn(patterns, {r["v"]: float(p) for r, p in zip(rows, posterior)})
 
 
 def find(text: str, model: Classifier, threshold: float = 0.5) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:

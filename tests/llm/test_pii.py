@@ -81,3 +81,26 @@ def test_odd_rows(spark, odd_docs):
     got, want = check(pii.annotate(odd_docs, pii.fit(odd_docs), carry=("source", "rank")).collect(), odd_docs.collect())
     assert got == want
     assert pii.annotate(odd_docs.limit(0), pii.fit(odd_docs.limit(0))).collect() == []
+
+
+def test_every_candidate_counts(spark, monkeypatch):
+    """More than 20,000 shapes of spans: none is left out of the votes, and the classifier's words do not grow with them."""
+    rng, rows = random.Random(4), []
+    for i in range(240):
+        rows.append((i, " ".join("".join(rng.sample("aA1.-+()=:_/!", 12)) + "7" for _ in range(120))))
+    docs, seen = spark.createDataFrame(rows, "doc_id long, text string"), {}
+    em = pii.expectation_maximisation
+    monkeypatch.setattr(pii, "expectation_maximisation", lambda votes, counts: seen.update(votes=votes, counts=counts) or em(votes, counts))
+    model = pii.fit(docs)
+    every = Counter(v for _, t in rows for _, _, _, v in pii.candidates(t, pii.base_spans(t)))
+    assert every.total() > 20_000 and {tuple(map(int, v)): int(n) for v, n in zip(seen["votes"], seen["counts"])} == every and len(seen["votes"]) == len(every)
+    assert set(model.weights) == set(pii.VOCABULARY)
+
+
+def test_learned_weights_are_the_optimum(spark):
+    rows = [(pii.features(k, s, v), ",".join(map(str, v)), n) for k, s, v, n in (("number", "12-34 56", (0, 1, 0, 0, 0, 1, 0, 0), 9), ("secret", "KEY=abc123", (0, 0, 0, 1, 0, 0, 0, 1), 4), ("number", "3.2", (0, 0, 0, 0, -1, -1, 0, 0), 25))]
+    y = dict(zip([v for _, v, _ in rows], (0.8, 0.95, 0.1)))
+    model = pii.learn(spark.createDataFrame(rows, "f string, v string, n long"), y)
+    weigh = np.sqrt([n for *_, n in rows]) / np.sqrt([n for *_, n in rows]).sum()
+    for w in pii.VOCABULARY:
+        assert abs(sum(c * (model.score(f) - y[v]) for c, (f, v, _) in zip(weigh, rows) if w in f.split()) + 1e-4 * model.weights[w]) < 1e-6
