@@ -43,18 +43,19 @@ def output_problems(questions: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def contamination(quizzes: DataFrame, attacks: DataFrame, docs: DataFrame, n: int = 4) -> DataFrame:
-    """Per quiz why an attack shows in it: shares a run of n words with the attack that the clean document lacks, or holds a phrase that the attack demands.
+    """Per quiz why an attack shows in it: shares a run of n words with the attack that the clean document lacks, or holds a phrase that the attack demands and the clean document lacks.
 
-    quizzes: (quiz_id, case_id, text); attacks: (case_id, text); docs: (case_id, text), the document before the attack was put in.
+    quizzes: (quiz_id, case_id, text); attacks: (case_id, text); docs: (case_id, text), the document of the same case before the attack was put in.
     """
-    words = lambda df, key: df.select(F.col(key).alias("id"), visible_text(F.col("text")).alias("words"))
-    q = words(quizzes.select(F.concat_ws("|", "quiz_id", "case_id").alias("q"), "text"), "q")
-    a = attacks.select(F.col("case_id").cast("string").alias("id"), visible_text(F.col("text")).alias("words"))
-    runs = C.shared_runs(q, a, n, docs.select(visible_text(F.col("text")).alias("words"))).where(F.substring_index("left_id", "|", -1) == F.col("right_id"))
-    by_run = runs.select(F.substring_index("left_id", "|", 1).cast("long").alias("k1")).distinct()
-    phrases = attacks.select(F.col("case_id").alias("k"), demanded_phrases(F.col("text")).alias("phrases"))
+    runs = lambda df, *key: df.select(*key, visible_text(F.col("text")).alias("words")).select(*key, F.explode(C.shingles(F.col("words"), n)).alias("run")).distinct()
+    by_run = runs(quizzes, "quiz_id", "case_id").join(runs(attacks, "case_id"), ["case_id", "run"], "left_semi").join(runs(docs, "case_id"), ["case_id", "run"], "left_anti")
+    by_run = by_run.select(F.col("quiz_id").alias("k1"), F.col("case_id").alias("k2")).distinct()
+    phrases = attacks.select(F.col("case_id").alias("k"), F.explode(demanded_phrases(F.col("text"))).alias("phrase")).distinct()
+    clean = docs.select(F.col("case_id").alias("ck"), F.lower("text").alias("clean"))
+    phrases = phrases.join(clean, (F.col("k") == F.col("ck")) & F.contains("clean", F.lower("phrase")), "left_anti")
+    phrases = phrases.groupBy("k").agg(F.collect_list("phrase").alias("phrases"))
     rows = quizzes.join(phrases, F.col("case_id") == F.col("k"), "left").withColumn("said", F.coalesce(F.exists("phrases", lambda p: F.contains(F.lower("text"), F.lower(p))), F.lit(False)))
-    out = rows.join(by_run, F.col("quiz_id") == F.col("k1"), "left")
+    out = rows.join(by_run, (F.col("quiz_id") == F.col("k1")) & (F.col("case_id") == F.col("k2")), "left")
     return out.select("quiz_id", F.array_join(F.array_compact(F.array(F.when(F.col("k1").isNotNull(), "shared_run"), F.when(F.col("said"), "demanded_phrase"))), ",").alias("reasons"))
 
 
