@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,24 +17,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 
-    Only a local session may go without the setting: there one machine does all the work.
+    Only a local session may go without the setting: there one machine does all the work, and the folder lies in the warehouse.
     """
     said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if said:
         return said.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="spark-cut-")
+    own = f"file://{os.path.abspath(spark.conf.get('spark.sql.warehouse.dir').removeprefix('file:'))}/cut-{uuid.uuid4().hex}"
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
+#: Makes Spark delete the shuffle files of a finished query at once, not when its driver next collects garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: its lineage ends there, and a lost executor costs a re-read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")  # each table is computed once, so nothing reads its shuffles again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() has written, once all that is made from them has been written, too."""
+    for t in tables:
+        remove(t.sparkSession, _written.pop(t))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it is, as Hadoop's file systems do."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_key(text: Column) -> Column:
@@ -55,6 +80,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large, "large-star")
+        drop(e, low)
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "least")
         small = (
             large.join(low, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -62,6 +88,7 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         e = cut(small, "small-star")
+        drop(large, low)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

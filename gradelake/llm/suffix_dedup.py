@@ -1,10 +1,10 @@
 """Exact removal of repeated substrings by sorting suffixes, deep-shallow (Manzini and Ferragina, 2004).
 
-Sorting every suffix of a corpus moves each byte hundreds of times. Here suffixes start at anchors only: of every string of `width` bytes the k-gram with the
-least hash is its anchor, so equal strings have their anchor at the same place and meet in the group of that anchor. What a group holds are segments: all strings
-of one anchor, with the bytes around it. Equal segments are one, with a count. The right-hand sides of a group's segments are sorted: multikey quicksort orders them to a
-shallow depth, then a blind trie orders those with a longer common prefix; its nodes say which share how many bytes to the right, and the left-hand
-sides of a node's members, sorted, how many to the left. Strings that lie in both are repeated.
+Sorting every suffix of a corpus moves each byte hundreds of times. Here suffixes start at anchors only: of every string of `width` bytes the gram (half as long) with
+the least hash is its anchor, so equal strings have their anchor at the same place and meet in the group of that anchor. What a group holds are segments: all strings
+of one anchor, with the bytes around it. Equal segments are one, with a count, and need no bytes at all. Where a group has different segments, their right-hand sides are
+sorted: multikey quicksort orders them to a shallow depth, then a blind trie orders those with a longer common prefix; its nodes say which share how many bytes to the
+right, and the left-hand sides of a node's members, sorted, how many to the left. Strings that lie in both are repeated.
 """
 
 from __future__ import annotations
@@ -20,15 +20,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import cut, shared_dir
+from gradelake.llm.common import cut, drop, remove, shared_dir
 
-GRAM = 32
 BLOCK = 1 << 19
 SHALLOW = 32
+#: A place is one number: a string's start, its anchor's distance from there, and how many strings follow, in bits of this width.
+PLACE = 12
 
 
 def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of the texts: (index of the text, first string's start, number of strings, anchor's place, hash of the anchor and half the string beside it)."""
+    """Segments of the texts: (index of the text, first string's start, number of strings, anchor's place, hash of the anchor)."""
     out: list[tuple[np.ndarray, ...]] = []
     part: list[tuple[int, int, bytes]] = []
     size = 0
@@ -46,20 +47,30 @@ def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(c) for c in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(5))  # type: ignore[return-value]
 
 
+def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of `size` bytes: hashes of k bytes make hashes of 2k bytes, and those of the powers of two in size are put together."""
+    h, k, have, out = data.astype(np.uint64) + np.uint64(1), 1, 0, np.zeros(len(data) + 1, np.uint64)
+    while k <= size:
+        if size & k:
+            n = len(data) + 1 - have - k
+            out = (out[:n] * np.uint64(0x94D049BB133111EB)) ^ h[have : have + n]
+            out ^= out >> np.uint64(30)
+            have += k
+        if k * 2 <= size:
+            h = h[:-k] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + h[k:]
+        k *= 2
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
 def _block(part: list[tuple[int, int, bytes]], width: int) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(p for _, _, p in part), np.uint8)
     sizes = np.array([len(p) for _, _, p in part])
-    ends = np.cumsum(sizes)
-    h, k = data.astype(np.uint64) + np.uint64(1), 1
-    while k < GRAM:  # hashes of k bytes make hashes of 2k bytes
-        h = h[:-k] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + h[k:]
-        k *= 2
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
+    ends, gram = np.cumsum(sizes), width // 2
+    h = _gram_hashes(data, gram)
     bits = np.uint64(len(data).bit_length())
     least = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)  # ties: the leftmost
-    span, had = width - GRAM + 1, 1
+    span, had = width - gram + 1, 1
     while had * 2 <= span:
         least = np.minimum(least[:-had], least[had:])
         had *= 2
@@ -71,20 +82,33 @@ def _block(part: list[tuple[int, int, bytes]], width: int) -> tuple[np.ndarray,
     n = np.diff(np.r_[first, len(start)])
     s0, a = start[first], place[first]
     own = np.searchsorted(ends, s0, side="right")
-    # of a string, half of what is not the anchor lies on its left or on its right: that half's hash goes into the key, so short common lines make no groups
-    half = (width - GRAM) // 2
-    on_left = np.clip(a - s0 - half + 1, 0, n)
-    steps = [*range(0, half, GRAM), half]
-    s0, n, a, side = np.r_[s0, s0 + on_left], np.r_[on_left, n - on_left], np.r_[a, a], np.repeat([1, 0], len(s0))
-    some = n > 0
-    s0, n, a, side = s0[some], n[some], a[some], side[some]
-    key = side.astype(np.uint64)
-    for step in steps:
-        key = (key ^ h[a - side * half + step]) * np.uint64(0x94D049BB133111EB)
-        key ^= key >> np.uint64(30)
-    own = np.searchsorted(ends, s0, side="right")
     shift = np.array([at for _, at, _ in part])[own] - (ends - sizes)[own]
-    return np.array([i for i, _, _ in part])[own], s0 + shift, n, a + shift, key.view(np.int64)
+    return np.array([i for i, _, _ in part])[own], s0 + shift, n, a + shift, h[a].view(np.int64)
+
+
+def settled(texts: list[bytes], width: int, i: np.ndarray, s0: np.ndarray, n: np.ndarray, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """Segments that occur again in their own text need no other to be repeated: which of them to leave out (all but the first), and the ranges of their
+    strings, (text, first start, how many, hash of an anchor there). Periodic text, such as a long line of one character, is settled here: it has an anchor a period."""
+    order = np.lexsort((s0, a - s0, n, h, i))
+    same = np.flatnonzero(np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (i, h, n, a - s0)]))
+    gone, copied = np.zeros(len(i), bool), np.zeros(len(i), bool)
+    head, before = -1, -2
+    for k in same.tolist():
+        if k != before + 1:
+            head = order[k]
+        x, before = order[k + 1], k
+        t, size = texts[i[x]], n[x] + width - 1
+        if t[s0[x] : s0[x] + size] == t[s0[head] : s0[head] + size]:
+            gone[x] = copied[x] = copied[head] = True
+    own = np.flatnonzero(copied)
+    own = own[np.lexsort((s0[own], i[own]))]
+    ranges: list[tuple[int, int, int, int]] = []
+    for t, x, m, key in zip(i[own].tolist(), s0[own].tolist(), n[own].tolist(), h[own].tolist()):
+        if ranges and ranges[-1][0] == t and x <= ranges[-1][1] + ranges[-1][2] and x + m - ranges[-1][1] < BLOCK:
+            ranges[-1] = (t, ranges[-1][1], x + m - ranges[-1][1], key)
+        else:
+            ranges.append((t, x, m, key))
+    return gone, ranges
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -194,6 +218,12 @@ def repeated(segments: list[tuple[int, bytes]], width: int) -> list[list[tuple[i
     return found
 
 
+def _place(at: int) -> tuple[int, int, int]:
+    """(first string's start, anchor's distance from it, number of strings) of a place."""
+    low = (1 << PLACE) - 1
+    return at >> 2 * PLACE, at >> PLACE & low, at & low
+
+
 def _unite(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(ranges):
@@ -215,11 +245,15 @@ def remove_repeats(
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (and with keep_text the kept text); carry names further columns to return.
 
     Each byte that lies in a string of `width` bytes which also starts anywhere else, in the same row or another, is removed; overlaps count and strings are
-    judged on the input. Spans are maximal removed runs. Texts are UTF-8 bytes, null ones empty; texts shorter than width lose nothing. Repeated rows are copies:
-    all lose everything from width bytes on. Null ids change nothing. An empty table gives no rows. Kept text is decoded with U+FFFD where a cut splits a character.
-    Equal texts are sorted once, equal segments too. A group with more than most_in_group different segments (an edge of a passage that very many texts hold)
-    is split by its strings' 128-bit hashes and counted; any share of the rows may fall in one group.
+    judged on the input. Spans are maximal removed runs. Texts are UTF-8 bytes, null ones empty; texts shorter than width lose nothing; very long ones are read
+    in overlapping blocks. Repeated rows are copies: all lose everything from width bytes on. Null ids change nothing, nor do further columns of any name. An empty
+    table gives no rows. Kept text is decoded with U+FFFD where a cut splits a character.
+    Equal texts are sorted once, equal segments are only counted. A group with more than most_in_group different segments (an edge of a passage that very many texts
+    hold) would be too much for one task: Spark takes its multikey steps, to the full depth of `width` bytes, by dealing and counting the group's strings (as
+    128-bit keys), where equal keys need no further order. Any share of the rows may fall in one group, and the result does not depend on most_in_group.
     """
+    if not 32 <= width < 1 << PLACE:
+        raise ValueError(f"width must be at least 32 and less than {1 << PLACE}")
     spark = docs.sparkSession
     n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -235,7 +269,8 @@ def remove_repeats(
     texts = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("t")).mapInArrow(packed, "k1 long, k2 long, n_bytes long, z binary")
     texts = texts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.first("n_bytes").alias("n_bytes"), F.first("z").alias("z"))
     name = f"texts_{uuid.uuid4().hex}"  # as many files as the aggregation has partitions: each task writes those it holds
-    texts.write.bucketBy(n_files, "k1", "k2").option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    texts.write.bucketBy(n_files, "k1", "k2").option("path", path).option("compression", "uncompressed").saveAsTable(name)
     texts = spark.table(name)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,46 +278,60 @@ def remove_repeats(
             yield pa.RecordBatch.from_arrays([pa.array(anchors(_unpack(b.column(0)), width)[4])], ["h"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments by place; of those that their own text settles, the ranges, as numbers below 0."""
         for b in batches:
-            i, s0, n, a, h = anchors(_unpack(b.column(2)), width)
-            own = pa.array(i)
-            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(own), b.column(1).take(own), pa.array(s0 << 16 | (a - s0) << 8 | n)], ["h", "k1", "k2", "at"])
+            raw = _unpack(b.column(2))
+            i, s0, n, a, h = anchors(raw, width)
+            gone, ranges = settled(raw, width, i, s0, n, a, h)
+            of, start, count, key = np.array(ranges, np.int64).reshape(-1, 4).T
+            own, at = pa.array(np.r_[i[~gone], of]), np.r_[((s0 << PLACE | (a - s0)) << PLACE | n)[~gone], ~(start << 2 * PLACE | count)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[h[~gone], key]), b.column(0).take(own), b.column(1).take(own), pa.array(at)], ["h", "k1", "k2", "at"])
 
     long_enough = texts.where(F.col("n_bytes") >= width)
     often = cut(long_enough.select("z").mapInArrow(hashes, "h long").groupBy("h").count().where("count > 1").select(F.col("h").alias("r")), "repeated-anchors")
     where = long_enough.select("k1", "k2", "z").mapInArrow(places, "h long, k1 long, k2 long, at long").join(often, F.col("h") == F.col("r"), "left_semi")
     where = where.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "at")).alias("places"))
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each segment with a 128-bit signature of its bytes and its anchor's place in them."""
         for b in batches:
             for k1, k2, z, some in zip(*(c.to_pylist() for c in b.columns)):
-                t, out = zstandard.ZstdDecompressor().decompress(z), []
-                for p in some:
-                    s0, a, n = p["at"] >> 16, p["at"] >> 8 & 255, p["at"] & 255
-                    body = t[s0 : s0 + n + width - 1]
-                    sign = hashlib.blake2b(body, digest_size=16).digest()
-                    out.append((p["h"], int.from_bytes(sign[:8], "little", signed=True), int.from_bytes(sign[8:], "little", signed=True), a, body, s0))
-                h, s1, s2, a, body, s0 = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(a, pa.int32()), pa.array(body, pa.binary()), pa.array([k1] * len(h), pa.int64()), pa.array([k2] * len(h), pa.int64()), pa.array(s0, pa.int64())],
-                    ["h", "s1", "s2", "a", "body", "k1", "k2", "s0"],
-                )
-
-    found = cut(texts.select("k1", "k2", "z").join(where, ["k1", "k2"]).select("k1", "k2", "z", "places").mapInArrow(segments, "h long, s1 long, s2 long, a int, body binary, k1 long, k2 long, s0 long"), "segments")
-    distinct = found.groupBy("h", "s1", "s2", "a").agg(F.count(F.lit(1)).alias("n"), F.first("body").alias("body"))
-    distinct = cut(distinct, "distinct-segments")
-    sizes = cut(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumnRenamed("h", "g"), "groups")
-    grouped = distinct.join(sizes, F.col("h") == F.col("g"))
-    result = "h long, s1 long, s2 long, a int, ranges array<struct<from: int, to: int>>"
+                t = zstandard.ZstdDecompressor().decompress(z)
+                h, at, sign = [p["h"] for p in some], [p["at"] for p in some], []
+                for x in at:
+                    start, a, n = _place(x) if x >= 0 else (0, 0, 0)
+                    sign.append(hashlib.blake2b(b"%d:" % a + t[start : start + n + width - 1], digest_size=16).digest() if x >= 0 else bytes(16))
+                s = np.frombuffer(b"".join(sign), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array([k1] * len(h), pa.int64()), pa.array([k2] * len(h), pa.int64()), pa.array(at, pa.int64())], ["h", "s1", "s2", "k1", "k2", "at"])
+
+    found = cut(texts.select("k1", "k2", "z").join(where, ["k1", "k2"]).select("k1", "k2", "z", "places").mapInArrow(signed, "h long, s1 long, s2 long, k1 long, k2 long, at long"), "segments")
+    drop(often)
+    distinct = found.where("at >= 0").groupBy("h", "s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one"))
+    distinct = cut(distinct.select("h", "s1", "s2", "n", "one.*"), "distinct-segments")
+    sizes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumnRenamed("h", "g")
+    needed = distinct.join(sizes, F.col("h") == F.col("g")).groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "s1", "s2", "at", "m")).alias("segments"))
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of one segment of each kind, where its group has others."""
+        for b in batches:
+            for z, some in zip(*(c.to_pylist() for c in b.columns)):
+                t, kind = zstandard.ZstdDecompressor().decompress(z), {"h": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "m": pa.int64()}
+                at = [_place(p["at"]) for p in some]
+                body = [t[start : start + n + width - 1] for start, _, n in at]
+                arrays = [pa.array([p[c] for p in some], k) for c, k in kind.items()]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([a for _, a, _ in at], pa.int32()), pa.array(body, pa.binary())], [*kind, "a", "body"])
+
+    grouped = cut(texts.select("k1", "k2", "z").join(needed, ["k1", "k2"]).select("z", "segments").mapInArrow(bodies, "h long, s1 long, s2 long, m long, a int, body binary"), "bodies")
+    result = "s1 long, s2 long, ranges array<struct<from: int, to: int>>"
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by anchor; a group may reach over batches."""
 
         def solve(group: list[dict]) -> list[dict]:
             ranges = repeated([(r["a"], r["body"]) for r in group], width)
-            return [{"h": r["h"], "s1": r["s1"], "s2": r["s2"], "a": r["a"], "ranges": [{"from": x, "to": y} for x, y in _unite(own)]} for r, own in zip(group, ranges) if own]
+            return [{"s1": r["s1"], "s2": r["s2"], "ranges": [{"from": x, "to": y} for x, y in _unite(own)]} for r, own in zip(group, ranges) if own]
 
-        kind = pa.schema([("h", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("a", pa.int32()), ("ranges", pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))])
+        kind = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("ranges", pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))])
         group: list[dict] = []
         for b in batches:
             out = []
@@ -299,16 +348,22 @@ def remove_repeats(
             for r in b.to_pylist():
                 n = len(r["body"]) - width + 1
                 signs = np.frombuffer(b"".join(hashlib.blake2b(r["body"][k : k + width], digest_size=16).digest() for k in range(n)), np.int64).reshape(n, 2)
-                own = [pa.array([r[c]] * n, t) for c, t in (("h", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("a", pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(n, dtype=np.int32)), pa.array(signs[:, 0]), pa.array(signs[:, 1])], ["h", "s1", "s2", "a", "k", "w1", "w2"])
+                own = [pa.array([r[c]] * n, pa.int64()) for c in ("s1", "s2")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(n, dtype=np.int32)), pa.array(signs[:, 0]), pa.array(signs[:, 1])], ["s1", "s2", "k", "w1", "w2"])
 
     small = grouped.where(F.col("m") <= most_in_group).select("h", "s1", "s2", "a", "body").repartition("h").sortWithinPartitions("h").mapInArrow(sort, result)
-    strings = grouped.where(F.col("m") > most_in_group).select("h", "s1", "s2", "a", "body").mapInArrow(windows, "h long, s1 long, s2 long, a int, k int, w1 long, w2 long")
+    strings = grouped.where(F.col("m") > most_in_group).select("s1", "s2", "body").mapInArrow(windows, "s1 long, s2 long, k int, w1 long, w2 long")
     again = cut(strings.groupBy("w1", "w2").count().where("count > 1").select(F.col("w1").alias("v1"), F.col("w2").alias("v2")), "strings")
-    large = strings.join(again, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")), "left_semi").groupBy("h", "s1", "s2", "a").agg(F.collect_set(F.struct(F.col("k").alias("from"), (F.col("k") + 1).alias("to"))).alias("ranges"))
-    copied = distinct.where("n > 1").select("h", "s1", "s2", "a", F.array(F.struct(F.lit(0).alias("from"), (F.length("body") - width + 1).alias("to"))).alias("ranges"))
-    marks = cut(copied.unionByName(small).unionByName(large), "marks").select(F.col("h").alias("mh"), F.col("s1").alias("m1"), F.col("s2").alias("m2"), F.col("a").alias("ma"), "ranges")
-    hit = found.select("h", "s1", "s2", "a", "k1", "k2", "s0").join(marks, (F.col("h") == F.col("mh")) & (F.col("s1") == F.col("m1")) & (F.col("s2") == F.col("m2")) & (F.col("a") == F.col("ma")))
+    large = strings.join(again, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")), "left_semi").groupBy("s1", "s2").agg(F.collect_set(F.struct(F.col("k").alias("from"), (F.col("k") + 1).alias("to"))).alias("ranges"))
+    strings_in = F.col("at").bitwiseAND((1 << PLACE) - 1).cast("int")
+    whole = lambda n: F.array(F.struct(F.lit(0).alias("from"), n.alias("to")))
+    copied = distinct.where("n > 1").select("s1", "s2", whole(strings_in).alias("ranges"))
+    marks = cut(copied.unionByName(small).unionByName(large).withColumnsRenamed({"s1": "m1", "s2": "m2"}), "marks")
+    drop(distinct, grouped, again)
+    start = lambda at: F.shiftright(at, 2 * PLACE)
+    hit = found.where("at >= 0").select("s1", "s2", "k1", "k2", start(F.col("at")).alias("s0")).join(marks, (F.col("s1") == F.col("m1")) & (F.col("s2") == F.col("m2"))).select("k1", "k2", "s0", "ranges")
+    alone = F.bitwise_not("at")
+    hit = hit.unionByName(found.where("at < 0").select("k1", "k2", start(alone).alias("s0"), whole(alone.bitwiseAND((1 << 2 * PLACE) - 1).cast("int")).alias("ranges")))
     hit = hit.groupBy("k1", "k2").agg(F.collect_list(F.struct("s0", "ranges")).alias("hits"))
     schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
 
@@ -351,5 +406,8 @@ def remove_repeats(
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     done = cut(texts.join(hit, ["k1", "k2"], "left").select("k1", "k2", "n", "n_bytes", "z", "hits").mapInArrow(finish, schema), "kept")
+    drop(found, marks)
+    spark.sql(f"drop table {name}")
+    remove(spark, path)
     out = rows.join(done, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")))
     return out.select(id_col, *carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else []))

@@ -104,3 +104,22 @@ def test_split_groups_and_kept_text(spark):
     assert run(spark, docs, most_in_group=5) == want(docs) == run(spark, docs)
     for r in suffix_dedup.remove_repeats(docs, keep_text=True).collect():
         assert hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] and passage not in r["kept"]
+
+
+def test_periodic_text_is_settled_at_once(spark):
+    run_of_one, period = b"=" * 40_000, b"abc-" * 3_000
+    for t in (run_of_one, period):
+        i, s0, n, a, h = suffix_dedup.anchors([t], 200)
+        gone, ranges = suffix_dedup.settled([t], 200, i, s0, n, a, h)
+        assert (~gone).sum() <= 4 and sum(r[2] for r in ranges) >= len(t) - 400
+    docs = spark.createDataFrame([(1, "=" * 5000), (2, "x" + "=" * 300 + "y"), (3, "ab" * 700 + "c"), (4, "z" * 199), (5, "q" + "ab" * 150)], "doc_id long, text string")
+    assert run(spark, docs) == want(docs) == run(spark, docs, most_in_group=1)
+
+
+def test_widths(spark):
+    docs = spark.createDataFrame([(1, "abcdefghij" * 40), (2, "x" * 50 + "abcdefghij" * 35)], "doc_id long, text string")
+    for width in (32, 33, 300, 330):
+        assert run(spark, docs, width=width) == want(docs, width)
+    for width in (31, 4096):
+        with pytest.raises(ValueError):
+            suffix_dedup.remove_repeats(docs, width=width)
