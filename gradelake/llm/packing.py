@@ -19,32 +19,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradelake.llm.bpe import with_tokens
+from gradelake.llm.bpe import Encoded, with_tokens
 from gradelake.llm.common import cut
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's ids and end_id, cut after every `capacity` ids: id, piece, start, length, ids_crc32. A null text counts as empty (one id)."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    size, end = 4 * capacity, end_id.to_bytes(4, "little")
-
-    def put(ids: tuple[int, ...]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def make(texts: list[list[bytes]], b: pa.RecordBatch) -> pa.RecordBatch:
-        row, piece, length, crc = [], [], [], []
-        for i, parts in enumerate(texts):
-            ids = b"".join([*parts, end])
-            for k in range(0, len(ids), size):
-                own = ids[k : k + size]
+    kind, end = docs.schema[id_col].dataType.simpleString(), end_id.to_bytes(4, "little")
+
+    def make(e: Encoded, b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, row, piece, length, crc = memoryview(e.ids().astype("<u4").tobytes()), [], [], [], []
+        for i, (first, last) in enumerate(zip(e.ends.tolist(), e.ends[1:].tolist())):
+            for k, at in enumerate(range(first, last + 1, capacity)):  # the end id stands at `last`
+                to = min(at + capacity, last + 1)
+                own = zlib.crc32(ids[4 * at : 4 * min(to, last)])
                 row.append(i)
-                piece.append(k // size)
-                length.append(len(own) // 4)
-                crc.append(zlib.crc32(own))
+                piece.append(k)
+                length.append(to - at)
+                crc.append(zlib.crc32(end, own) if to > last else own)
         arrays = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(np.array(piece, np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
         return pa.RecordBatch.from_arrays(arrays, [id_col, "piece", "start", "length", "ids_crc32"])
 
-    return with_tokens(docs, path, [id_col], f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long", make, put, text_col)
+    return with_tokens(docs, path, [id_col], f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long", make, text_col)
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
@@ -210,6 +206,7 @@ def pack(
     """All pieces with sequence_id and offset: sequences of at most `capacity` ids, as few as the scheme finds, each filled without gaps from 0.
 
     Null and empty texts are one id long. Repeated rows are packed each. Nulls in other columns and further columns change nothing. An empty table gives no rows.
+    Very long texts are cut into as many pieces as they need; pieces of one length tie, and are told apart by id, number and hash.
     The driver sees counts by length only (at most `capacity` numbers). Ranks among equal lengths are taken within salted parts of each length and shifted by
     the sizes of the parts before, so one length may hold any share of the pieces.
     """

@@ -6,16 +6,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradelake.llm.bpe import with_tokens
+from gradelake.llm.bpe import Encoded, with_tokens
+from gradelake.llm.common import cut
 
 
 def lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id and n_tokens. A null text counts as empty (0 tokens); repeated ids stay rows of their own."""
+    """Per row: id and n_tokens. A null text counts as empty (0 tokens); repeated ids stay rows of their own; very long texts are counted whole.
 
-    def make(texts: list[list], b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([sum(x) for x in texts], pa.int64())], [id_col, "n_tokens"])
+    An empty table gives no rows; further columns, whatever their names, are not looked at.
+    """
+
+    def make(e: Encoded, b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(e.counts(), pa.int64())], [id_col, "n_tokens"])
 
-    return with_tokens(docs, path, [id_col], f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long", make, len, text_col)
+    return with_tokens(docs, path, [id_col], f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long", make, text_col)
 
 
 def histogram(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,9 +33,11 @@ def answers(hist: DataFrame, width: int = 1024) -> DataFrame:
     n_docs: documents of length L; docs_over, tokens_over: of documents longer than L; docs_total, tokens_total: of all;
     truncated_total: tokens left when each document is cut at L; tokens_lost: the rest; share_within: share of documents no longer than L, so the
     q-quantile of the lengths is the least L with share_within >= q. An empty histogram gives no rows.
-    Sums run within blocks of `width` lengths, then over the blocks, so no task holds more than one block or the short list of blocks.
+    Lengths without documents, nulls and repeated lengths do not occur in a histogram; columns besides its two are not looked at. Sums run within blocks of
+    `width` lengths, then over the blocks, so no task holds more than one block or the short list of blocks. The histogram is written once and used twice.
     """
-    h = hist.select("n_tokens", "n_docs", F.floor(F.col("n_tokens") / width).alias("block"), (F.col("n_tokens") * F.col("n_docs")).alias("t"))
+    h = cut(hist.select("n_tokens", "n_docs"), "histogram")
+    h = h.select("n_tokens", "n_docs", F.floor(F.col("n_tokens") / width).alias("block"), (F.col("n_tokens") * F.col("n_docs")).alias("t"))
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("t").alias("bt"))

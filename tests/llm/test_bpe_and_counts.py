@@ -1,6 +1,8 @@
+import gc
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from gradelake.llm import bpe, queries, token_counts
@@ -18,8 +20,11 @@ def expected(tok, text):
 def test_encodes_as_the_library_does(spark, path, small):
     tok = Tokenizer.from_file(path)
     encoder = bpe.Encoder.of(path)
-    for t in TRICKY:
-        assert [i for p in encoder.pieces(t) for i in p] == expected(tok, t)[3], t
+    for plain in (True, False):
+        texts = [t for t in TRICKY if encoder.is_plain(t) == plain]
+        got = encoder.encode(pa.array(texts), plain)
+        for t, a, b in zip(texts, got.ends, got.ends[1:]):
+            assert got.ids()[a:b].tolist() == expected(tok, t)[3], t
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     got = queries.op5_bpe(spark, small).collect()
     assert len(got) == len(docs)
@@ -28,17 +33,20 @@ def test_encodes_as_the_library_does(spark, path, small):
 
 
 def test_cuts_are_certain(path):
-    encoder = bpe.Encoder.of(path)
-    bare = [t.removesuffix(encoder.suffix) for t in encoder.tokens.values()]
-    assert any(len(encoder.split(w)) > 1 for w in ("qzx", "jqxv", "wqjz"))
-    for w in ("qzx", "jqxv"):
-        for left, right in zip(encoder.split(w), encoder.split(w)[1:]):
-            assert not any(left[-1] + right[0] in t for t in bare)
+    encoder, words = bpe.Encoder.of(path), [b"qzx", b"jqxv", b"wqjz", b"other"]
+    parts, n = encoder.fragments(pa.array(words))
+    parts = parts.to_pylist()
+    assert b"".join(parts) == b"".join(words) and n.tolist()[3] == 1 and max(n) > 1
+    for k in range(3):
+        own = parts[sum(n[:k]) : sum(n[: k + 1])]
+        for left, right in zip(own, own[1:]):
+            assert not any(chr(left[-1]) + chr(right[0]) in t for t in encoder.tokens.to_pylist())
 
 
-def test_a_full_memory_changes_nothing(path, words):
-    texts = [" ".join(words[k : k + 40]) + "," for k in range(0, 400, 7)]
-    assert bpe.Encoder(path, remember=5).chunks(texts) == bpe.Encoder.of(path).chunks(texts)
+def test_slices_change_nothing(spark, odd_docs, path, monkeypatch):
+    whole = Counter(bpe.encode_and_decode(odd_docs, path).collect())
+    monkeypatch.setattr(bpe, "AT_ONCE", 50)
+    assert Counter(bpe.encode_and_decode(odd_docs, path).collect()) == whole and gc.isenabled()
 
 
 def test_odd_rows_and_round_trip(spark, odd_docs, path):
