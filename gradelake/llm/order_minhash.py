@@ -7,15 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import components, cut
+from gradelake.llm.common import components, cut, drop
 
 BINS = 32
 #: Pairs of texts of so many k-mers at most are found without sketches: minima drawn from few k-mers agree less often than J^minima.
 SHORT = 80
+#: Cells in which items are counted for an order of rarity: 4 MB, however many items there are.
+CELLS = 1 << 20
 
 
 def grams(words: list[str], k: int = 5) -> np.ndarray:
@@ -148,23 +151,81 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, far: float)
     return cut(both.mapInArrow(align, "a string, b string, d int, linked boolean"), "aligned")
 
 
+def _rarest(sets: DataFrame, similarity: float) -> DataFrame:
+    """Rows (c, item): of each set (c, items) the rarest items that a set with an overlap of at least similarity * n, n its size, must share one of (prefix filter).
+
+    Sets of sizes p and q that have at least similarity * max(p, q) items in common meet in one item of these, whatever the order of rarity, if it is one for all.
+    It is that of counts in CELLS cells of the items' hashes, a table of fixed size that goes to every task; items alone in their cell are left out.
+    """
+    items = sets.select("c", "items")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for b in batches:
+            counts += np.bincount(_cells(pc.list_flatten(b.column(1)).to_numpy(zero_copy_only=False)), minlength=CELLS)
+        for k, own in enumerate(np.split(counts, 16)):
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["part", "counts"])
+
+    def total(key: tuple, group: pa.Table) -> pa.Table:
+        added = np.minimum(sum(np.frombuffer(c.as_py(), np.int64) for c in group["counts"]), (1 << 31) - 1)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([added.astype(np.int32).tobytes()], pa.binary())})
+
+    often = np.zeros((16, CELLS // 16), np.int32)
+    for r in items.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(total, "part int, counts binary").collect():
+        often[r["part"]] = np.frombuffer(r["counts"], np.int32)
+    often = often.ravel()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            chosen = []
+            for own in b.column(1):
+                x = own.values.to_numpy()
+                m = often[_cells(x)]
+                first = np.lexsort((x, m))[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1]
+                chosen.append(x[first][m[first] > 1])
+            of = pa.array(np.repeat(np.arange(len(chosen)), [len(x) for x in chosen]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array(np.concatenate([*chosen, np.zeros(0, np.int64)]), pa.int64())], ["c", "item"])
+
+    return items.mapInArrow(choose, "c string, item long")
+
+
+def _cells(items: np.ndarray) -> np.ndarray:
+    return ((items.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _words(body: DataFrame) -> DataFrame:
+    """The words of texts (c, norm), each labelled by its occurrence, as sets of 64 bits: (c, items)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                items = [grams(t.split(" "), 1).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.list_(pa.int64()))], ["c", "items"])
+
+    return body.select("c", "norm").mapInArrow(run, "c string, items array<long>")
+
+
 def classes(
     docs: DataFrame, k: int = 5, similarity: float = 0.8, n_sketches: int = 20, minima: int = 5, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Per row: id, class_id (least id among the documents reachable by links), n_links (other distinct texts linked), kept; carry names further columns to return.
+    """Per row: id, class_id (least id among the documents reachable by links), kept, text_class; carry names further columns to return.
 
     Texts are compared as lower-case words between white space. Two different texts are candidates if one of n_sketches sketches agrees: the `minima`
-    least of their k-mers of words, each labelled by its occurrence, in text order. For long texts a sketch agrees with a chance near J^minima, J the Jaccard similarity of the labelled k-mers;
-    minima are drawn without replacement, so at J = 0.8 a pair with a text of more than SHORT k-mers is missed with a chance under 0.0005 (k = 5, the other defaults alike).
-    Two texts of at most SHORT k-mers are candidates whenever J is at least `similarity`, too, whatever their sketches: such pairs share one of their rarest k-mers
-    (prefix filter: of n, n - ceil(similarity * n) + 1), meet on it, and J is counted. Candidates link if their edit distance is at most (1 - similarity) of the longer one's words.
-    Equal texts are one class without alignment. Empty and null texts are equal to each other and link with nothing else. Null ids come last: class_id is null where
-    all ids of a class are null. kept marks the rows of the class's least id (of one text, if rows of different texts share that id). An empty table gives no rows.
+    least of their k-mers of words, each labelled by its occurrence, in text order. Candidates link if their edit distance is at most (1 - similarity) of the longer
+    one's words. What is promised are pairs whose labelled k-mers have a Jaccard similarity J of `similarity` or more and whose edit distance links them: a sketch agrees
+    with a chance near J^minima (minima are drawn without replacement), so at J = 0.8 a pair with a text of more than SHORT k-mers is missed with a chance under 0.0005
+    (k = 5, the other defaults alike). Two texts of at most SHORT k-mers are candidates whenever J is that high, whatever their sketches: such pairs share one of their
+    rarest k-mers (prefix filter), meet on it, and J is counted. Pairs of a lower J (more than some 3 % of the words changed here and there) link if a sketch agrees.
+    Equal texts are one class without alignment. Empty and null texts are equal to each other and link with nothing else. Very long texts are read whole. Null ids come last:
+    class_id is null where all ids of a class are null. kept marks the rows of the class's least id (of one text, if rows of different texts share that id); repeated rows
+    of it are all kept. Further columns, whatever their names, change nothing. An empty table gives no rows.
 
     No bucket is expanded into pairs. All of a bucket are aligned with its least member; who does not link starts over with the least of those left, `rounds` times.
-    Links past the leader are not lost: x linked with leader l, y not: |d(y,l) - d(x,l)| bounds d(x,y) from below, and what that bound and the word counts
-    leave possible is aligned, too,
-    unless links have joined x and y by then. What is left after the rounds is compared within its bucket under the same bounds. n_links counts links that were aligned.
+    Links past the leader are not lost: x linked with leader l, y not: |d(y,l) - d(x,l)| bounds d(x,y) from below; texts that link have `similarity` of their
+    words in common, so they share one of their rarest words (prefix filter) and meet on (bucket, word). What both leave possible is aligned, too, unless links have joined
+    x and y by then. What is left after the rounds meets on (bucket, word) likewise.
     """
     rows = docs.select(F.col(id_col), *carry, normalised(F.col(text_col)).alias("norm"))
     rows = rows.withColumn("c", F.lower(F.concat(F.lpad(F.hex(F.xxhash64("norm")), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), "norm")), 16, "0"))))
@@ -189,22 +250,17 @@ def classes(
     members = texts.select(F.explode("sketches").alias("s"), "c")
     shared = cut(members.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("leader")).where("m > 1").select(F.col("s").alias("t"), "leader"), "buckets")
     bucket = cut(members.join(shared, F.col("s") == F.col("t")).select("s", "c", "leader"), "members")
-    short = cut(texts.where(F.size("grams") > 0).select("c", "grams"), "short")
-    each = short.select("c", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    often = each.groupBy(F.col("g").alias("og")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    rarest = Window.partitionBy("c").orderBy(F.coalesce("m", F.lit(1)), "g")
-    first = each.join(often, F.col("g") == F.col("og"), "left").withColumn("at", F.row_number().over(rarest))
-    first = cut(first.where((F.col("at") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1) & F.col("m").isNotNull()).select("g", "c"), "rarest")
+    short = cut(texts.where(F.size("grams") > 0).select("c", F.col("grams").alias("items")), "short")
+    first = cut(_rarest(short, similarity), "rarest")
     needed = cut(bucket.select("c").unionByName(first.select("c")).distinct().join(texts.select("c", "id", "n_words", "bins"), "c"), "needed")
     own = needed.select(F.col("c").alias("nc"), F.col("id").alias("nid"))
     body = cut(rows.select(id_col, "c", "norm").join(own, (F.col("c") == F.col("nc")) & F.col(id_col).eqNullSafe(F.col("nid"))).select("c", "norm").dropDuplicates(["c"]), "bodies")
+    known_ids = cut(texts.select("c", "id"), "ids")
+    drop(texts, shared)
 
     slack = 1 - similarity
     far = min(1.0, slack * (1 / similarity + 1 / similarity**2) + 0.01)  # beyond this from the leader, y links with no x linked with the leader
-    size = needed.select(F.col("c").alias("sc"), "n_words", "bins")
-    left = bucket
-    known: DataFrame | None = None
-    crossed: list[DataFrame] = []
+    left, known, crossed = bucket, None, []
     for _ in range(rounds):
         pairs = left.where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct()
         if known is not None:
@@ -214,45 +270,57 @@ def classes(
         tried = cut(left.where("c <> leader").join(known, (F.col("leader") == F.col("a")) & (F.col("c") == F.col("b"))).select("s", "leader", "c", "d", "linked"), "tried")
         crossed.append(tried)
         rest = cut(tried.where("not linked").select("s", "c"), "rest")
-        head = cut(rest.groupBy("s").agg(F.min("c").alias("leader")).withColumnRenamed("s", "t"), "leaders")
+        head = rest.groupBy("s").agg(F.min("c").alias("leader")).withColumnRenamed("s", "t")
         left = cut(rest.join(head, F.col("s") == F.col("t")).select("s", "c", "leader"), "left")
+        drop(rest)
     linked = cut(known.where("linked").select("a", "b"), "links")
     roots = cut(components(linked), "roots")  # whom links have already joined needs no further alignment
+    drop(bucket)
+
     within = lambda a, b: F.abs(F.col(f"n{a}") - F.col(f"n{b}")) <= slack * F.greatest(f"n{a}", f"n{b}") + 1e-9
     apart = F.aggregate(F.zip_with("h1", "h2", lambda p, q: F.abs(p - q)), F.lit(0), lambda t, v: t + v)
-    size = cut(size.join(roots, F.col("sc") == F.col("node"), "left").select("sc", "n_words", "bins", F.coalesce("root", "sc").alias("root")), "sizes")
+    size = cut(needed.select(F.col("c").alias("sc"), "n_words", "bins").join(roots, F.col("sc") == F.col("node"), "left").select("sc", "n_words", "bins", F.coalesce("root", "sc").alias("root")), "sizes")
     sized = lambda df, k: df.join(size.withColumnsRenamed({"n_words": f"n{k}", "bins": f"h{k}", "root": f"r{k}"}), F.col("c") == F.col("sc")).drop("sc").withColumnRenamed("c", f"c{k}")
     possible = (F.col("r1") != F.col("r2")) & within(1, 2) & (apart <= 2 * (slack * F.greatest("n1", "n2") + 1e-9))
+
+    # buckets where somebody is neither linked with the leader nor too far from it, and what is left: these texts meet on their rarest words
+    near = [cut(t.where("not linked and d is not null").select("s", "leader", "c", F.col("d").alias("dy")), "near-misses") for t in crossed]
+    led = [cut(t.where("linked").select("s", "leader", "c", F.col("d").alias("dx")).join(y.select("s", "leader").distinct(), ["s", "leader"], "left_semi"), "led") for t, y in zip(crossed, near)]
+    open_ = left.select("c")
+    for t in (*near, *led):
+        open_ = open_.unionByName(t.select("c"))
+    worded_bodies = cut(_words(body.join(open_.distinct(), "c", "left_semi")), "words")
+    rare = cut(_rarest(worded_bodies, similarity).select(F.col("c").alias("wc"), F.col("item").alias("w")), "rarest-words")
+    worded = lambda df, k: sized(df.join(rare, F.col("c") == F.col("wc")).drop("wc"), k)
     more = []
-    for tried in crossed:
-        x = cut(sized(tried.where("linked").select("s", "leader", "c", F.col("d").alias("dx")), 1), "linked")
-        y = cut(sized(tried.where("not linked and d is not null").select(F.col("s").alias("s2"), F.col("leader").alias("l2"), "c", F.col("d").alias("dy")), 2), "near-misses")
-        more.append(x.join(y, (F.col("s") == F.col("s2")) & (F.col("leader") == F.col("l2")) & (F.col("dy") - F.col("dx") <= slack * F.greatest("n1", "n2") + 1e-9) & possible).select("c1", "c2"))
-    x, y = cut(sized(left.select("s", "c"), 1), "left-over"), cut(sized(left.select(F.col("s").alias("s2"), "c"), 2), "left-over")
-    more.append(x.join(y, (F.col("s") == F.col("s2")) & (F.col("c1") < F.col("c2")) & possible).select("c1", "c2"))
-    pairs = more[0].unionByName(more[1]) if len(more) == 2 else more[0].unionByName(more[1]).unionByName(more[2])
-    for extra in more[3:]:
+    for y, x in zip(near, led):
+        x, y = worded(x, 1), worded(y.withColumnsRenamed({"s": "s2", "leader": "l2"}), 2).withColumnRenamed("w", "w2")
+        on = (F.col("s") == F.col("s2")) & (F.col("w") == F.col("w2")) & (F.col("leader") == F.col("l2"))
+        more.append(x.join(y, on & (F.col("dy") - F.col("dx") <= slack * F.greatest("n1", "n2") + 1e-9) & possible).select("c1", "c2"))
+    x, y = worded(left.select("s", "c"), 1), worded(left.select(F.col("s").alias("s2"), "c"), 2).withColumnRenamed("w", "w2")
+    pairs = x.join(y, (F.col("s") == F.col("s2")) & (F.col("w") == F.col("w2")) & (F.col("c1") < F.col("c2")) & possible).select("c1", "c2")
+    for extra in more:
         pairs = pairs.unionByName(extra)
     x = cut(sized(first, 1), "rarest")  # k-mers that one set of linked texts has to itself have nothing to add
-    apiece = x.groupBy(F.col("g").alias("ag")).agg(F.min("r1").alias("least"), F.max("r1").alias("most")).where("least <> most").select("ag")
-    x = cut(x.join(apiece, F.col("g") == F.col("ag")).drop("ag"), "rarest")
-    y = x.withColumnsRenamed({"g": "g2", "c1": "c2", "n1": "n2", "h1": "h2", "r1": "r2"})
-    met = cut(x.join(y, (F.col("g") == F.col("g2")) & (F.col("c1") < F.col("c2")) & possible).select("c1", "c2").distinct(), "met")
-    held = lambda i: short.select(F.col("c").alias(f"k{i}"), F.col("grams").alias(f"g{i}"))
+    apiece = x.groupBy(F.col("item").alias("ag")).agg(F.min("r1").alias("least"), F.max("r1").alias("most")).where("least <> most").select("ag")
+    x = cut(x.join(apiece, F.col("item") == F.col("ag")).drop("ag"), "rarest")
+    y = x.withColumnsRenamed({"item": "item2", "c1": "c2", "n1": "n2", "h1": "h2", "r1": "r2"})
+    met = cut(x.join(y, (F.col("item") == F.col("item2")) & (F.col("c1") < F.col("c2")) & possible).select("c1", "c2").distinct(), "met")
+    held = lambda i: short.select(F.col("c").alias(f"k{i}"), F.col("items").alias(f"g{i}"))
     both = F.size(F.array_intersect("g1", "g2"))
     met = met.join(held(1), F.col("c1") == F.col("k1")).join(held(2), F.col("c2") == F.col("k2")).where(both >= similarity * (F.size("g1") + F.size("g2") - both) - 1e-9)
     pairs = pairs.unionByName(met.select("c1", "c2"))
     pairs = pairs.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
     last = _verified(cut(pairs, "pairs"), body, similarity, slack)
     more_links = last.where("linked").select("a", "b")
-    edges = cut(linked.unionByName(more_links).distinct(), "links")
+    drop(*crossed, *near, *led, left, known, rare, worded_bodies, first, short, body)
 
-    degree = edges.select(F.col("a").alias("x")).unionByName(edges.select(F.col("b").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("links"))
     if not more_links.isEmpty():
-        roots = cut(components(edges), "roots")
-    of = texts.select("c", "id").join(roots, F.col("c") == F.col("node"), "left").join(degree, F.col("c") == F.col("x"), "left").select("c", "id", F.coalesce("root", "c").alias("root"), F.coalesce("links", F.lit(0)).alias("n_links"))
+        roots = cut(components(linked.unionByName(more_links)), "roots")
+    of = known_ids.join(roots, F.col("c") == F.col("node"), "left").select("c", "id", F.coalesce("root", "c").alias("root"))
     of = cut(of, "roots")
     least = cut(of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "c")).alias("least")).select(F.col("root").alias("r"), F.col("least.id").alias("class_id"), F.col("least.c").alias("least_c")), "least")
-    known_as = cut(of.join(least, F.col("root") == F.col("r")).select(F.col("c").alias("kc"), "n_links", "class_id", "least_c"), "classes")
+    known_as = cut(of.join(least, F.col("root") == F.col("r")).select(F.col("c").alias("kc"), "class_id", "least_c"), "classes")
+    drop(of, least, known_ids, linked, needed, size, last)
     out = rows.drop("norm").join(known_as, F.col("c") == F.col("kc"))
-    return out.select(id_col, *carry, "class_id", "n_links", ((F.col("c") == F.col("least_c")) & F.col(id_col).eqNullSafe(F.col("class_id"))).alias("kept"), F.col("c").alias("text_class"))
+    return out.select(id_col, *carry, "class_id", ((F.col("c") == F.col("least_c")) & F.col(id_col).eqNullSafe(F.col("class_id"))).alias("kept"), F.col("c").alias("text_class"))

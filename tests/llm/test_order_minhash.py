@@ -136,3 +136,32 @@ def test_short_texts_miss_no_near_copy(spark, words):
     apart = [(i, j) for i, j in near if not set(M.sketches(rows[i][1].split())) & set(M.sketches(rows[j][1].split()))]
     assert len(near) > 40 and apart and all(got[i] == got[j] for i, j in near)
     assert all(got[i] // 2 == i // 2 for i in got)  # and no others are joined
+
+
+def test_texts_around_one_passage(spark, words):
+    """Many texts of which sketches agree though they don't link, and near copies among them that no leader shows."""
+    rng, rows = random.Random(31), []
+    passage = [rng.choice(words) for _ in range(60)]
+    for g in range(40):
+        own = [f"{rng.choice(words)}{rng.randrange(60)}" for _ in range(30)]
+        rows.append((3 * g, " ".join(own[:15] + passage + own[15:])))
+        if g % 4 == 0:
+            rows.append((3 * g + 1, " ".join(own[:15] + passage + changed(rng, own[15:], 1))))
+    want = components(rows)
+    assert len({c for _, c in want}) < len(rows)
+    for rounds in (1, 2):
+        assert Counter((r["doc_id"], r["class_id"]) for r in run(spark, rows, rounds=rounds).collect()) == want
+
+
+def test_recall_on_what_is_promised(spark, words):
+    """Long texts with any share of words changed: all pairs with J >= 0.8 that alignment links are found, against alignments of all pairs."""
+    rng, rows = random.Random(41), []
+    for g in range(120):
+        a = [f"{rng.choice(words)}{g % 7}" for _ in range(rng.randint(100, 400))]
+        rows += [(2 * g, " ".join(a)), (2 * g + 1, " ".join(changed(rng, a, 1 + g * len(a) // 2400)))]
+    got = {r["doc_id"]: r["class_id"] for r in run(spark, rows).collect()}
+    split = {i: t.split() for i, t in rows}
+    grams = {i: Counter(zip(*(w[k:] for k in range(5)))) for i, w in split.items()}
+    near = [(i, j) for i, j in itertools.combinations(split, 2) if (grams[i] & grams[j]).total() >= 0.8 * (grams[i] | grams[j]).total() and edit(split[i], split[j]) <= 0.2 * max(len(split[i]), len(split[j])) + 1e-9]
+    assert len(near) > 30 and sum(got[i] == got[j] for i, j in near) >= 0.99 * len(near)
+    assert all(got[i] // 2 == i // 2 for i in got)
