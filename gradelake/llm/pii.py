@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,12 +28,16 @@ CONTEXT = re.compile(r"(?i)\b(e-?mail|mail|correo|courriel|phone|tel|call|fax|mo
 MARK = re.compile(r"[0-9@]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match can't start within digits: it would have started before them. Saying so keeps long runs of digits from being read again and again.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: What the labelers look at besides the base spans: groups of digits, and other strings with a digit or an at sign.
-GROUPS = re.compile(r"\(?[0-9][0-9().-]*(?: [0-9().-]*[0-9][0-9().-]*)+|[^\s<>\"',;]*[0-9@][^\s<>\"',;]*")
-SECRET = re.compile(r"[A-Za-z_]*(?:pass|pwd|secret|token|key)[A-Za-z_]*[=:]\S{6,}\Z|[A-Z]{4}[A-Z0-9]{12,}\Z|(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{16,}\Z")
+#: What the labelers look at besides the base spans: strings with a digit or an at sign, and groups of digits with single spaces between them.
+TOKEN = re.compile(r"[^\s<>\"',;]++")
+DIGITS = re.compile(r"[0-9().-]++")
+ASSIGNED = ("pass", "pwd", "secret", "token", "key")
+SECRET = re.compile(r"[A-Z]{4}[A-Z0-9]{12,}\Z|(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{16,}\Z")
+NAMED = re.compile(r"([A-Za-z_]++)[=:]\S{6,}\Z")
 NATIONAL = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}\Z|[0-9]{8}[A-Z]\Z|[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{4}){2,}\Z")
 PLAIN = re.compile(r"[(v]?[0-9]{1,6}(?:[.,:/-][0-9]{1,6}){0,2}[).%]*\Z")
 
@@ -58,7 +63,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
         else:
             floor = at + 1
         at = text.find("@", floor)
-    out["ip"] = [m.span() for m in IP.finditer(text) if all(len(p) < 400 and int(p) <= 255 for p in m[0].split("."))]
+    out["ip"] = [m.span() for m in IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m[0].split(".")))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -84,8 +89,14 @@ def _national(kind: str, s: str) -> int:
     return 1 if NATIONAL.match(s) else 0
 
 
+def is_secret(s: str) -> bool:
+    """A key or hash by its shape, or a value given to a name like password."""
+    named = NAMED.match(s)
+    return bool(SECRET.match(s) or named and any(w in named[1] for w in ASSIGNED))
+
+
 def _secret(kind: str, s: str) -> int:
-    return 1 if SECRET.match(s) else 0
+    return 1 if is_secret(s) else 0
 
 
 def _plain(kind: str, s: str) -> int:
@@ -105,23 +116,47 @@ def _checksum(kind: str, s: str) -> int:
 LABELERS = (_regex, _gazetteer, _national, _secret, _plain, _digits, _checksum)
 
 
+def strings(text: str) -> Iterator[tuple[int, int]]:
+    """Where strings with a digit or an at sign lie; neighbours made of digits, brackets, points and hyphens, with one space between them, are one. Linear in the text."""
+    group: tuple[int, int] | None = None
+    for m in TOKEN.finditer(text):
+        a, b = m.span()
+        marked = MARK.search(text, a, b)
+        digits = marked and DIGITS.fullmatch(text, a, b)
+        if group and not (digits and a == group[1] + 1 and text[a - 1] == " "):
+            yield group
+            group = None
+        if digits:
+            group = (group[0] if group else a, b)
+        elif marked:
+            yield a, b
+    if group:
+        yield group
+
+
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, tuple[int, ...]]]:
     """(kind, start, end, votes): base spans and what else might be personal data, with each labeler's vote (1: yes, -1: no, 0: none); the last is the context's."""
     if not MARK.search(text):
         return []
-    taken = sorted(s for spans in base.values() for s in spans)
+    taken: list[tuple[int, int]] = []  # united, so that one search tells whether a span overlaps any
+    for x, y in sorted(s for spans in base.values() for s in spans):
+        if taken and x < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(y, taken[-1][1]))
+        else:
+            taken.append((x, y))
+    starts = [x for x, _ in taken]
     found = [(k, a, b) for k in BASE for a, b in base[k]]
-    for m in GROUPS.finditer(text):
-        a, b = m.span()
+    for a, b in strings(text):
         while b > a and text[b - 1] in ".:!?)-(":
             b -= 1
-        if b > a and not any(x < b and a < y for x, y in taken):
+        k = bisect_left(starts, b) - 1
+        if b > a and not (k >= 0 and taken[k][1] > a):
             s = text[a:b]
-            found.append(("email" if "@" in s else "secret" if SECRET.match(s) else "number", a, b))
-    out = []
+            found.append(("email" if "@" in s else "secret" if is_secret(s) else "number", a, b))
+    out, known = [], {(k, *span) for k in BASE for span in base[k]}
     for kind, a, b in found:
         s = text[a:b]
-        is_base = (a, b) in base.get(kind, ())
+        is_base = (kind, a, b) in known
         votes = [f(kind if is_base or kind not in BASE else "", s) for f in LABELERS]
         out.append((kind, a, b, (*votes, 1 if CONTEXT.search(text[max(0, a - 40) : a]) else 0)))
     return out
@@ -239,8 +274,9 @@ def fit(docs: DataFrame, text_col: str = "text") -> Classifier:
 def find(text: str, model: Classifier, threshold: float = 0.5) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
     """Base spans, and all spans by kind and start: the base ones and what the classifier adds."""
     base = base_spans(text)
-    spans = [(k, a, b) for k in BASE for a, b in base[k]]
-    spans += [(k, a, b) for k, a, b, v in candidates(text, base) if (a, b) not in base.get(k, ()) and model.score(features(k, text[a:b], v)) >= threshold]
+    known = {(k, a, b) for k in BASE for a, b in base[k]}
+    spans = [*known]
+    spans += [(k, a, b) for k, a, b, v in candidates(text, base) if (k, a, b) not in known and model.score(features(k, text[a:b], v)) >= threshold]
     return base, sorted(set(spans), key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
