@@ -35,7 +35,8 @@ def test_brute_force_order(spark):
     by = defaultdict(list)
     for d in docs:
         by[d[2]].append(d)
-    line = sorted(((k + 0.5) / len(v), s, h(d), d[0]) for s, v in by.items() for k, d in enumerate(sorted(v, key=h)))
+    phase = lambda s: (int(hashlib.md5(f"shard-1:={s}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+    line = sorted(((k + phase(s)) / len(v), s, h(d), d[0]) for s, v in by.items() for k, d in enumerate(sorted(v, key=h)))
     want, low, extra, at = {}, *divmod(len(docs), 7), 0
     for shard in range(7):
         for slot in range(low + (shard < extra)):
@@ -44,6 +45,14 @@ def test_brute_force_order(spark):
     assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == want
 
 
+def test_sources_of_one_row_lie_all_over(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", f"s{i}") for i in range(1600)], "doc_id long, text string, source string")
+    rows = sharding.shards(docs, 16, rows_per_part=25).collect()
+    check(rows, docs.collect(), 16)
+    near = [r["shard"] for r in rows if r["doc_id"] < 400]
+    assert all(8 <= near.count(k) <= 45 for k in range(16))
+
+
 def test_odd_rows(spark, odd_docs):
     check(sharding.shards(odd_docs, 4).collect(), odd_docs.collect(), 4)
     assert sharding.shards(odd_docs.limit(0)).collect() == []
