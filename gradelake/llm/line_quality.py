@@ -42,10 +42,11 @@ def judge(
     """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and n_frequent_words (words in removed lines).
 
     Lines are normalised (lower case, white space as one space, trimmed) and hashed with their host. A line that is in more than max(least_docs, share of the host's
-    distinct texts) distinct texts of its host is removed everywhere in that host; a document of which more than the `depleted` share of words goes is rejected, and so is one
-    that fails the base rules (n_words < 50 or 100 * n_repeat_words > 50 * n_words). Copies of one text count as one document, so copying a text does not make its lines frequent.
+    documents) documents of its host is removed everywhere in that host; a document of which more than the `depleted` share of words goes is rejected, and so is one
+    that fails the base rules (n_words < 50 or 100 * n_repeat_words > 50 * n_words). Each row is a document: copies of one text count as many, a line twice in one of them once.
     A null text is empty (0 words: fails); a null host is a host of its own. Repeated rows and null ids are judged like others. An empty table gives no rows. Further
-    columns, whatever their names, are not looked at. Lines are counted with partial aggregation; a line in any share of the documents is one counter a task.
+    columns, whatever their names, are not looked at. Lines are counted with partial aggregation; a line in any share of the documents is one counter a task. Very long texts are read
+    whole, as one row; equal counts need no order.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("-"))
@@ -54,9 +55,10 @@ def judge(
     lines = F.split(F.lower(F.regexp_replace("__t", "[ \\x09\\x0B-\\x0D]+", " ")), "\n")
     numbered = rows.select("__h", "__k1", "__k2", F.posexplode(lines).alias("pos", "raw")).select("__h", "__k1", "__k2", "pos", F.trim("raw").alias("line")).where("line <> ''")
     numbered = numbered.select("__h", "__k1", "__k2", "pos", F.xxhash64("__h", "line").alias("l"), F.size(F.split("line", " ")).alias("words"))
-    texts_of = rows.select("__h", "__k1").distinct().groupBy("__h").agg(F.count(F.lit(1)).alias("texts"))
-    counted = numbered.select("__h", "l", "__k1").distinct().groupBy("__h", "l").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_docs)
-    frequent = cut(counted.join(texts_of.withColumnRenamed("__h", "g"), F.col("__h") == F.col("g")).where(F.col("n") > share * F.col("texts")).select(F.col("l").alias("f")), "frequent-lines")
+    docs_of = rows.groupBy(F.col("__h").alias("g")).agg(F.count(F.lit(1)).alias("docs"))
+    kinds = F.array_distinct(F.transform(F.filter(F.transform(lines, F.trim), lambda x: x != ""), lambda x: F.xxhash64("__h", x)))
+    counted = rows.select("__h", F.explode(kinds).alias("l")).groupBy("__h", "l").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_docs)
+    frequent = cut(counted.join(docs_of, F.col("__h") == F.col("g")).where(F.col("n") > share * F.col("docs")).select(F.col("l").alias("f")), "frequent-lines")
     if frequent.count() <= BROADCAST_ROWS:
         frequent = F.broadcast(frequent)
     gone = numbered.join(frequent, F.col("l") == F.col("f"), "left_semi").groupBy("__k1", "__k2", "pos").agg(F.max("words").alias("words"))
@@ -87,8 +89,9 @@ ORACLE = r"""
 with d as (select doc_id, coalesce(text, '') t, coalesce('=' || source, '-') h from documents),
 lines as (select h, t, pos, line, length(line) - length(replace(line, ' ', '')) + 1 words from (
     select h, t, generate_subscripts(l, 1) pos, trim(unnest(l), ' ') line from (select distinct h, t, string_split(lower(regexp_replace(t, '[ \t\x0B-\x0D]+', ' ', 'g')), chr(10)) l from d)) where line <> ''),
-texts as (select h, count(distinct t) n from d group by h),
-frequent as (select h, line from (select h, line, count(distinct t) k from lines group by h, line) join texts using (h) where k > 10 and k > 0.02 * n),
+texts as (select h, t, count(*) m from d group by h, t),
+hosts as (select h, count(*) n from d group by h),
+frequent as (select h, line from (select h, line, sum(m) k from (select distinct h, t, line from lines) join texts using (h, t) group by h, line) join hosts using (h) where k > 10 and k > 0.02 * n),
 gone as (select h, t, sum(words) n from lines semi join frequent using (h, line) group by h, t),
 words as (select t, list_filter(regexp_split_to_array(t, '[ \t-\x0D]+'), lambda x: x <> '') w from (select distinct t from d)),
 win as (select t, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g from (select t, w, unnest(range(1, len(w) - 1)) i from words)),

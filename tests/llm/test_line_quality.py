@@ -17,9 +17,9 @@ def base(text):
 
 def frequent_words(rows, least=10, share=0.02):
     lines_of = lambda t: [" ".join(x.split(" ")).strip(" ") for x in re.sub(r"[ \x09\x0B-\x0D]+", " ", t or "").lower().split("\n")]
-    texts = defaultdict(set)
+    texts = defaultdict(list)
     for r in rows:
-        texts[r["source"]].add(r["text"] or "")
+        texts[r["source"]].append(r["text"] or "")
     count = Counter((s, x) for s, ts in texts.items() for t in ts for x in {*lines_of(t)} if x)
     gone = {k for k, n in count.items() if n > least and n > share * len(texts[k[0]])}
     return [sum(len(x.split(" ")) for x in lines_of(r["text"]) if x and (r["source"], x) in gone) for r in rows]
