@@ -223,9 +223,9 @@ def classes(
     of it are all kept. Further columns, whatever their names, change nothing. An empty table gives no rows.
 
     No bucket is expanded into pairs. All of a bucket are aligned with its least member; who does not link starts over with the least of those left, `rounds` times.
-    Links past the leader are not lost: x linked with leader l, y not: |d(y,l) - d(x,l)| bounds d(x,y) from below; texts that link have `similarity` of their
-    words in common, so they share one of their rarest words (prefix filter) and meet on (bucket, word). What both leave possible is aligned, too, unless links have joined
-    x and y by then. What is left after the rounds meets on (bucket, word) likewise.
+    Links past the leader are not lost: of a bucket in which somebody is neither linked with the leader nor too far from it to link with others, and of what is left
+    after the rounds, texts meet again on words: those that link have `similarity` of their words in common, so they share one of their rarest (prefix filter). Pairs
+    of one bucket that meet there, and that lengths and binned word counts leave possible, are aligned, too, unless links have joined them by then.
     """
     rows = docs.select(F.col(id_col), *carry, normalised(F.col(text_col)).alias("norm"))
     rows = rows.withColumn("c", F.lower(F.concat(F.lpad(F.hex(F.xxhash64("norm")), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), "norm")), 16, "0"))))
@@ -284,23 +284,19 @@ def classes(
     possible = (F.col("r1") != F.col("r2")) & within(1, 2) & (apart <= 2 * (slack * F.greatest("n1", "n2") + 1e-9))
 
     # buckets where somebody is neither linked with the leader nor too far from it, and what is left: these texts meet on their rarest words
-    near = [cut(t.where("not linked and d is not null").select("s", "leader", "c", F.col("d").alias("dy")), "near-misses") for t in crossed]
-    led = [cut(t.where("linked").select("s", "leader", "c", F.col("d").alias("dx")).join(y.select("s", "leader").distinct(), ["s", "leader"], "left_semi"), "led") for t, y in zip(crossed, near)]
-    open_ = left.select("c")
+    near = [cut(t.where("not linked and d is not null").select("s", "leader", "c"), "near-misses") for t in crossed]
+    led = [cut(t.where("linked").select("s", "leader", "c").join(y.select("s", "leader").distinct(), ["s", "leader"], "left_semi"), "led") for t, y in zip(crossed, near)]
+    open_ = left.select("s", "c")
     for t in (*near, *led):
-        open_ = open_.unionByName(t.select("c"))
-    worded_bodies = cut(_words(body.join(open_.distinct(), "c", "left_semi")), "words")
-    rare = cut(_rarest(worded_bodies, similarity).select(F.col("c").alias("wc"), F.col("item").alias("w")), "rarest-words")
-    worded = lambda df, k: sized(df.join(rare, F.col("c") == F.col("wc")).drop("wc"), k)
-    more = []
-    for y, x in zip(near, led):
-        x, y = worded(x, 1), worded(y.withColumnsRenamed({"s": "s2", "leader": "l2"}), 2).withColumnRenamed("w", "w2")
-        on = (F.col("s") == F.col("s2")) & (F.col("w") == F.col("w2")) & (F.col("leader") == F.col("l2"))
-        more.append(x.join(y, on & (F.col("dy") - F.col("dx") <= slack * F.greatest("n1", "n2") + 1e-9) & possible).select("c1", "c2"))
-    x, y = worded(left.select("s", "c"), 1), worded(left.select(F.col("s").alias("s2"), "c"), 2).withColumnRenamed("w", "w2")
-    pairs = x.join(y, (F.col("s") == F.col("s2")) & (F.col("w") == F.col("w2")) & (F.col("c1") < F.col("c2")) & possible).select("c1", "c2")
-    for extra in more:
-        pairs = pairs.unionByName(extra)
+        open_ = open_.unionByName(t.select("s", "c"))
+    met_buckets = cut(open_.distinct().groupBy("c").agg(F.collect_list("s").alias("in")), "open-buckets")  # of each text few: one a sketch at most
+    worded = cut(_words(body.join(met_buckets.select("c"), "c", "left_semi")), "words")
+    rare = cut(_rarest(worded, similarity).withColumnsRenamed({"c": "wc", "item": "w"}), "rarest-words")
+    own = rare.groupBy("wc").agg(F.collect_list("w").alias("p")).join(met_buckets, F.col("wc") == F.col("c")).drop("wc")
+    own = cut(sized(own, 1).join(rare, F.col("c1") == F.col("wc")).drop("wc"), "worded")
+    other = own.withColumnsRenamed({"c1": "c2", "n1": "n2", "h1": "h2", "r1": "r2", "in": "in2", "p": "p2", "w": "w2"})
+    once = F.col("w") == F.array_min(F.array_intersect("p", "p2"))  # the least word they meet on says it, not each
+    pairs = own.join(other, (F.col("w") == F.col("w2")) & (F.col("c1") < F.col("c2")) & possible & F.arrays_overlap("in", "in2") & once).select("c1", "c2")
     x = cut(sized(first, 1), "rarest")  # k-mers that one set of linked texts has to itself have nothing to add
     apiece = x.groupBy(F.col("item").alias("ag")).agg(F.min("r1").alias("least"), F.max("r1").alias("most")).where("least <> most").select("ag")
     x = cut(x.join(apiece, F.col("item") == F.col("ag")).drop("ag"), "rarest")
@@ -313,7 +309,7 @@ def classes(
     pairs = pairs.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
     last = _verified(cut(pairs, "pairs"), body, similarity, slack)
     more_links = last.where("linked").select("a", "b")
-    drop(*crossed, *near, *led, left, known, rare, worded_bodies, first, short, body)
+    drop(*crossed, *near, *led, left, known, rare, worded, own, met_buckets, first, short, body)
 
     if not more_links.isEmpty():
         roots = cut(components(linked.unionByName(more_links)), "roots")
