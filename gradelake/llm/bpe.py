@@ -31,7 +31,7 @@ WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z
 #: Stands before the id of a special token among the words of a text; bytes that no UTF-8 text holds.
 SPECIAL = b"\xff\xff"
 #: So many bytes of text are encoded together; a longer text is encoded alone.
-AT_ONCE = 16 << 20
+AT_ONCE = 4 << 20
 
 
 def gathered(values: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -227,6 +227,7 @@ def with_tokens(
                         with without_collector():
                             out = make(encoder.encode(own.filter(some), kind), part.filter(some))
                         yield out
+        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
     return docs.select(*columns, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 

@@ -234,6 +234,13 @@ def _unite(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time: so many texts are unpacked together."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def _unpack(column: pa.Array) -> list[bytes]:
     get = zstandard.ZstdDecompressor().decompress
     return [get(z) for z in column.to_pylist()]
@@ -261,7 +268,7 @@ def remove_repeats(
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         put = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
+        for b in _slices(batches):
             raw = [t.encode() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(t) for t in raw], pa.int64()), pa.array(list(map(put, raw)), pa.binary())], ["k1", "k2", "n_bytes", "z"])
 
@@ -274,12 +281,12 @@ def remove_repeats(
     texts = spark.table(name)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(anchors(_unpack(b.column(0)), width)[4])], ["h"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments by place; of those that their own text settles, the ranges, as numbers below 0."""
-        for b in batches:
+        for b in _slices(batches):
             raw = _unpack(b.column(2))
             i, s0, n, a, h = anchors(raw, width)
             gone, ranges = settled(raw, width, i, s0, n, a, h)
@@ -294,7 +301,7 @@ def remove_repeats(
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each segment with a 128-bit signature of its bytes and its anchor's place in them."""
-        for b in batches:
+        for b in _slices(batches):
             for k1, k2, z, some in zip(*(c.to_pylist() for c in b.columns)):
                 t = zstandard.ZstdDecompressor().decompress(z)
                 h, at, sign = [p["h"] for p in some], [p["at"] for p in some], []
@@ -313,7 +320,7 @@ def remove_repeats(
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes of one segment of each kind, where its group has others."""
-        for b in batches:
+        for b in _slices(batches):
             for z, some in zip(*(c.to_pylist() for c in b.columns)):
                 t, kind = zstandard.ZstdDecompressor().decompress(z), {"h": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "m": pa.int64()}
                 at = [_place(p["at"]) for p in some]
@@ -344,7 +351,7 @@ def remove_repeats(
         yield pa.RecordBatch.from_pylist(solve(group) if group else [], schema=kind)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             for r in b.to_pylist():
                 n = len(r["body"]) - width + 1
                 signs = np.frombuffer(b"".join(hashlib.blake2b(r["body"][k : k + width], digest_size=16).digest() for k in range(n)), np.int64).reshape(n, 2)
@@ -388,7 +395,7 @@ def remove_repeats(
         return out
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             removed, n_spans, sha, kept_texts = [], [], [], []
             sizes = b.column(3).to_numpy(zero_copy_only=False)
             for gone, size, z in zip(spans(b.column(5), sizes, b.column(2).to_numpy(zero_copy_only=False)), sizes.tolist(), b.column(4).to_pylist()):
