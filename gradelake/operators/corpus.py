@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradelake.functions.text import WS, sections, shingles, tfidf_tokens, visible_text
+from gradelake.functions.text import WS, bound, sections, shingles, tfidf_tokens, visible_text
 
 # --- questions
 
@@ -139,12 +141,20 @@ def grounded(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     stripped = words(without_skippable(F.col("quote"), 8))
     found = F.lit(False)
     cut = F.trim("quote").rlike(r"(\.\.\.|…)\s*$")
+
+    def reading(own: Column, plain: bool) -> Callable[[Column], Column]:
+        def read(hay: Column) -> Column:
+            got = F.lit(False) if plain else hit(hay, own)
+            for missing in range(1, 5):
+                lead = F.slice(own, F.lit(1), F.greatest(F.lit(0), F.size(own) - missing))
+                got = got | (cut & (F.size(lead) >= 6) & F.contains(hay, F.concat(F.lit(" "), F.array_join(lead, " "), F.lit(" "))))
+            return got
+
+        return read
+
     for mask in range(16):
         hay, own = F.concat(F.lit(" "), visible_text(without_skippable(F.col("text"), mask)), F.lit(" ")), (F.col("w8") if mask & 8 else F.col("w"))
-        found = found | (hit(hay, own) if mask else F.lit(False))
-        for missing in range(1, 5):
-            lead = F.slice(own, F.lit(1), F.greatest(F.lit(0), F.size(own) - missing))
-            found = found | (cut & (F.size(lead) >= 6) & F.contains(hay, F.concat(F.lit(" "), F.array_join(lead, " "), F.lit(" "))))
+        found = found | bound(hay, reading(own, not mask))
     rest = first.where("not plain").withColumn("w8", stripped).select("quote_id", "doc_id", found.alias("grounded"))
     return first.where("plain").select("quote_id", "doc_id", F.lit(True).alias("grounded")).unionByName(rest)
 

@@ -87,7 +87,7 @@ def h19(c):
     return c.where("role = 'user'").select("conv_id", "turn", G.check_topic(topic, F.lit(False)).alias("problem"))
 
 
-@query("h30_extract_json", "events", sql="select event_id, case when event_id % 3 = 0 then 'text_outside' when event_id % 3 = 1 then 'no_json' end problem from events where event_id % 10 = 0")
+@query("h30_extract_json", "events", sql="select event_id, case when event_id % 3 = 0 then 'text_outside' when event_id % 3 = 1 then 'no_json' end problem from events")
 def h30(events):
     reply = F.when(F.col("event_id") % 3 == 0, F.concat("props", F.repeat(F.lit("x"), F.lit(300)))).when(F.col("event_id") % 3 == 1, F.lit("sorry { not closed")).otherwise(F.concat(F.lit("<think>[1]</think>```json\n"), "props", F.lit("\n```")))
-    return G.extract_json(events.where("event_id % 10 = 0").withColumn("reply", reply), "reply", "event_id").select("event_id", "problem")
+    return G.extract_json(events.withColumn("reply", reply), "reply", "event_id").select("event_id", "problem")
