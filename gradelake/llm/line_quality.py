@@ -56,7 +56,7 @@ def judge(
     numbered = rows.select("__h", "__k1", "__k2", F.posexplode(lines).alias("pos", "raw")).select("__h", "__k1", "__k2", "pos", F.trim("raw").alias("line")).where("line <> ''")
     numbered = numbered.select("__h", "__k1", "__k2", "pos", F.xxhash64("__h", "line").alias("l"), F.size(F.split("line", " ")).alias("words"))
     docs_of = rows.groupBy(F.col("__h").alias("g")).agg(F.count(F.lit(1)).alias("docs"))
-    kinds = F.array_distinct(F.transform(F.filter(F.transform(lines, F.trim), lambda x: x != ""), lambda x: F.xxhash64("__h", x)))
+    kinds = F.array_distinct(F.transform(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.xxhash64("__h", x)))
     counted = rows.select("__h", F.explode(kinds).alias("l")).groupBy("__h", "l").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_docs)
     frequent = cut(counted.join(docs_of, F.col("__h") == F.col("g")).where(F.col("n") > share * F.col("docs")).select(F.col("l").alias("f")), "frequent-lines")
     if frequent.count() <= BROADCAST_ROWS:
