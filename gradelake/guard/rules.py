@@ -61,11 +61,12 @@ def _build() -> tuple[Rule, ...]:
 
 
 RULES = _build()
-#: One cheap look for any first word, so most lines meet no rule at all. The same text serves Spark's rlike.
-TRIGGER = r"(?i)(?:" + "|".join(words[parts[0]] for words in VOCABULARY.values() for _, parts, _ in SHAPES) + ")"
-_TRIGGER = re.compile(TRIGGER)
+_FIRST = r"(?<!\w)(?:" + "|".join(words[parts[0]] for words in VOCABULARY.values() for _, parts, _ in SHAPES) + ")"
+#: One cheap look for any first word, so most lines meet no rule at all; this one is for Spark's rlike.
+TRIGGER = "(?i)" + _FIRST
+_TRIGGER = re.compile(_FIRST)
 
 
 def matching(text: str) -> list[Rule]:
-    """Rules that match a text (raw or normalised)."""
+    """Rules that match a lower-case text (raw or normalised)."""
     return [r for r in RULES if r.pattern.search(text)] if _TRIGGER.search(text) else []

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,13 +134,14 @@ def without_skippable(md: Column, mask: int) -> Column:
 
 def grounded(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """Whether each quote is a run of at least 3 visible words of its document, in any of 16 readings, or cut short (an ellipsis) with 6 leading words and 4 missing ones at most.
+    A null quote or document is grounded in nothing.
 
     Two passes: the plain reading settles most quotes; only documents with a quote still open get the other readings. quotes: (quote_id, doc_id, quote).
     """
     hit = lambda hay, words: (F.size(words) >= 3) & F.contains(hay, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
     words = lambda c: F.filter(F.split(visible_text(c), " "), lambda w: w != "")
     d = docs.select(F.col("doc_id").alias("k"), "text", F.concat(F.lit(" "), visible_text(F.col("text")), F.lit(" ")).alias("hay"))
-    first = quotes.withColumn("w", words(F.col("quote"))).join(d, F.col("doc_id") == F.col("k")).select("quote_id", "doc_id", "quote", "w", "text", hit(F.col("hay"), F.col("w")).alias("plain"))
+    first = quotes.withColumn("w", words(F.col("quote"))).join(d, F.col("doc_id") == F.col("k")).select("quote_id", "doc_id", "quote", "w", "text", F.coalesce(hit(F.col("hay"), F.col("w")), F.lit(False)).alias("plain"))
     stripped = words(without_skippable(F.col("quote"), 8))
     found = F.lit(False)
     cut = F.trim("quote").rlike(r"(\.\.\.|…)\s*$")
@@ -155,7 +159,7 @@ def grounded(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     for mask in range(16):
         hay, own = F.concat(F.lit(" "), visible_text(without_skippable(F.col("text"), mask)), F.lit(" ")), (F.col("w8") if mask & 8 else F.col("w"))
         found = found | bound(hay, reading(own, not mask))
-    rest = first.where("not plain").withColumn("w8", stripped).select("quote_id", "doc_id", found.alias("grounded"))
+    rest = first.where("not plain").withColumn("w8", stripped).select("quote_id", "doc_id", F.coalesce(found, F.lit(False)).alias("grounded"))
     return first.where("plain").select("quote_id", "doc_id", F.lit(True).alias("grounded")).unionByName(rest)
 
 
@@ -191,19 +195,59 @@ def sparse_best_match(left: DataFrame, right: DataFrame) -> DataFrame:
     return every.join(dots.groupBy("doc_id", "id").agg(F.max("cos").alias("c")), ["doc_id", "id"], "left").select("doc_id", "id", F.coalesce("c", F.lit(0.0)).alias("best"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def _best_in_tiles(left: DataFrame, right: DataFrame, key: str, same: bool, tile: int, but_itself: bool = False) -> DataFrame:
+    """(id, key, best): for each row of `left` in each tile, the greatest dot product with rows of `right` of an equal (same) or another key, null if there is none.
 
-
-def best_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    Both sides are dealt into blocks of about `tile` rows, as many as their counts ask for (within a key, if keys must be equal), and each pair of blocks is one
+    Arrow group: what a task holds does not grow with the table or with a key, and no pair of rows is written out. Rows without key, id or vector are
+    left out, with but_itself rows of equal ids, too; vectors of different lengths or with a component that is no number have no product.
+    """
+    usable = F.col(key).isNotNull() & F.col("id").isNotNull() & F.col("vector").isNotNull()
+    sides = [df.where(usable).select("id", F.col(key).alias("k"), F.col("vector").cast("array<double>").alias("vector"), F.lit(own).alias("left")) for df, own in ((left, True), (right, False))]
+    rows = sides[0].unionByName(sides[1])
+    blocks = lambda own: F.greatest(F.lit(1), F.ceil(F.count_if(F.col("left") == own) / tile)).cast("int").alias("n_left" if own else "n_right")
+    if same:
+        sizes = rows.groupBy(F.col("k").alias("k2")).agg(blocks(True), blocks(False))
+        rows = rows.join(sizes, F.col("k") == F.col("k2")).withColumn("g", F.col("k"))
+    else:
+        n = rows.agg(blocks(True), blocks(False)).first()
+        rows = rows.select("*", F.lit(n["n_left"]).alias("n_left"), F.lit(n["n_right"]).alias("n_right"), F.lit(0).alias("g"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("left"), F.col("n_left")).otherwise(F.col("n_right"))).cast("int")
+    other = F.sequence(F.lit(0), F.when(F.col("left"), F.col("n_right")).otherwise(F.col("n_left")) - 1)
+    dealt = rows.select("g", "id", "k", "vector", "left", own.alias("own"), F.explode(other).alias("other"))
+    dealt = dealt.select("g", F.when(F.col("left"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("left"), F.col("other")).otherwise(F.col("own")).alias("j"), "id", "k", "vector", "left")
+
+    def join(group: pa.Table) -> pa.Table:
+        out = []
+        sizes = pc.list_value_length(group["vector"])
+        for size in pc.unique(sizes.filter(group["left"])).to_pylist():
+            part = group.filter(pc.equal(sizes, size))
+            a, b = part.filter(part["left"]), part.filter(pc.invert(part["left"]))
+            best = np.full(len(a), np.nan)
+            if len(b) and size:
+                x, y = (pc.list_flatten(t["vector"]).to_numpy().reshape(len(t), size) for t in (a, b))
+                equal = lambda c: np.asarray(a[c].to_pylist(), object)[:, None] == np.asarray(b[c].to_pylist(), object)[None]  # noqa: E731, B023
+                products = x @ y.T
+                allowed = ~np.isnan(products) & (True if same else ~equal("k")) & (~equal("id") if but_itself else True)
+                best = np.where(allowed, products, -np.inf).max(axis=1)
+            out.append(pa.table({"id": a["id"], "k": a["k"], "best": pa.array(best, mask=~np.isfinite(best))}))
+        empty = pa.table({"id": group["id"].slice(0, 0), "k": group["k"].slice(0, 0), "best": pa.array([], pa.float64())})
+        return pa.concat_tables([empty, *out])
+
+    kind = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    return dealt.groupBy("g", "i", "j").applyInArrow(join, f"id {kind['id']}, k {kind['k']}, best double").withColumnRenamed("k", key)
+
+
+def best_match(left: DataFrame, right: DataFrame, key: str, tile: int = 1024) -> DataFrame:
     """For each left vector the greatest cosine with a right vector of the same key (unit vectors)."""
-    r = right.select(F.col(key).alias("k2"), F.col("vector").alias("v2"))
-    return left.join(r, F.col(key) == F.col("k2")).groupBy("id", key).agg(F.max(dot(F.col("vector"), F.col("v2"))).alias("best"))
+    return _best_in_tiles(left, right, key, True, tile).groupBy("id", key).agg(F.max("best").alias("best")).where("best is not null")
 
 
-def max_pairwise(vectors: DataFrame, key: str) -> DataFrame:
+def max_pairwise(vectors: DataFrame, key: str, tile: int = 1024) -> DataFrame:
     """Per key the greatest cosine between two of its vectors."""
-    b = vectors.select(F.col(key).alias("k2"), F.col("id").alias("i2"), F.col("vector").alias("v2"))
-    return vectors.join(b, (F.col(key) == F.col("k2")) & (F.col("id") < F.col("i2"))).groupBy(key).agg(F.max(dot(F.col("vector"), F.col("v2"))).alias("max_cos"))
+    return _best_in_tiles(vectors, vectors, key, True, tile, but_itself=True).groupBy(key).agg(F.max("best").alias("max_cos")).where("max_cos is not null")
 
 
+def best_of_others(left: DataFrame, right: DataFrame, key: str, tile: int = 1024) -> DataFrame:
+    """For each left vector the greatest cosine with a right vector of another key."""
+    return _best_in_tiles(left, right, key, False, tile).groupBy("id").agg(F.max("best").alias("best"))

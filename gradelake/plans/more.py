@@ -44,10 +44,10 @@ def c9(cases):
     return V.curate_cases(cases.select("case_id", "language", F.col("intent").alias("origin")), intents).select("case_id", "tone", "stage")
 
 
-@query("c11_control_match", "embeddings", sql=f"select a.id, round(max(list_dot_product(a.v, b.v)), 5) best from {UNIT} a join {UNIT} b on a.label <> b.label and a.id % 10 = 0 and b.id % 10 = 1 group by a.id")
+@query("c11_control_match", "embeddings", sql=f"select a.id, round(max(list_dot_product(a.v, b.v)), 5) best from {UNIT} a join {UNIT} b on a.label <> b.label and a.id % 2 = 0 and b.id % 2 = 1 group by a.id")
 def c11(e):
     v = _vectors(e)
-    return V.control_match(v.where("id % 10 = 0"), v.where("id % 10 = 1"), "label").withColumn("best", F.round("best", 5))
+    return C.best_of_others(v.where("id % 2 = 0"), v.where("id % 2 = 1"), "label").withColumn("best", F.round("best", 5))
 
 
 @query("d18_classify_cases", "cases", sql="select case_id, case when case_id % 29 = 0 then 'leaked' when case_id % 13 = 0 then 'failed' when case_id % 5 = 0 then 'rejected' when case_id % 17 = 0 then 'rails' else 'resisted' end outcome from cases")

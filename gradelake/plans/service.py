@@ -234,11 +234,11 @@ def c8(sources):
 
 
 @query("c8_as_of", "attempts", "jobs", sql="""
-    select a.attempt_id, j.model from (select attempt_id, user_id, started_at from attempts where attempt_id % 2 = 1) a asof left join
-    (select completion_tokens, started_at, max(model) model from jobs where quiz_id % 2 = 0 group by completion_tokens, started_at) j on a.user_id = j.completion_tokens and a.started_at >= j.started_at""")
+    select a.attempt_id, j.model from (select attempt_id, user_id, started_at from attempts) a asof left join
+    (select completion_tokens, started_at, max(model) model from jobs group by completion_tokens, started_at) j on a.user_id = j.completion_tokens and a.started_at >= j.started_at""")
 def c8_as_of(attempts, jobs):
-    versions = jobs.where("quiz_id % 2 = 0").groupBy(F.col("completion_tokens").alias("user_id"), F.col("started_at").alias("since")).agg(F.max("model").alias("model"))
-    return R.latest_as_of(attempts.where("attempt_id % 2 = 1").select("attempt_id", "user_id", "started_at"), versions, "user_id", "started_at", "since", "model").select("attempt_id", "model")
+    versions = jobs.groupBy(F.col("completion_tokens").alias("user_id"), F.col("started_at").alias("since")).agg(F.max("model").alias("model"))
+    return R.latest_as_of(attempts.select("attempt_id", "user_id", "started_at"), versions, "user_id", "started_at", "since", "model").select("attempt_id", "model")
 
 
 @query("e11_even_pick", "questions", sql="""

@@ -179,22 +179,22 @@ RUNS = "(select id, unnest(list_transform(range(1, len(w) - {k} + 1), lambda i:
 
 
 @query("c13_prompt_leaks", "conversations", sql=f"""
-    with a as (select distinct id, run from {RUNS.format(k=7, id='conv_id', v=VISIBLE.format('text'), t="(select * from conversations where role = 'assistant' and turn = (turn // 2) * 2)")} x), b as (select distinct id, run from {RUNS.format(k=7, id='conv_id', v=VISIBLE.format('text'), t="(select * from conversations where role = 'system')")} y)
+    with a as (select distinct id, run from {RUNS.format(k=7, id='conv_id', v=VISIBLE.format('text'), t="(select * from conversations where role = 'assistant')")} x), b as (select distinct id, run from {RUNS.format(k=7, id='conv_id', v=VISIBLE.format('text'), t="(select * from conversations where role = 'system')")} y)
     select a.id left_id, b.id right_id, count(*) runs, min(run) first_run from a join b using (run) group by a.id, b.id""")
 def c13(c):
     words = X.visible_text(F.col("text")).alias("words")
-    replies = c.where("role = 'assistant' and turn % 2 = 0").select(F.col("conv_id").alias("id"), words)
+    replies = c.where("role = 'assistant'").select(F.col("conv_id").alias("id"), words)
     return C.shared_runs(replies, c.where("role = 'system'").select(F.col("conv_id").alias("id"), words), 8).select("left_id", "right_id", "runs", "first_run")
 
 
-@query("c14_attack_overlap", "documents", "benchmark", sql=f"""
+@query("c14_attack_overlap", "documents", "benchmark", "conversations", sql=f"""
     with a as (select distinct id, run from {RUNS.format(k=3, id='doc_id', v=VISIBLE.format('text'), t='documents')} x), b as (select distinct id, run from {RUNS.format(k=3, id='item_id', v=VISIBLE.format('text'), t='benchmark')} y),
-    c as (select distinct run from {RUNS.format(k=3, id='doc_id', v=VISIBLE.format('text'), t='(select * from documents where doc_id % 97 = 0)')} z)
+    c as (select distinct run from {RUNS.format(k=3, id='conv_id', v=VISIBLE.format('text'), t='conversations')} z)
     select a.id left_id, b.id right_id, count(*) runs from a join b using (run) where run not in (select run from c) group by a.id, b.id""")
-def c14(docs, benchmark):
+def c14(docs, benchmark, conversations):
     words = X.visible_text(F.col("text")).alias("words")
     a, b = docs.select(F.col("doc_id").alias("id"), words), benchmark.select(F.col("item_id").alias("id"), words)
-    return C.shared_runs(a, b, 4, docs.where("doc_id % 97 = 0").select(words)).select("left_id", "right_id", "runs")
+    return C.shared_runs(a, b, 4, conversations.select(words)).select("left_id", "right_id", "runs")
 
 
 @query("c15_planted_words", "documents", "benchmark", sql=f"""
@@ -207,11 +207,11 @@ def c15(docs, benchmark):
     return C.planted_words(d, s, common)
 
 
-@query("h21_grounded", "documents", sql=r"""
-    select doc_id quote_id, case when length(text) < 60 then null when doc_id % 3 = 1 then false else true end g from documents where length(text) >= 400 and doc_id % 3 <> 2""")
+@query("h21_grounded", "documents", sql=f"""
+    select doc_id quote_id, doc_id % 3 = 0 and coalesce(len(list_filter(string_split({VISIBLE.format("array_to_string(string_split(text, ' ')[3:10], ' ')")}, ' '), lambda x: x <> '')), 0) >= 3 g from documents""")
 def h21(docs):
     from_text = F.array_join(F.slice(F.split("text", " "), 3, 8), " ")
-    q = docs.where("length(text) >= 400 and doc_id % 3 <> 2").select(F.col("doc_id").alias("quote_id"), "doc_id", F.when(F.col("doc_id") % 3 == 0, from_text).otherwise(F.lit("words that no document holds in this order")).alias("quote"))
+    q = docs.select(F.col("doc_id").alias("quote_id"), "doc_id", F.when(F.col("doc_id") % 3 == 0, from_text).otherwise(F.lit("words that no document holds in this order")).alias("quote"))
     return C.grounded(q, docs).select("quote_id", F.col("grounded").alias("g"))
 
 
@@ -271,7 +271,7 @@ def h41(jobs):
 
 
 @query("g7_intersections", "documents", "benchmark", sql=rf"""
-    select word from (select distinct unnest(string_split({VISIBLE.format('text')}, ' ')) word from benchmark) a intersect select word from (select distinct unnest(string_split({VISIBLE.format('text')}, ' ')) word from documents where doc_id % 50 = 0) b""")
+    select word from (select distinct unnest(string_split({VISIBLE.format('text')}, ' ')) word from benchmark) a intersect select word from (select distinct unnest(string_split({VISIBLE.format('text')}, ' ')) word from documents) b""")
 def g7(docs, benchmark):
     words = lambda df: df.select(F.explode(F.split(X.visible_text(F.col("text")), " ")).alias("word"))
-    return words(benchmark).intersect(words(docs.where("doc_id % 50 = 0")))
+    return words(benchmark).intersect(words(docs))
