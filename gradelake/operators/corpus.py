@@ -136,12 +136,12 @@ def grounded(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """Whether each quote is a run of at least 3 visible words of its document, in any of 16 readings, or cut short (an ellipsis) with 6 leading words and 4 missing ones at most.
     A null quote or document is grounded in nothing.
 
-    Two passes: the plain reading settles most quotes; only documents with a quote still open get the other readings. quotes: (quote_id, doc_id, quote).
+    Two passes: the plain reading settles most quotes; only documents with a quote still open, and something to skip, get the other readings. quotes: (quote_id, doc_id, quote).
     """
     hit = lambda hay, words: (F.size(words) >= 3) & F.contains(hay, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
     words = lambda c: F.filter(F.split(visible_text(c), " "), lambda w: w != "")
     d = docs.select(F.col("doc_id").alias("k"), "text", F.concat(F.lit(" "), visible_text(F.col("text")), F.lit(" ")).alias("hay"))
-    first = quotes.withColumn("w", words(F.col("quote"))).join(d, F.col("doc_id") == F.col("k")).select("quote_id", "doc_id", "quote", "w", "text", F.coalesce(hit(F.col("hay"), F.col("w")), F.lit(False)).alias("plain"))
+    first = quotes.withColumn("w", words(F.col("quote"))).join(d, F.col("doc_id") == F.col("k")).select("quote_id", "doc_id", "quote", "w", "text", "hay", F.coalesce(hit(F.col("hay"), F.col("w")), F.lit(False)).alias("plain"))
     stripped = words(without_skippable(F.col("quote"), 8))
     found = F.lit(False)
     cut = F.trim("quote").rlike(r"(\.\.\.|…)\s*$")
@@ -159,6 +159,8 @@ def grounded(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     for mask in range(16):
         hay, own = F.concat(F.lit(" "), visible_text(without_skippable(F.col("text"), mask)), F.lit(" ")), (F.col("w8") if mask & 8 else F.col("w"))
         found = found | bound(hay, reading(own, not mask))
+    as_it_is = reading(F.col("w"), True)(F.col("hay")) | reading(F.col("w8"), False)(F.col("hay"))  # nothing to skip: all readings are the plain one
+    found = F.when(without_skippable(F.col("text"), 15) == F.col("text"), as_it_is).otherwise(found)
     rest = first.where("not plain").withColumn("w8", stripped).select("quote_id", "doc_id", F.coalesce(found, F.lit(False)).alias("grounded"))
     return first.where("plain").select("quote_id", "doc_id", F.lit(True).alias("grounded")).unionByName(rest)
 
