@@ -6,7 +6,8 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradelake.llm import bpe, line_quality, near_vectors, order_minhash, packing, pii, sharding, suffix_dedup, token_counts, toxicity
+from gradelake.llm import bpe, collocations, line_quality, near_vectors, order_minhash, packing, pieces, pii, sharding, spelling
+from gradelake.llm import suffix_dedup, token_counts, toxicity
 from gradelake.llm.common import table
 
 
@@ -57,11 +58,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.annotate(docs, pii.fit(docs))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, first=2000)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), loses_one=spelling.LOSES_ONE)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_toxicity, op5_bpe, op6_token_counts,
-        op7_best_fit_packing, op8_sharding, op9_quality_rules, op10_pii,
+        op7_best_fit_packing, op8_sharding, op9_quality_rules, op10_pii, op11_phrase_collocations, op12_sentencepiece,
+        op13_spelling_variants,
     )
 }
 OP1_SQL = """
@@ -71,4 +85,8 @@ link as (select a.vec_id a, b.vec_id b from n a join n b on a.label = b.label an
 reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join link l on r.b = l.a)
 select e.vec_id, (select count(*) from link where a = e.vec_id) n_links, r.b component_id, r.b = e.vec_id kept from embeddings e join (select a, min(b) b from reach group by a) r on r.a = e.vec_id
 """
-ORACLES: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL, "op9_quality_rules": line_quality.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_embedding_near_dedup": OP1_SQL,
+    "op9_quality_rules": line_quality.ORACLE,
+    "op11_phrase_collocations": collocations.ORACLE,
+}
