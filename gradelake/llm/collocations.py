@@ -13,13 +13,14 @@ to the one before: an n-gram is the pair of its beginning (which it extends to t
 
 from __future__ import annotations
 
+import itertools
 import re
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,10 @@ SHARD_WORDS, ALL_OPEN = 1_500_000, 6_000_000
 #: Candidates of a language are ranked in so many groups first, then the first ones of each together.
 SALTS = 64
 
-SHARD = "shard string, lang string, total long, bwt binary, words array<string>, counts array<long>"
+#: A shard's number is its task's and its own within the task; an n-gram's place in a shard is its interval there.
+#: (shard << PLACE_BITS) + place names an n-gram in a shard.
+OWN_BITS, PLACE_BITS = 15, 28
+SHARD = "shard long, lang string, total long, bwt binary, words array<string>, counts array<long>"
 
 
 def index(symbols: np.ndarray) -> np.ndarray:
@@ -87,11 +91,13 @@ class Open:
         self.symbols.append(0)
         return len(self.symbols) - before
 
-    def close(self) -> dict[str, list]:
+    def close(self, shard: int) -> dict[str, list]:
         symbols = np.array(self.symbols, np.uint32)
+        if len(symbols) >> PLACE_BITS:
+            raise ValueError(f"a text of {len(symbols)} words is too long for a shard")
         counts = np.bincount(symbols, minlength=len(self.number) + 1)[1:]
         return {
-            "shard": [uuid.uuid4().hex], "lang": [self.lang], "total": [int(counts.sum())],
+            "shard": [shard], "lang": [self.lang], "total": [int(counts.sum())],
             "bwt": [index(symbols).tobytes()], "words": [[w.decode() for w in self.number]], "counts": [counts.tolist()],
         }
 
@@ -99,13 +105,13 @@ class Open:
 def shards(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     """SHARD rows: of each task and language, the index and the words, numbered from 1, of each so many words of text."""
     schema = pa.schema([
-        ("shard", pa.string()), ("lang", pa.string()), ("total", pa.int64()), ("bwt", pa.binary()),
+        ("shard", pa.int64()), ("lang", pa.string()), ("total", pa.int64()), ("bwt", pa.binary()),
         ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[str, Open] = {}
-        held = 0
+        held, number = 0, itertools.count(TaskContext.get().partitionId() << OWN_BITS)
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 if text.as_py():
@@ -114,33 +120,39 @@ def shards(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                     if len(own.symbols) > SHARD_WORDS or held > ALL_OPEN:
                         largest = max(opened.values(), key=lambda o: len(o.symbols))
                         held -= len(largest.symbols) - 1
-                        yield pa.RecordBatch.from_pydict(opened.pop(largest.lang).close(), schema)
+                        yield pa.RecordBatch.from_pydict(opened.pop(largest.lang).close(next(number)), schema)
         while opened:
-            yield pa.RecordBatch.from_pydict(opened.popitem()[1].close(), schema)
+            yield pa.RecordBatch.from_pydict(opened.popitem()[1].close(next(number)), schema)
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.col(text_col).cast("string"))
     return rows.mapInArrow(run, SHARD)
 
 
 def found(indexes: DataFrame, places: DataFrame, depth: int) -> DataFrame:
-    """Rows (a, b, n, shard, place) of the n-grams of this depth whose beginning a and end b are among places (shard,
-    place, id): the frequent n-grams one shorter, by their intervals. One row for each n-gram and shard."""
+    """Rows (a, b, n, at) of the n-grams of this depth whose beginning a and end b are among places (at, id): the frequent
+    n-grams one shorter. One row for each n-gram and shard, in which it is at."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         intervals = Intervals(np.frombuffer(left.column("bwt")[0].as_buffer(), np.uint32))
         for _ in range(depth - 2):
             intervals.deeper()
         known = np.full(len(intervals.starts), -1)
-        known[right.column("place").to_numpy()] = right.column("id").to_numpy()
+        known[right.column("at").to_numpy() & ((1 << PLACE_BITS) - 1)] = right.column("id").to_numpy()
         a, b = (known[side] for side in intervals.deeper())
         place = np.flatnonzero((a >= 0) & (b >= 0))
-        shard = pa.array([key[0].as_py()]).dictionary_encode().dictionary.take(pa.array(np.zeros(len(place), np.int32)))
-        return pa.table({"a": a[place], "b": b[place], "n": intervals.sizes()[place], "shard": shard, "place": place})
+        at = place + (key[0].as_py() << PLACE_BITS)
+        return pa.table({"a": a[place], "b": b[place], "n": intervals.sizes()[place], "at": at})
 
-    places = places.withColumnRenamed("shard", "of")
-    return indexes.groupBy("shard").cogroup(places.groupBy("of")).applyInArrow(
-        run, "a long, b long, n long, shard string, place long"
-    )
+    places = places.select("at", "id", F.shiftright("at", PLACE_BITS).alias("of"))
+    return indexes.groupBy("shard").cogroup(places.groupBy("of")).applyInArrow(run, "a long, b long, n long, at long")
+
+
+def frequent(rows: DataFrame, least: int, *by: str) -> DataFrame:
+    """Of rows (by..., n, at) those whose n add up to the least number over all shards, with the sum as n and id, the least
+    at of equal ones. A group has one row for each shard at most; it is sorted and read twice, and may be spilled."""
+    same = Window.partitionBy(*by)
+    summed = rows.withColumns({"n": F.sum("n").over(same), "id": F.min("at").over(same)})
+    return cut(summed.where(F.col("n") >= least), "frequent")
 
 
 def phrases(docs: DataFrame, least: int, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -152,29 +164,23 @@ def phrases(docs: DataFrame, least: int, lang_col: str = "lang", text_col: str =
     indexes = cut(shards(docs, lang_col, text_col), "shards")
     total = cut(indexes.groupBy("lang").agg(F.sum("total").alias("n_words")), "totals")
     words = indexes.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
-    words = words.selectExpr("shard", "lang", "place + 1L place", "w.words word", "w.counts n")
-    level = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    level = level.selectExpr("monotonically_increasing_id() id", "lang", "array(word) words", "n", "array(n) starts", "array(n) ends")
-    level = cut(level, "frequent")
-    named = level.select("lang", F.col("words")[0].alias("word"), "id")
-    places = words.join(named, ["lang", "word"]).select("shard", "place", "id")
-    levels, used = [level], []
+    at = F.shiftleft("shard", PLACE_BITS) + F.col("place") + 1
+    rows = frequent(words.select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"), at.alias("at")), least, "lang", "word")
+    once = rows.where("at = id")
+    level = cut(once.selectExpr("id", "lang", "array(word) words", "n", "array(n) starts", "array(n) ends"), "phrases")
+    levels = [level]
     for depth in range(2, MOST_WORDS + 1):
-        last = levels[-1]
-        rows = cut(found(indexes.select("shard", "bwt"), places, depth), "grams")
-        drop(*used)
-        sums = rows.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        sums = cut(sums.selectExpr("monotonically_increasing_id() id", "a", "b", "n"), "frequent")
-        places = rows.join(sums.select("a", "b", "id"), ["a", "b"]).select("shard", "place", "id")
+        before, last = rows, levels[-1]
+        rows = frequent(found(indexes.select("shard", "bwt"), before.select("at", "id"), depth), least, "a", "b")
+        drop(before)
         left = last.selectExpr("id a", "lang", "words words_a", "starts")
         right = last.selectExpr("id b", "words words_b", "ends")
-        level = sums.join(left, "a").join(right, "b").selectExpr(
+        level = rows.where("at = id").join(left, "a").join(right, "b").selectExpr(
             "id", "lang", "concat(words_a, slice(words_b, -1, 1)) words", "n",
             "concat(starts, array(n)) starts", "concat(ends, array(n)) ends", "a", "b",
         )
-        levels.append(cut(level, "frequent"))
-        used = [rows, sums]
-    drop(indexes, *used)
+        levels.append(cut(level, "phrases"))
+    drop(indexes, rows)
     out = []
     for level, longer in zip(levels, [*levels[1:], None]):
         plain = level.select("id", "lang", "words", "n", "starts", "ends")
