@@ -10,18 +10,25 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradelake.functions.reader import nfkc, nfkc_each
+from gradelake.operators.grounding import grounded  # noqa: F401
 from gradelake.functions.text import WS, bound, sections, shingles, tfidf_tokens, visible_text
 
 # --- questions
 
 
-def normalised(c: Column) -> Column:
+def collapsed(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, rf"{WS}+", " ")))
 
 
+def normalised(c: Column) -> Column:
+    """Lower case, compatibility forms (NFKC) as what they stand for, one blank for runs of white space."""
+    return collapsed(nfkc(c))
+
+
 def question_problems(prompt: Column, options: Column, correct: Column, explanation: Column, quote: Column) -> Column:
     """Names of what is wrong with a question's shape, in order."""
-    norm = F.transform(options, lambda o: normalised(o))
+    norm = F.transform(nfkc_each(options), lambda o: collapsed(o))
     between = lambda c, lo, hi: F.length(c).between(lo, hi)
     checks = {
         "prompt": ~between(prompt, 10, 400), "options": F.size(options) != 4, "option_length": F.exists(options, lambda o: ~between(o, 1, 300)), "option_duplicate": F.size(F.array_distinct(norm)) != F.size(norm),
@@ -33,13 +40,17 @@ def question_problems(prompt: Column, options: Column, correct: Column, explanat
 
 def duplicate_prompts(questions: DataFrame) -> DataFrame:
     """Second and later questions of a quiz with a prompt like an earlier one."""
-    w = Window.partitionBy("quiz_id", normalised(F.col("prompt"))).orderBy("position", "question_id")
-    return questions.withColumn("r", F.row_number().over(w)).where("r > 1").drop("r")
+    w = Window.partitionBy("quiz_id", "norm").orderBy("position", "question_id")
+    numbered = questions.withColumn("norm", normalised(F.col("prompt"))).withColumn("r", F.row_number().over(w))
+    return numbered.where("r > 1").drop("r", "norm")
 
 
 def quiz_problems(questions: DataFrame) -> DataFrame:
     """Per quiz its number of questions, whether that is 5 to 8, and how many prompts repeat one before."""
-    return questions.groupBy("quiz_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).between(5, 8).alias("size_ok"), (F.count(F.lit(1)) - F.count_distinct(normalised(F.col("prompt")))).alias("duplicates"))
+    n = F.count(F.lit(1))
+    return questions.select("quiz_id", normalised(F.col("prompt")).alias("norm")).groupBy("quiz_id").agg(
+        n.alias("n"), n.between(5, 8).alias("size_ok"), (n - F.count_distinct("norm")).alias("duplicates")
+    )
 
 
 #: Wording that asks for several answers, admits several, or offers all or none of the others, in three languages.
@@ -75,8 +86,9 @@ def select_questions(candidates: DataFrame, n: int) -> DataFrame:
     Turns are counted after a prompt's later copies are gone, so a copy never costs its section a turn. candidates: (quiz_id, section, position, prompt, difficulty).
     """
     level = F.when(F.col("difficulty") == "easy", 0).when(F.col("difficulty") == "medium", 1).otherwise(2)
-    first = Window.partitionBy("quiz_id", normalised(F.col("prompt"))).orderBy("position", "section")
-    once = candidates.withColumn("r", F.row_number().over(first)).where("r = 1")
+    first = Window.partitionBy("quiz_id", "norm").orderBy("position", "section")
+    once = candidates.withColumn("norm", normalised(F.col("prompt")))
+    once = once.withColumn("r", F.row_number().over(first)).where("r = 1").drop("norm")
     turn = F.row_number().over(Window.partitionBy("quiz_id", "section").orderBy("position"))
     place = F.row_number().over(Window.partitionBy("quiz_id").orderBy("turn", "section"))
     chosen = once.withColumn("turn", turn).withColumn("place", place).where(F.col("place") <= n)
@@ -123,48 +135,6 @@ def planted_words(docs: DataFrame, segments: DataFrame, common: DataFrame) -> Da
     return own.join(clean, ["doc_id", "word"], "left_anti").join(common.select("word").distinct(), "word", "left_anti").select("doc_id", "word")
 
 
-def without_skippable(md: Column, mask: int) -> Column:
-    """Markdown without what a quote may skip: images (1), link labels (2), inline code (4), list numerals (8)."""
-    steps = ((r"!\[[^\]]*\](?:\([^)]*\)|\[[^\]]*\])", " "), (r"(?<!!)\[[^\]]*\]\([^)]*\)", " "), (r"`[^`\n]*`", " "), (r"(?m)^([ \t]*)\d{1,3}[.)][ \t]+", "$1"))
-    for i, (pattern, to) in enumerate(steps):
-        if mask & 1 << i:
-            md = F.regexp_replace(md, pattern, to)
-    return md
-
-
-def grounded(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Whether each quote is a run of at least 3 visible words of its document, in any of 16 readings, or cut short (an ellipsis) with 6 leading words and 4 missing ones at most.
-    A null quote or document is grounded in nothing.
-
-    Two passes: the plain reading settles most quotes; only documents with a quote still open, and something to skip, get the other readings. quotes: (quote_id, doc_id, quote).
-    """
-    hit = lambda hay, words: (F.size(words) >= 3) & F.contains(hay, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
-    words = lambda c: F.filter(F.split(visible_text(c), " "), lambda w: w != "")
-    d = docs.select(F.col("doc_id").alias("k"), "text", F.concat(F.lit(" "), visible_text(F.col("text")), F.lit(" ")).alias("hay"))
-    first = quotes.withColumn("w", words(F.col("quote"))).join(d, F.col("doc_id") == F.col("k")).select("quote_id", "doc_id", "quote", "w", "text", "hay", F.coalesce(hit(F.col("hay"), F.col("w")), F.lit(False)).alias("plain"))
-    stripped = words(without_skippable(F.col("quote"), 8))
-    found = F.lit(False)
-    cut = F.trim("quote").rlike(r"(\.\.\.|…)\s*$")
-
-    def reading(own: Column, plain: bool) -> Callable[[Column], Column]:
-        def read(hay: Column) -> Column:
-            got = F.lit(False) if plain else hit(hay, own)
-            for missing in range(1, 5):
-                lead = F.slice(own, F.lit(1), F.greatest(F.lit(0), F.size(own) - missing))
-                got = got | (cut & (F.size(lead) >= 6) & F.contains(hay, F.concat(F.lit(" "), F.array_join(lead, " "), F.lit(" "))))
-            return got
-
-        return read
-
-    for mask in range(16):
-        hay, own = F.concat(F.lit(" "), visible_text(without_skippable(F.col("text"), mask)), F.lit(" ")), (F.col("w8") if mask & 8 else F.col("w"))
-        found = found | bound(hay, reading(own, not mask))
-    as_it_is = reading(F.col("w"), True)(F.col("hay")) | reading(F.col("w8"), False)(F.col("hay"))  # nothing to skip: all readings are the plain one
-    found = F.when(without_skippable(F.col("text"), 15) == F.col("text"), as_it_is).otherwise(found)
-    rest = first.where("not plain").withColumn("w8", stripped).select("quote_id", "doc_id", F.coalesce(found, F.lit(False)).alias("grounded"))
-    return first.where("plain").select("quote_id", "doc_id", F.lit(True).alias("grounded")).unionByName(rest)
-
-
 def coverage(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """Per document of three or more sections of 40 tokens: distinct sections with a quote in them / min(quotes, sections)."""
     s = section_rows(docs, "text", 40).select("doc_id", "section", visible_text(F.col("text")).alias("hay"))
