@@ -103,7 +103,7 @@ def test_disguised_instructions_in_long_lines():
         found = G.inspect(f"{prose}{disguised} {prose}")[1]
         assert [(f["kind"], f["detail"]) for f in found] == [("obfuscated_instruction", kind)], kind
         assert G.inspect(f"The boats came. {disguised} They left.")[1], kind
-    assert G.inspect(prose)[1] == [] and G.inspect(prose[::-1])[1] == []
+    assert G.inspect(prose)[1] == [] and [f["detail"] for f in G.inspect(prose[::-1])[1]] == ["reversed"]
 
 
 def test_best_of_tiles_is_that_of_all_pairs(spark):
