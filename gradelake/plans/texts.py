@@ -30,19 +30,35 @@ def h3(docs):
     return docs.select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query("h4_route", "md_docs", sql="select doc_id, 'single-shot' strategy, cast(ceil(length(text) / 4) as bigint) tokens from md_docs")
+@query("h4_route", "md_docs", sql="""
+    with d as (select doc_id, text, doc_id % 4 kind, length(text) n from md_docs)
+    select doc_id, case when kind < 2 and ceil((5 * (n + 7) - 1) / 4) > 4500 and kind = 0 and n >= 240 then 'section-map-reduce' else 'single-shot' end strategy from d""")
 def h4(docs):
-    return docs.select("doc_id", X.route(F.col("text"), X.sections(F.col("text"))).alias("strategy"), X.estimate_tokens(F.col("text")).alias("tokens"))
+    """Each text five times: under headings of its own in every fourth document, else as one section."""
+    body = F.regexp_replace("text", r"(?m)^#+|\s+$", "")
+    parts = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.concat(F.when(F.col("doc_id") % 4 == 0, "# Part ").otherwise("Part "), F.lit("\n"), body))
+    t = docs.select("doc_id", F.array_join(parts, "\n").alias("text"), F.length(body).alias("n"))
+    return t.select("doc_id", X.route(F.col("text"), X.sections(F.col("text"))).alias("strategy"))
 
 
-@query("h5_document_title", "md_docs", sql="select doc_id, 'Doc ' || doc_id title from md_docs")
+@query("h5_document_title", "md_docs", sql="""
+    select doc_id, case doc_id % 4 when 0 then 'Doc ' || doc_id when 1 then 'A b ' || doc_id when 2 then regexp_extract(url, 'com/([^/]+/[^/]+)', 1) else substr('https://a.example/' || doc_id, 1, 80) end title from md_docs""")
 def h5(docs):
-    return docs.select("doc_id", X.document_title(F.col("text"), F.col("url")).alias("title"))
+    """A heading; one with a badge, a link and emphasis; no heading but a repository; neither."""
+    kind, plain = F.col("doc_id") % 4, F.regexp_replace("text", "(?m)^#+", "")
+    head = F.concat(F.lit("## [![b](i.png)](l) [A](u) *b* `"), "doc_id", F.lit("`\n"), plain)
+    text = F.when(kind == 0, F.col("text")).when(kind == 1, head).otherwise(plain)
+    url = F.when(kind == 3, F.concat(F.lit("https://a.example/"), "doc_id")).otherwise(F.col("url"))
+    return docs.select("doc_id", X.document_title(text, url).alias("title"))
 
 
-@query("h6_visible_text", "md_docs", sql=f"select doc_id, sha256({VISIBLE.format('text')}) h from md_docs")
+@query("h6_visible_text", "md_docs", sql=f"""
+    select doc_id, sha256(trim({VISIBLE.format('text')} || ' lt it s été fine abc x' || case when doc_id % 2 = 0 then ' k' else '' end)) h from md_docs""")
 def h6(docs):
-    return docs.select("doc_id", F.sha2(X.visible_text(F.col("text")), 256).alias("h"))
+    """Each text, and below it entities of every kind, a ligature, tags inside and between words, a comment and a script."""
+    odd = "\n&amp;lt; it&#39;s &#233;t&#xE9; \ufb01ne a<b>b</b>c<!-- no --><script>no()</script><p>x</p>"
+    more = F.when(F.col("doc_id") % 2 == 0, F.lit(" [k](https://a.b/c(d))")).otherwise("")
+    return docs.select("doc_id", F.sha2(X.visible_text(F.concat("text", F.lit(odd), more)), 256).alias("h"))
 
 
 @query("h6_visible_pages", "pages")
@@ -208,11 +224,24 @@ def c15(docs, benchmark):
 
 
 @query("h21_grounded", "documents", sql=f"""
-    select doc_id quote_id, doc_id % 3 = 0 and coalesce(len(list_filter(string_split({VISIBLE.format("array_to_string(string_split(text, ' ')[3:10], ' ')")}, ' '), lambda x: x <> '')), 0) >= 3 g from documents""")
+    with w as (select doc_id, list_filter(string_split({VISIBLE.format("replace(replace(text, '[', ' '), '`', ' ')")}, ' '), lambda x: x <> '') w from documents),
+    q as (select *, w[3:10] q, doc_id % 6 kind from w where len(w) >= 12),
+    f as (select *, case kind when 0 then q when 1 then w[3:6] || w[8:10] when 2 then q when 3 then q[1:6] when 4 then q[1:5] || w[12:12] else w[3:4] end asked, case kind when 2 then w[1:5] || ['pic', 'of', 'a', 'cat'] || w[6:] else w end doc from q)
+    select doc_id quote_id, case kind when 3 then true else len(asked) >= 3 and contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(asked, ' ') || ' ') end g from f""")
 def h21(docs):
-    from_text = F.array_join(F.slice(F.split("text", " "), 3, 8), " ")
-    q = docs.select(F.col("doc_id").alias("quote_id"), "doc_id", F.when(F.col("doc_id") % 3 == 0, from_text).otherwise(F.lit("words that no document holds in this order")).alias("quote"))
-    return C.grounded(q, docs).select("quote_id", F.col("grounded").alias("g"))
+    """Quotes of six kinds: a run of words; one with a gap; one that passes over an image; one cut short; one with a wrong
+    last word; one that is too short."""
+    words = F.filter(F.split(X.visible_text(F.translate("text", "[`", "  ")), " "), lambda x: x != "")
+    d = docs.select("doc_id", words.alias("w"), (F.col("doc_id") % 6).alias("kind")).where("size(w) >= 12")
+    part = lambda a, n: F.slice("w", a, n)
+    kind, image = F.col("kind"), F.array(F.lit("![pic of a cat](x.png)"))
+    asked = F.when(kind == 1, F.concat(part(3, 4), part(8, 3))).when(kind == 3, F.concat(part(3, 6), F.array(F.lit("zzz..."))))
+    asked = asked.when(kind == 4, F.concat(part(3, 5), part(12, 1))).when(kind == 5, part(3, 2)).otherwise(part(3, 8))
+    rest = F.slice("w", F.lit(6), F.greatest(F.size("w") - 5, F.lit(0)))
+    text = F.when(kind == 2, F.concat(part(1, 5), image, rest)).otherwise(F.col("w"))
+    d = d.select("doc_id", F.array_join(text, " ").alias("text"), F.array_join(asked, " ").alias("quote"))
+    q = d.select(F.col("doc_id").alias("quote_id"), "doc_id", "quote")
+    return C.grounded(q, d.select("doc_id", "text")).select("quote_id", F.col("grounded").alias("g"))
 
 
 @query("h24_tfidf_best_match", "benchmark", "conversations")
