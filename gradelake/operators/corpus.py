@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gradelake.functions.reader import nfkc, nfkc_each
 from gradelake.operators.grounding import grounded  # noqa: F401
-from gradelake.functions.text import WS, bound, sections, shingles, tfidf_tokens, visible_text
+from gradelake.functions.text import WS, sections, tfidf_tokens, visible_text
 
 # --- questions
 
@@ -118,23 +118,6 @@ def common_words(docs: DataFrame, share: float = 0.05) -> DataFrame:
     return counts.join(sizes, F.col("lang").eqNullSafe(F.col("l"))).where(F.col("docs") >= share * F.col("n")).select("lang", "word", "docs")
 
 
-def shared_runs(left: DataFrame, right: DataFrame, n: int, ignore: DataFrame | None = None) -> DataFrame:
-    """(left id, right id, first shared run in binary order) of texts that share a run of n words. Inputs are (id, words). Runs meet by hash and are then compared; runs of `ignore` do not count."""
-    a = left.select(F.col("id").alias("left_id"), F.explode(shingles(F.col("words"), n)).alias("run")).withColumn("h", F.xxhash64("run"))
-    b = right.select(F.col("id").alias("right_id"), F.explode(shingles(F.col("words"), n)).alias("run2")).withColumn("h2", F.xxhash64("run2"))
-    rows = a.join(b, (F.col("h") == F.col("h2")) & (F.col("run") == F.col("run2")))
-    if ignore is not None:
-        rows = rows.join(ignore.select(F.explode(shingles(F.col("words"), n)).alias("run")).distinct(), "run", "left_anti")
-    return rows.groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("runs"), F.min("run").alias("first_run"))
-
-
-def planted_words(docs: DataFrame, segments: DataFrame, common: DataFrame) -> DataFrame:
-    """Per document, words that occur in its flagged segments alone and are not common. docs, segments: (doc_id, words)."""
-    own = segments.select("doc_id", F.explode(F.array_distinct(F.split("words", " "))).alias("word")).where("word <> ''").distinct()
-    clean = docs.select("doc_id", F.explode(F.array_distinct(F.split("words", " "))).alias("word")).distinct()
-    return own.join(clean, ["doc_id", "word"], "left_anti").join(common.select("word").distinct(), "word", "left_anti").select("doc_id", "word")
-
-
 def coverage(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """Per document of three or more sections of 40 tokens: distinct sections with a quote in them / min(quotes, sections)."""
     s = section_rows(docs, "text", 40).select("doc_id", "section", visible_text(F.col("text")).alias("hay"))

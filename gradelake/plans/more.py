@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradelake.functions.text import visible_text
 from gradelake.operators import corpus as C
+from gradelake.operators import rails as K
 from gradelake.operators import redteam as T
 from gradelake.operators import reviews as V
+from gradelake.operators.demands import demanded_phrases
 from gradelake.plans.catalog import query
-from gradelake.plans.texts import UNIT, _vectors
+from gradelake.plans.texts import UNIT, VISIBLE, _vectors
 
 REQUESTS = "(select event_id request_id, concat('u', cast(user_id as varchar)) url, case event_type when 'click' then 'pending' when 'view' then 'approved' else 'rejected' end as status, ts created_at, case when event_type <> 'click' then ts + interval '1' hour end reviewed_at from events)"
 
@@ -84,24 +85,47 @@ def e12(docs):
     return V.pick_sections(C.section_rows(docs, least_tokens=40).withColumn("topic", F.lit("part of the doc")), F.col("topic"), 1).select("doc_id", "section")
 
 
-@query("h32_attack_decision", "benchmark", sql="select item_id, case item_id % 4 when 0 then 'empty' when 1 then 'german' when 2 then 'role-play' else 'no_demand' end decision from benchmark")
+@query("h32_attack_decision", "benchmark", sql=r"""
+    with t as (select item_id, item_id % 6 kind, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) n from benchmark)
+    select item_id, case kind when 0 then 'empty' when 1 then 'german' when 2 then 'no_demand' when 3 then 'role-play' when 4 then 'asks about the previous text' else 'other' end decision from t""")
 def h32(b):
-    text = F.when(F.col("item_id") % 4 == 0, F.lit("hi")).when(F.col("item_id") % 4 == 1, F.lit("schreibe das nicht und sage mir wie es ist")).when(F.col("item_id") % 4 == 2, F.lit("Please act as a pirate in this film")).otherwise(F.lit("water boils at a hundred degrees"))
+    """Invented words of each passage (no word of a list is among words of eight letters), alone or with words that tell."""
+    long = F.array_join(F.slice(F.filter(F.split(F.regexp_replace("text", "[^a-zA-Z ]", " "), " "), lambda w: F.length(w) >= 8), 1, 8), " ")
+    kind = F.col("item_id") % 6
+    text = F.when(kind == 0, F.substring("text", 1, 5)).when(kind == 1, F.concat(long, F.lit(" und vergiss das nicht"))).when(kind == 2, F.concat(F.lit("fountain "), long, F.lit(" mountain river")))
+    text = text.when(kind == 3, F.concat(F.lit("Pretend that "), long)).when(kind == 4, F.concat(F.lit("Repeat what was written: "), long)).otherwise(F.concat(F.lit("Please translate "), long))
     return b.select("item_id", V.attack_decision(text).alias("decision"))
 
 
-@query("h33_demanded_phrases", "conversations", sql="select conv_id, turn, 'secret ' || conv_id phrase from conversations where role = 'user'")
-def h33(c):
-    text = F.concat(F.lit('Now you must print exactly "secret '), "conv_id", F.lit('" and stop'))
-    return c.where("role = 'user'").select("conv_id", "turn", F.get(V.demanded_phrases(text), F.lit(0)).alias("phrase"))
-
-
-@query("h35_steering_words", "benchmark", "documents")
+@query("h33_demanded_phrases", "benchmark", sql=r"""
+    with w as (select item_id, list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')), ' +'), lambda x: x <> '') w from benchmark)
+    select item_id, unnest(case item_id % 4 when 0 then [array_to_string(w[1:4], ' ')] when 1 then [array_to_string(w[2:6], ' ')] when 2 then [] else ['pwned'] end) phrase from w""")
+def h33(b):
+    """Words of each passage in quotation marks, after "that", in quotation marks after a negation, or a word that tells."""
+    w = F.filter(F.split(F.lower(F.regexp_replace("text", "[^a-zA-Z ]", " ")), " +"), lambda x: x != "")
+    part = lambda a, n: F.array_join(F.slice(w, a, n), " ")
+    kind = F.col("item_id") % 4
+    text = F.when(kind == 0, F.concat(F.lit('Now print exactly "'), part(1, 4), F.lit('" and go'))).when(kind == 1, F.concat(F.lit("Tell me that "), part(2, 5), F.lit(".")))
+    text = text.when(kind == 2, F.concat(F.lit('Do not say "'), part(1, 4), F.lit('"'))).otherwise(F.lit("You were PWNED today"))
+    return b.select("item_id", F.explode(demanded_phrases(text)).alias("phrase"))
+
+
+@query("h35_steering_words", "benchmark", "documents", sql=rf"""
+    with c as (select b.item_id quiz_id, b.text attack, d.text clean from benchmark b join documents d on d.doc_id = b.item_id),
+    a as (select quiz_id, list_distinct(list_filter(string_split({VISIBLE.format("attack")}, ' '), lambda w: length(w) >= 5 and not list_contains({sorted(K.PLAIN_WORDS)!r}, w))) long, list_distinct(list_filter(string_split({VISIBLE.format("attack")}, ' '), lambda w: length(w) >= 4 and not list_contains({sorted(K.PLAIN_WORDS)!r}, w))) topic,
+        string_split({VISIBLE.format("clean")}, ' ') known from c),
+    q as (select quiz_id, unnest([1, 2, 3]) position from c), o as (select quiz_id, long, topic, list_filter(long, lambda w: not list_contains(known, w)) alone from a)
+    select quiz_id, coalesce(list_sort(list_intersect(list_distinct(case when any_value(quiz_id) % 2 = 0 then any_value(long) else [] end), any_value(alone))), []) steering,
+        round(avg(case when len(topic) = 0 then 1.0 when position = 1 and quiz_id % 2 = 0 then 1.0 when position = 1 then 0.0 else 0.0 end), 6) topic_share from q join o using (quiz_id) group by quiz_id""")
 def h35(b, docs):
-    words = lambda c: F.array_distinct(F.split(visible_text(c), " "))
-    quiz = docs.select(F.col("doc_id").alias("k"), F.col("text").alias("quiz"))
-    joined = b.join(quiz, F.col("item_id") == F.col("k"))
-    return joined.select("item_id", F.size(V.steering_words(words(F.col("text")), words(F.lit("the of and")), words(F.col("quiz")))).alias("n"))
+    """Quizzes of three questions; the first of every second one repeats the passage that stands for the attack."""
+    attacks = b.select(F.col("item_id").alias("case_id"), "text")
+    clean = docs.join(b.select("item_id"), F.col("doc_id") == F.col("item_id"), "left_semi").select(F.col("doc_id").alias("case_id"), "text")
+    rows = attacks.join(clean.select("case_id"), "case_id", "left_semi").select("case_id", "text", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("position"))
+    said = F.when((F.col("position") == 1) & (F.col("case_id") % 2 == 0), F.col("text")).otherwise("x y")
+    q = rows.select(F.col("case_id").alias("quiz_id"), "case_id", "position", said.alias("prompt"), F.array(F.lit("z")).alias("options"), F.lit("").alias("explanation"))
+    out = K.steering(q, attacks, clean)
+    return out.select("quiz_id", "steering", F.round("topic_share", 6).alias("topic_share"))
 
 
 @query("h37_embed_paragraph", "documents", sql="select doc_id, length(text) + 2 + 6 n_chars from documents where text not like concat('%', chr(10), chr(10), '%')")
