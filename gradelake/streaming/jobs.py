@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from gradelake.guard.inspect import admit_documents
+from gradelake.guard.language import SUPPORTED, Profiles
+from gradelake.sources.replace import ReplaceByKey
+from gradelake.streaming.stateful import LatestRevision, Lease, Phases, Stuck, SubmitOnce, process
 
 
 def dedupe_messages(stream: DataFrame, key: str = "job_id", time: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -15,10 +18,16 @@ def dedupe_messages(stream: DataFrame, key: str = "job_id", time: str = "ts", la
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def latest_answers(stream: DataFrame, keys: tuple[str, ...] = ("attempt_id", "question_id")) -> DataFrame:
-    """Highest revision of each key, of equal revisions the first; late events with older revisions change nothing. Update mode; the state is one row a key."""
-    rest = [c for c in stream.columns if c not in keys]
-    return stream.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct((-F.col("revision")).alias("r"), "ts", "event_id")).alias("a")).select(*keys, "a.*")
+def latest_answers(
+    stream: DataFrame, keys: tuple[str, ...] = ("attempt_id", "question_id"), late: str = "1 hour",
+    keep: timedelta = timedelta(days=7),
+) -> DataFrame:
+    """(keys..., revision, event_id): the highest revision of each key, of equal ones the first, whenever it changes; older
+    revisions that come late change nothing. A key is forgotten when it has been still for `keep`."""
+    one = stream.withColumn("key", F.to_json(F.struct(*keys)))
+    out = process(one, "key", LatestRevision(keep), "key string, revision long, event_id long", late)
+    kinds = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
+    return out.select(F.from_json("key", kinds).alias("k"), "revision", "event_id").select("k.*", "revision", "event_id")
 
 
 def sweep(df: DataFrame, now: Column) -> DataFrame:
@@ -29,47 +38,18 @@ def sweep(df: DataFrame, now: Column) -> DataFrame:
     return df.withColumn("action", action).where("action is not null")
 
 
-def stream_sweep(stream: DataFrame, minutes: int = 20, late: str = "1 minute") -> DataFrame:
-    """Quizzes that stay in `generating` for so long in event time: one row when the timer goes off. stream: (quiz_id, status, ts)."""
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (since,) = state.get
-            state.remove()
-            yield pd.DataFrame({"quiz_id": [key[0]], "since": [since]})
-            return
-        rows = pd.concat(list(batches)).sort_values("ts")
-        last = rows.iloc[-1]
-        if last["status"] == "generating":
-            at = int(last["ts"].timestamp() * 1000)
-            state.update((at,))
-            state.setTimeoutTimestamp(max(at + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-
-    watched = stream.withWatermark("ts", late).groupBy("quiz_id")
-    return watched.applyInPandasWithState(watch, "quiz_id long, since long", "since long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def claims(stream: DataFrame, lease_seconds: int = 150) -> DataFrame:
-    """Each claim of a job granted or refused: granted if no lease runs; a lease lasts so long or until a release. stream: (job_id, event_id, kind claim/release, ts)."""
-
-    def lease(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until, attempts = state.get if state.exists else (0, 0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            t = int(r.ts.timestamp() * 1000)
-            if r.kind == "release":
-                until = 0
-            else:
-                granted = t >= until
-                if granted:
-                    until, attempts = t + lease_seconds * 1000, attempts + 1
-                out.append((key[0], r.event_id, granted, attempts))
-        state.update((until, attempts))
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "granted", "attempts"])
-
-    return stream.groupBy("job_id").applyInPandasWithState(lease, "job_id long, event_id long, granted boolean, attempts int", "until long, attempts int", "append", GroupStateTimeout.NoTimeout)
+def stream_sweep(stream: DataFrame, tries: int = 6, late: str = "1 minute", keep: timedelta = timedelta(days=1)) -> DataFrame:
+    """(quiz_id, action, at_ms): what sweep() finds, found by timers: requeue after 3 minutes in `queued`, fail after 20 in
+    `generating`, rescore after 5 in `ready` without scores, once for each time a quiz enters the state. stream: (quiz_id,
+    event_id, status, scoring_attempts, ts); other states end the watch."""
+    return process(stream, "quiz_id", Stuck(keep, tries), "quiz_id long, action string, at_ms long", late)
+
+
+def claims(stream: DataFrame, lease_seconds: int = 150, late: str = "10 minutes", keep: timedelta = timedelta(days=7)) -> DataFrame:
+    """Each claim of a job granted or refused: granted if no lease runs; a lease lasts so long or until a release. A job
+    that has been still for `keep` begins anew. stream: (job_id, event_id, kind claim/release, ts)."""
+    schema = "job_id long, event_id long, granted boolean, attempts int"
+    return process(stream, "job_id", Lease(keep, lease_seconds), schema, late)
 
 
 def retry_plan(df: DataFrame, received: str = "received", most: int = 3) -> DataFrame:
@@ -102,35 +82,27 @@ def answer_sessions(stream: DataFrame, key: str = "user_id", gap: str = "30 minu
     return w.select(key, F.col("session_window.start").alias("start"), (F.unix_timestamp("session_window.end") - F.unix_timestamp("session_window.start")).alias("seconds"), "n")
 
 
-def submissions(stream: DataFrame) -> DataFrame:
-    """The first submission of each attempt counts; later ones return it. Update mode. stream: (attempt_id, event_id, ts, score)."""
-    first = F.min_by(F.struct("event_id", "score"), F.struct("ts", "event_id"))
-    return stream.groupBy("attempt_id").agg(first.alias("f"), (F.count(F.lit(1)) - 1).alias("replays")).select("attempt_id", F.col("f.event_id").alias("submitted_by"), F.col("f.score").alias("score"), "replays")
-
-
-def phase_updates(stream: DataFrame) -> DataFrame:
-    """Progress applied only while a quiz is generating: after `ready` or `failed` no update changes it. stream: (quiz_id, event_id, kind, ts)."""
+def submissions(stream: DataFrame, late: str = "1 hour", keep: timedelta = timedelta(days=30)) -> DataFrame:
+    """The first submission of each attempt counts; later ones return it and are counted as replays, until the attempt has
+    been still for `keep`. stream: (attempt_id, event_id, ts, score)."""
+    schema = "attempt_id long, submitted_by long, score double, replays int"
+    return process(stream, "attempt_id", SubmitOnce(keep), schema, late)
 
-    def apply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        finished, step, ignored = state.get if state.exists else ("", 0, 0)
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            if finished:
-                ignored += 1
-            elif r.kind in ("ready", "failed"):
-                finished = r.kind
-            else:
-                step += 1
-        state.update((finished, step, ignored))
-        yield pd.DataFrame({"quiz_id": [key[0]], "status": [finished or "generating"], "steps": [step], "ignored": [ignored]})
 
-    return stream.groupBy("quiz_id").applyInPandasWithState(apply, "quiz_id long, status string, steps int, ignored int", "finished string, step int, ignored int", "update", GroupStateTimeout.NoTimeout)
+def phase_updates(stream: DataFrame, late: str = "1 hour", keep: timedelta = timedelta(days=7)) -> DataFrame:
+    """Progress applied only while a quiz is generating: after `ready` or `failed` no update changes it. A quiz is forgotten
+    when it has been still for `keep`. stream: (quiz_id, event_id, kind, ts)."""
+    return process(stream, "quiz_id", Phases(keep), "quiz_id long, status string, steps int, ignored int", late)
 
 
-def stream_admission(stream: DataFrame, table: str, checkpoint: str, allowed: tuple[str, ...] = ("en", "pt", "es")) -> None:
-    """Admit arriving documents (doc_id, text): each micro-batch writes its outcomes to a folder of its own under table, so a batch that is tried again replaces itself. Reads take the last batch of an id."""
-    from gradelake.guard.inspect import admit_documents
+def stream_admission(
+    stream: DataFrame, table: ReplaceByKey, checkpoint: str, profiles: Profiles, allowed: tuple[str, ...] = SUPPORTED
+) -> None:
+    """Admit arriving documents (doc_id, text) into a table that has one row for each id, that of its last arrival: a batch
+    that is tried again, or delivered again under its number, replaces itself."""
 
     def admit(batch: DataFrame, batch_id: int) -> None:
-        admit_documents(batch, allowed=allowed).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        table.write(admit_documents(batch, profiles, allowed=allowed), batch_id)
 
-    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(admit).start().awaitTermination()
+    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(admit).start()
+    query.awaitTermination()

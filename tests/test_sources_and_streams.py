@@ -1,11 +1,13 @@
 import json
 import re
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradelake.sources import files
+from gradelake.sources.replace import ReplaceByKey
 from gradelake.sources.schemas import TABLES
 from gradelake.sources.shared import drain
 from gradelake.streaming import jobs as J
@@ -40,7 +42,8 @@ def test_metric_lines(spark):
     assert [json.loads(r["value"]) for r in files.to_metric_lines(df, "ns", "t", ("service",), {"seconds": "Seconds", "cost": "None"}).collect()] == [{"time": 1, "namespace": "ns", "dimensions": {"service": "x"}, "name": "seconds", "unit": "Seconds", "value": 2.5}]
 
 
-SCHEMA = "quiz_id long, event_id long, kind string, status string, revision int, attempt_id long, question_id long, job_id long, ts timestamp"
+SCHEMA = "quiz_id long, event_id long, kind string, status string, revision int, attempt_id long, question_id long, job_id long, score double, scoring_attempts int, ts timestamp"
+HOUR = timedelta(hours=1)
 
 
 def stream(spark, path, *batches):
@@ -50,21 +53,37 @@ def stream(spark, path, *batches):
 
 
 def event(i, minute, **more):
-    from datetime import datetime
-
-    base = dict(quiz_id=1, event_id=i, kind="step", status="generating", revision=i, attempt_id=1, question_id=1, job_id=1, ts=datetime(2024, 1, 1, minute // 60, minute % 60)) | more
+    base = dict(quiz_id=1, event_id=i, kind="step", status="generating", revision=i, attempt_id=1, question_id=1, job_id=1, score=float(i), scoring_attempts=0, ts=datetime(2024, 1, 1) + timedelta(minutes=minute)) | more
     return tuple(base.values())
 
 
 def test_revisions_across_batches(spark, tmp_path):
     s = stream(spark, tmp_path, [event(1, 0, revision=5)], [event(2, 1, revision=4), event(3, 2, revision=5)], [event(4, 3, revision=7)])
-    got = drain(J.latest_answers(s), "update", ("attempt_id", "question_id")).collect()
+    got = drain(J.latest_answers(s), "append", ("attempt_id", "question_id")).collect()
     assert [(r["event_id"], r["revision"]) for r in got] == [(4, 7)]
 
 
+def test_state_goes_when_a_key_is_still(spark, tmp_path):
+    """After an hour without events (and a later event of another key that moves the clock) a key begins anew; within it, it goes on."""
+    far = lambda i, minute: [event(i, minute, attempt_id=9, quiz_id=9, job_id=9)]
+    first = [event(1, 0, revision=9, kind="claim")]
+    for name, job, last in (
+        ("answers", lambda s: J.latest_answers(s, late="1 minute", keep=HOUR), lambda r: r["revision"]),
+        ("claims", lambda s: J.claims(s.withColumn("kind", F.lit("claim")), late="1 minute", keep=HOUR), lambda r: r["attempts"]),
+        ("submissions", lambda s: J.submissions(s, late="1 minute", keep=HOUR), lambda r: r["replays"]),
+        ("phases", lambda s: J.phase_updates(s, late="1 minute", keep=HOUR), lambda r: r["steps"]),
+    ):
+        for still, want in ((30, {"answers": [9, 9], "claims": [1, 2], "submissions": [0, 1], "phases": [1, 2]}), (200, {"answers": [9, 2], "claims": [1, 1], "submissions": [0, 0], "phases": [1, 1]})):
+            if still == 30 and name != "claims":
+                continue
+            s = stream(spark, tmp_path / f"{name}{still}", first, far(5, still), far(6, still + 1), [event(2, still + 2, revision=2)])
+            rows = [r for r in drain(job(s), "append").collect() if 9 not in (r[0], r[1]) or name == "answers" and r["attempt_id"] == 1]
+            assert sorted(map(last, rows)) == sorted(want[name]), (name, still)
+
+
 def test_late_phase_updates_change_nothing(spark, tmp_path):
     s = stream(spark, tmp_path, [event(1, 0), event(2, 1)], [event(3, 2, kind="ready")], [event(4, 3), event(5, 4, kind="failed")])
-    assert [tuple(r) for r in drain(J.phase_updates(s), "update", ("quiz_id",)).collect()] == [(1, "ready", 2, 2)]
+    assert [tuple(r) for r in drain(J.phase_updates(s), "append", ("quiz_id",)).collect()] == [(1, "ready", 2, 2)]
 
 
 def test_leases(spark, tmp_path):
@@ -72,9 +91,39 @@ def test_leases(spark, tmp_path):
     assert sorted((r["event_id"], r["granted"], r["attempts"]) for r in drain(J.claims(s), "append").collect()) == [(1, True, 1), (2, False, 1), (3, True, 2), (5, True, 3)]
 
 
-def test_stuck_quizzes_time_out(spark, tmp_path):
-    s = stream(spark, tmp_path, [event(1, 0), event(2, 0, quiz_id=2)], [event(3, 5, quiz_id=2, status="ready")], [event(4, 300, quiz_id=3, status="ready")], [event(5, 400, quiz_id=3, status="ready")])
-    assert [r["quiz_id"] for r in drain(J.stream_sweep(s.select("quiz_id", "status", "ts")), "append").collect()] == [1]
+def test_submissions_count_once(spark, tmp_path):
+    s = stream(spark, tmp_path, [event(1, 5), event(2, 6)], [event(3, 1)])
+    assert [tuple(r) for r in drain(J.submissions(s), "append", ("attempt_id",)).collect()] == [(1, 1, 1.0, 2)]
+
+
+def test_stuck_quizzes_are_found_alike_in_one_batch_and_in_many(spark, tmp_path):
+    ms = lambda minute: (datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp() + 60 * minute) * 1000
+    events = [
+        event(1, 0), event(2, 0, quiz_id=2), event(3, 5, quiz_id=2, status="ready"), event(4, 6, quiz_id=4, status="queued"), event(5, 8, quiz_id=4, status="queued"), event(6, 9, quiz_id=5, status="ready", scoring_attempts=6),
+        event(7, 30, quiz_id=2, status="scored"), event(8, 300, quiz_id=3, status="queued"), event(9, 400, quiz_id=6, status="scored"),
+    ]
+    want = {(1, "fail", ms(20)), (2, "rescore", ms(10)), (4, "requeue", ms(11)), (3, "requeue", ms(303))}
+    for name, batches in (("one", [events]), ("many", [[e] for e in events])):
+        got = drain(J.stream_sweep(stream(spark, tmp_path / name, *batches)), "append").collect()
+        assert {tuple(r) for r in got} == want and len(got) == 4, name
+
+
+def test_replaced_by_key_and_merged(spark, tmp_path):
+    table = ReplaceByKey(spark, f"file://{tmp_path}/t", ("id",), merge_at=3)
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, v string")
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    now = lambda: dict(map(tuple, table.read().collect()))
+    table.write(rows((1, "a"), (2, "a")), 0)
+    table.write(rows((2, "b"), (3, "b")), 1)
+    table.write(rows((2, "b"), (3, "b")), 1)  # delivered again
+    assert now() == {1: "a", 2: "b", 3: "b"}
+    table.write(rows((3, "c")), 2)
+    assert [p.name for p in (tmp_path / "t").iterdir()] == ["merged=2"] and now() == {1: "a", 2: "b", 3: "c"}
+    table.write(rows((3, "z")), 2)  # again after the merge: it is part of it already
+    table.write(rows((4, "d")), 3)
+    (tmp_path / "t" / "batch=7").mkdir()  # a writer that died
+    assert now() == {1: "a", 2: "b", 3: "c", 4: "d"}
 
 
 def test_redelivered_messages_count_once(spark, tmp_path):
