@@ -337,13 +337,13 @@ def spellings(phrases: str) -> set[str]:
 
 @cache
 def automaton() -> ahocorasick.Automaton:
-    """Each phrase with its length and what it is: ("is", class, lang), ("not", class, lang) or ("cue", "", lang)."""
+    """Each phrase with its length and what it is: (harmless, class, language)."""
     meaning = defaultdict(list)
-    for kind, table in (("is", PHRASES), ("not", HARMLESS), ("cue", {"": CUES})):
+    for harmless, table in ((False, PHRASES), (True, HARMLESS)):
         for name, by_lang in table.items():
             for lang, phrases in by_lang.items():
                 for p in spellings(phrases):
-                    meaning[p].append((kind, name, lang))
+                    meaning[p].append((harmless, name, lang))
     made = ahocorasick.Automaton()
     for phrase, of in meaning.items():
         made.add_word(phrase, (len(phrase), of))
@@ -351,6 +351,17 @@ def automaton() -> ahocorasick.Automaton:
     return made
 
 
+#: No cue is longer, with what tells where it begins.
+LONGEST_CUE = 40
+
+
+@cache
+def cue(lang: str) -> re.Pattern[str]:
+    """A cue of a language at the end of a text."""
+    longest_first = sorted(spellings(CUES[lang]), key=len, reverse=True)
+    return re.compile(rf"(?<![^\W_])(?:{'|'.join(map(re.escape, longest_first))})\Z")
+
+
 @cache
 def rules_by_part() -> dict[tuple[str, str], list[Rule]]:
     """The rules by language and last class: a rule can match only where that occurs."""
@@ -374,16 +385,11 @@ def tidy(text: str) -> str:
 class Line:
     """What the automaton has found in a line: where phrases of each class and language begin and end."""
 
-    def __init__(self, text: str, found: list[tuple[int, int, list[tuple[str, str, str]]]]) -> None:
-        self.text, self.places, self.cues, veto = text, defaultdict(list), defaultdict(set), defaultdict(list)
+    def __init__(self, text: str, found: list[tuple[int, int, list[tuple[bool, str, str]]]]) -> None:
+        self.text, self.places, veto = text, defaultdict(list), defaultdict(list)
         for start, end, of in found:
-            for kind, name, lang in of:
-                if kind == "is":
-                    self.places[lang, name].append((start, end))
-                elif kind == "not":
-                    veto[lang, name].append((start, end))
-                else:
-                    self.cues[lang].add(end)
+            for harmless, name, lang in of:
+                (veto if harmless else self.places)[lang, name].append((start, end))
         for key, spans in veto.items():
             self.places[key] = [p for p in self.places[key] if not any(a < p[1] and p[0] < b for a, b in spans)]
         self._starts: list[int] | None = None
@@ -395,11 +401,8 @@ class Line:
 
     def opens(self, start: int, lang: str) -> bool:
         """Whether a clause begins there: nothing or a punctuation mark stands before, or a cue."""
-        before = self.text[max(0, start - 4) : start].rstrip()
-        at = start - 1
-        while at > 0 and self.text[at - 1] == " ":
-            at -= 1
-        return not before or not (before[-1].isalnum() or before[-1] in "'’_") or at in self.cues[lang]
+        before = self.text[max(0, start - LONGEST_CUE) : start].rstrip()
+        return not before or not (before[-1].isalnum() or before[-1] in "'’_") or bool(cue(lang).search(before))
 
     def holds(self, rule: Rule) -> bool:
         ends: list[int] = []

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gradelake.guard.inspect import admit_documents
 from gradelake.guard.language import SUPPORTED, Profiles
 from gradelake.sources.replace import ReplaceByKey
-from gradelake.streaming.stateful import LatestRevision, Lease, Phases, Stuck, SubmitOnce, process
+from gradelake.streaming.stateful import LatestRevisions, Lease, Phases, Stuck, SubmitOnce, process
 
 
 def dedupe_messages(stream: DataFrame, key: str = "job_id", time: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -19,15 +19,14 @@ def dedupe_messages(stream: DataFrame, key: str = "job_id", time: str = "ts", la
 
 
 def latest_answers(
-    stream: DataFrame, keys: tuple[str, ...] = ("attempt_id", "question_id"), late: str = "1 hour",
+    stream: DataFrame, key: str = "attempt_id", item: str = "question_id", late: str = "1 hour",
     keep: timedelta = timedelta(days=7),
 ) -> DataFrame:
-    """(keys..., revision, event_id): the highest revision of each key, of equal ones the first, whenever it changes; older
-    revisions that come late change nothing. A key is forgotten when it has been still for `keep`."""
-    one = stream.withColumn("key", F.to_json(F.struct(*keys)))
-    out = process(one, "key", LatestRevision(keep), "key string, revision long, event_id long", late)
-    kinds = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
-    return out.select(F.from_json("key", kinds).alias("k"), "revision", "event_id").select("k.*", "revision", "event_id")
+    """(key, item, revision, event_id): the highest revision of each item of a key, of equal ones the first, whenever it
+    changes; older revisions that come late change nothing. A key is forgotten when it has been still for `keep`."""
+    schema = f"{key} {stream.schema[key].dataType.simpleString()}, item long, revision long, event_id long"
+    out = process(stream, key, LatestRevisions(keep, key, item), schema, late)
+    return out.withColumnRenamed("item", item)
 
 
 def sweep(df: DataFrame, now: Column) -> DataFrame:

@@ -54,8 +54,11 @@ class Ordered(StatefulProcessor):
             if armed is not None:
                 self.values.clear()  # its timer finds nothing
         else:
-            self._keep(now, _ms(events["ts"].iloc[-1]), armed, timerValues)
-        yield pd.DataFrame(out, columns=list(self.columns))
+            self._keep(self.packed(now), _ms(events["ts"].iloc[-1]), armed, timerValues)
+        yield self._frame(out)
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=list(self.columns))
 
     def _keep(self, now: tuple, last: int, armed: int | None, timers) -> None:
         """Store the values. A timer is set only if none will go off in time: one that goes off early sets the next."""
@@ -77,7 +80,7 @@ class Ordered(StatefulProcessor):
             else:
                 self.expired(key[0], tuple(now), out)
                 self.values.clear()
-        yield pd.DataFrame(out, columns=list(self.columns))
+        yield self._frame(out)
 
     def close(self) -> None:
         pass
@@ -88,6 +91,10 @@ class Ordered(StatefulProcessor):
     def finish(self, key: Any, now: tuple | None, out: list[tuple]) -> None:
         """What is yielded once a batch's events are through."""
 
+    def packed(self, now: tuple) -> tuple:
+        """The values as they are stored."""
+        return now
+
     def due(self, now: tuple) -> int:
         """When something is to happen (in ms); 0: when the key has been still for `keep`."""
         return 0
@@ -96,19 +103,37 @@ class Ordered(StatefulProcessor):
         """What is yielded when the timer goes off."""
 
 
-class LatestRevision(Ordered):
-    """The event of the highest revision; of equal ones the first. Yields it whenever it changes."""
+class LatestRevisions(Ordered):
+    """Of each item of a key the event of the highest revision; of equal ones the first. Yields those that have changed.
 
-    state = "revision long, event_id long, at long"
-    columns = ("key", "revision", "event_id")
+    The items of a key (the questions of an attempt) are few: they are kept together, so that a batch costs a key one
+    reading and one writing of state.
+    """
+
+    state = "items array<long>, revisions array<long>, events array<long>"
+
+    def __init__(self, keep: timedelta, key: str, item: str) -> None:
+        super().__init__(keep)
+        self.item, self.columns = item, (key, "item", "revision", "event_id")
 
     def step(self, key, now, e, out):
-        if now is None or e.revision > now[0]:
-            return (int(e.revision), int(e.event_id), _ms(e.ts))
-        return now
+        if now is None:
+            self.best: dict[int, tuple[int, int]] = {}
+            self.changed: set[int] = set()
+        elif now != ((),):
+            self.best = {i: (r, n) for i, r, n in zip(*now)}
+            self.changed = set()
+        item = int(getattr(e, self.item))
+        if item not in self.best or e.revision > self.best[item][0]:
+            self.best[item] = (int(e.revision), int(e.event_id))
+            self.changed.add(item)
+        return ((),)  # put together when the batch is through
 
     def finish(self, key, now, out):
-        out.append((key, now[0], now[1]))
+        out += [(key, i, *self.best[i]) for i in sorted(self.changed)]
+
+    def packed(self, now):
+        return (list(self.best), [r for r, _ in self.best.values()], [n for _, n in self.best.values()])
 
 
 class Lease(Ordered):
