@@ -23,6 +23,34 @@ ERROR_PATTERNS = (
 )
 
 
+#: What users are told, by kind; {host} is the host that was refused.
+MESSAGES = {
+    "host": 'The host "{host}" is not allowed. Use a Markdown file hosted on github.com or raw.githubusercontent.com.',
+    "too_large": "That document is too large (limit 512 KB). Try a shorter one.",
+    "invalid_url": "That is not a valid https document URL.",
+    "unreadable": "That URL does not contain a readable Markdown/text document.",
+    "not_found": "The document was not found (HTTP 404). Check the URL.",
+    "not_text": "That link does not point to a text document (it looks like a binary file). Use a Markdown or text file.",
+    "classifier": (
+        "Our prompt-injection classifier rejected this document. If it is a legitimate README, you can ask for it to be "
+        "reviewed and added to the document list."
+    ),
+    "unsafe": "This document contains hidden or encoded text, so it was rejected for safety. Remove it and try again.",
+    "language": "This document is not in a supported language. Supported: English, Portuguese and Spanish.",
+    "invalid_input": "This request could not be processed safely. Check the topic and the document.",
+    "unreliable": "The AI could not produce a reliable quiz from this document. Please try again.",
+    "budget": "This document is too large or complex to process within our limits. Try a shorter one.",
+    "timeout": "Generation took too long. Please try again.",
+    "other": "Quiz generation failed. Please try again.",
+}
+
+
+def user_message(raw: Column) -> Column:
+    """What a user is told of a stored failure; null and empty stay null."""
+    told = F.element_at(F.create_map(*(F.lit(x) for pair in MESSAGES.items() for x in pair)), error_kind(raw))
+    return F.replace(told, F.lit("{host}"), F.coalesce(refused_host(raw), F.lit("")))
+
+
 def error_kind(raw: Column) -> Column:
     """Kind of a failure text; null stays null, anything else is `other`."""
     out = None

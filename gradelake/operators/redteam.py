@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import defaultdict
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -138,12 +141,62 @@ def language_quotas(languages: DataFrame, total: int) -> DataFrame:
     return d.select("language", (F.floor(F.lit(total) / F.col("n")) + F.when(F.col("r") < F.lit(total) % F.col("n"), 1).otherwise(0)).alias("quota"))
 
 
-def balanced_sample(cases: DataFrame, per_language: int, seed: str) -> DataFrame:
-    """per_language cases of each language, intents and strategies as even as can be: cases are taken by their rank within (language, intent, strategy), so each combination gets its turn."""
+#: The wanted share of each strategy; others want a tenth.
+WANTED = {"plain": 0.15, "tone": 0.15, "jailbreak-templates": 0.25, "base64": 0.15, "rot13": 0.15, "leetspeak": 0.15}
+#: An intent's use weighs so much against a strategy's; more groups than so many are too many to plan with.
+INTENT_WEIGHT, MOST_GROUPS = 3, 200_000
+
+
+def balance(counts: dict[tuple[str, str, str], int], quotas: dict[str, int], wanted: dict[str, float] = WANTED) -> dict[tuple[str, str, str], int]:
+    """How many cases to take of each (language, intent, strategy), given how many there are and a quota a language.
+
+    Languages take turns, those of small quotas first (ties by name). A turn takes from the group whose intent was used
+    the least over all languages and whose strategy the least in this one, against its wanted share: 3 uses of the intent
+    + (uses of the strategy + 1) / share. Ties go by a hash of intent and strategy, so that no order of names favours one.
+    """
+    left, taken = dict(counts), dict.fromkeys(counts, 0)
+    intents, strategies = defaultdict(int), defaultdict(int)
+    tie = {g: hashlib.md5(f"{g[1]}|{g[2]}".encode()).hexdigest() for g in counts}
+    by_language = defaultdict(list)
+    for g in sorted(counts):
+        by_language[g[0]].append(g)
+    need = {k: v for k, v in sorted(quotas.items(), key=lambda q: (q[1], q[0])) if v}
+    while need:
+        for lang in list(need):
+            open_groups = [g for g in by_language[lang] if left[g]]
+            if not open_groups:
+                del need[lang]
+                continue
+            cost = lambda g: INTENT_WEIGHT * intents[g[1]] + (strategies[g[0], g[2]] + 1) / wanted.get(g[2], 0.1)
+            best = min(open_groups, key=lambda g: (cost(g), tie[g]))
+            left[best] -= 1
+            taken[best] += 1
+            intents[best[1]] += 1
+            strategies[lang, best[2]] += 1
+            need[lang] -= 1
+            if not need[lang]:
+                del need[lang]
+    return taken
+
+
+def balanced_sample(cases: DataFrame, quotas: dict[str, int], seed: str, wanted: dict[str, float] = WANTED) -> DataFrame:
+    """The cases of a sample with so many of each language, intents and strategies as balance() says; within a group those
+    of the least md5 of seed and id (ties by id). Cases without language, intent or strategy are not taken.
+
+    Spark counts the groups; the plan over these counts is made on the driver (an error if there are over MOST_GROUPS);
+    then rows are ranked within their groups. How the cases lie in partitions changes nothing.
+    """
+    known = cases.where("language is not null and intent is not null and strategy is not null")
+    group = ("language", "intent", "strategy")
+    counts = known.groupBy(*group).count().limit(MOST_GROUPS + 1).collect()
+    if len(counts) > MOST_GROUPS:
+        raise ValueError(f"over {MOST_GROUPS} groups of language, intent and strategy")
+    plan = [(*g, n) for g, n in balance({tuple(r[:3]): r[3] for r in counts}, quotas, wanted).items() if n]
+    take = cases.sparkSession.createDataFrame(plan, "l string, i string, s string, take int")
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("case_id").cast("string")))
-    turn = F.row_number().over(Window.partitionBy("language", "intent", "strategy").orderBy("h", "case_id"))
-    rows = cases.withColumn("h", h).withColumn("turn", turn).where(F.col("turn") <= per_language)
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("language").orderBy("turn", "h", "case_id"))).where(F.col("place") <= per_language).drop("h", "turn", "place")
+    rows = known.join(F.broadcast(take), (F.col("language") == F.col("l")) & (F.col("intent") == F.col("i")) & (F.col("strategy") == F.col("s")))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(h, "case_id"))
+    return rows.withColumn("place", place).where("place <= take").drop("l", "i", "s", "take", "place")
 
 
 def alerts(summary: DataFrame, limit: int = 50) -> DataFrame:

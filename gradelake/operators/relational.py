@@ -60,7 +60,7 @@ def scoring_input(jobs: DataFrame, quizzes: DataFrame, sources: DataFrame, quest
     q = questions.groupBy("quiz_id").agg(F.sort_array(F.collect_list(F.struct("position", "question_id", "prompt", "options", "correct"))).alias("questions")).withColumnRenamed("quiz_id", "qid")
     z = quizzes.where(F.col("status") == "ready").select(F.col("quiz_id").alias("zid"), "source_id")
     rows = jobs.where(F.col("status") == "succeeded").join(z, F.col("quiz_id") == F.col("zid")).join(s, F.col("source_id") == F.col("sid"))
-    return rows.join(q, F.col("quiz_id") % 300 == F.col("qid"), "left").select("quiz_id", "attempt_no", "source_id", "lang", "n_chars", "questions")
+    return rows.join(q, F.col("quiz_id") == F.col("qid"), "left").select("quiz_id", "attempt_no", "source_id", "lang", "n_chars", "questions")
 
 
 def usage_cost(jobs: DataFrame, prices: DataFrame) -> DataFrame:
@@ -145,3 +145,34 @@ def sample_by_hash(df: DataFrame, strata: tuple[str, ...], key: str, seed: str,
     rows = df.withColumn("__h", h).withColumn("__salt", F.substring("__h", 1, 1))
     some = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*strata, "__salt").orderBy("__h", key))).where(F.col("__r") <= k)
     return some.withColumn("__r", F.row_number().over(Window.partitionBy(*strata).orderBy("__h", key))).where(F.col("__r") <= k).drop("__h", "__salt", "__r")
+
+
+def generation_progress(quizzes: DataFrame) -> DataFrame:
+    """(quiz_id, progress): (phase, step, total) of a quiz that is being generated and says all three, else null."""
+    known = (F.col("status") == "generating") & F.col("phase").isNotNull() & F.col("phase_step").isNotNull() & F.col("phase_total").isNotNull()
+    said = F.struct("phase", F.col("phase_step").alias("step"), F.col("phase_total").alias("total"))
+    return quizzes.select("quiz_id", F.when(known, said).alias("progress"))
+
+
+def catalogue_status(sources: DataFrame, used: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(source_id, listed_at): when each source came into the shared catalogue, null if it is not in it.
+
+    A source is listed when it is first used without any guard having objected (used: source_id, at, flagged), and keeps
+    its first date; sources whose address was rejected since (rejected: url) leave. sources: (source_id, url, listed_at).
+    """
+    first = used.where(~F.coalesce("flagged", F.lit(False))).groupBy(F.col("source_id").alias("u")).agg(F.min("at").alias("at"))
+    gone = rejected.where("url is not null and url <> ''").select(F.col("url").alias("r")).distinct()
+    rows = sources.join(first, F.col("source_id") == F.col("u"), "left").join(gone, F.col("url") == F.col("r"), "left")
+    return rows.select("source_id", F.when(F.col("r").isNull(), F.coalesce("listed_at", "at")).alias("listed_at"))
+
+
+def approved_entries(requests: DataFrame, limit: int = 100) -> DataFrame:
+    """Catalogue entries of the newest approved requests (request_id, title, description, url, status, reviewed_at,
+    detector_score): a report of at most `limit` rows; of equal times those of the least id."""
+    day = F.coalesce(F.date_format("reviewed_at", "yyyy-MM-dd"), F.lit("?"))
+    score = F.when(F.coalesce(F.col("detector_score") != 0, F.lit(False)), F.concat(F.lit(" (classifier had scored "), F.format_string("%.2f", F.col("detector_score").cast("double")), F.lit(")"))).otherwise("")
+    newest = requests.where("status = 'approved'").orderBy(F.desc_nulls_first("reviewed_at"), "request_id").limit(limit)
+    return newest.select(
+        F.concat(F.lit("approved-"), F.substring(F.col("request_id").cast("string"), 1, 8)).alias("id"), "title", F.coalesce("description", F.lit("Approved after review")).alias("description"),
+        "url", F.lit("approved").alias("kind"), F.lit("en").alias("language"), F.lit("medium").alias("size"), F.concat(F.lit("Let in by review on "), day, score).alias("tests"),
+    )

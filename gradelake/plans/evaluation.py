@@ -181,9 +181,9 @@ def d22(cases):
     return T.rule_effect(_hits(cases), cases)
 
 
-@query("f4_top_rules", "cases", sql=f"select rule, count(distinct case_id) marked from {RULES} h group by rule order by marked desc, rule limit 5")
+@query("f4_top_rules", "cases", sql=f"select rule, count(distinct case_id) marked from {RULES} h group by rule order by marked desc, rule limit 40")
 def f4(cases):
-    return T.rule_effect(_hits(cases), cases).select("rule", "marked").orderBy(F.desc("marked"), "rule").limit(5)
+    return T.rule_effect(_hits(cases), cases).select("rule", "marked").orderBy(F.desc("marked"), "rule").limit(40)
 
 
 @query("d25_rule_audit", "cases", sql=f"select rule, dataset, count(distinct case_id) docs, cast(0 as bigint) sole, min(case_id) first_doc from {RULES} h group by rule, dataset")
@@ -263,9 +263,15 @@ def e13(cases):
 
 
 @query("f5_balanced_sample", "cases", sql="""
-    select case_id, language from (select *, row_number() over (partition by language order by turn, h, case_id) place from (select *, md5('b1:' || case_id) h, row_number() over (partition by language, intent, strategy order by md5('b1:' || case_id), case_id) turn from cases) a where turn <= 30) x where place <= 30""")
+    select language, least(30, count(*)) taken, case when count(*) >= 90 then true end even from cases group by language""")
 def f5(cases):
-    return T.balanced_sample(cases, 30, "b1").select("case_id", "language")
+    """30 of each language; even: its four strategies are used 7 or 8 times each, where there are cases enough."""
+    languages = [r[0] for r in cases.select("language").distinct().limit(100).collect()]
+    chosen = T.balanced_sample(cases, dict.fromkeys(languages, 30), "b1")
+    use = chosen.groupBy("language", "strategy").count().groupBy("language")
+    use = use.agg(F.sum("count").alias("taken"), (F.max("count") - F.min("count") <= 1).alias("even"))
+    many = cases.groupBy("language").count().select("language", (F.col("count") >= 90).alias("many"))
+    return use.join(many, "language").select("language", "taken", F.when(F.col("many"), F.col("even")).alias("even"))
 
 
 @query("a5_normalize_rows", "documents", "labels", sql=r"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradelake.functions.errors import classifier_finding, user_message
+from gradelake.functions.hashing import fnv1a
 from gradelake.operators import relational as R
 from gradelake.operators import scoring as S
 from gradelake.plans.catalog import query
@@ -163,10 +165,64 @@ def c2(jobs):
     select j.quiz_id, j.attempt_no, z.source_id, s.lang, s.n_chars, q.n n_questions, q.first_prompt from jobs j join quizzes z on j.quiz_id = z.quiz_id and z.status = 'ready' join sources s on z.source_id = s.source_id
     left join (select quiz_id, count(*) n, arg_min(prompt, position) first_prompt from questions group by quiz_id) q on q.quiz_id = j.quiz_id % 300 where j.status = 'succeeded'""")
 def c1(jobs, quizzes, sources, questions):
-    out = R.scoring_input(jobs, quizzes, sources, questions)
+    """There are questions of 300 quizzes; quizzes of equal number modulo 300 share them."""
+    shared = quizzes.select("quiz_id").join(questions.withColumnRenamed("quiz_id", "q"), F.col("quiz_id") % 300 == F.col("q")).drop("q")
+    out = R.scoring_input(jobs, quizzes, sources, shared)
     return out.select("quiz_id", "attempt_no", "source_id", "lang", "n_chars", F.size("questions").cast("long").alias("n_questions"), F.col("questions")[0]["prompt"].alias("first_prompt"))
 
 
+@query("b2_generation_progress", "quizzes", sql="""
+    select quiz_id, case when p then phase end phase, case when p then phase_step end as step, case when p then phase_total end total from (select *, status = 'generating' and phase is not null and phase_step is not null and phase_total is not null p from quizzes) q""")
+def b2(quizzes):
+    return R.generation_progress(quizzes).select("quiz_id", "progress.*")
+
+
+@query("b3_user_messages", "quizzes", sql="""
+    select quiz_id, case when error is null then null when error like '%host not allowed%' then 'The host "evil.example/x" is not allowed. Use a Markdown file hosted on github.com or raw.githubusercontent.com.' when error like '%HTTP 404%' then 'The document was not found (HTTP 404). Check the URL.'
+        when error like '%classifier scored%' then 'Our prompt-injection classifier rejected this document. If it is a legitimate README, you can ask for it to be reviewed and added to the document list.' when error like '%unsupported_language%' then 'This document is not in a supported language. Supported: English, Portuguese and Spanish.'
+        when error like '%timed out%' then 'Generation took too long. Please try again.' else 'Quiz generation failed. Please try again.' end message from quizzes""")
+def b3(quizzes):
+    return quizzes.select("quiz_id", user_message(F.col("error")).alias("message"))
+
+
+@query("b4_classifier_finding", "quizzes", "documents", sql="""
+    select quiz_id, cast('0.' || (10 + quiz_id % 90) as double) score, trim(case when quiz_id % 2 = 0 then substr(text, 1, 600) else 'x: the classifier scored 0.' || (10 + quiz_id % 90) || ' on this' end)[1:500] excerpt from quizzes join documents on doc_id = source_id where quiz_id % 3 > 0
+    union all select quiz_id, null, null from quizzes join documents on doc_id = source_id where quiz_id % 3 = 0""")
+def b4(quizzes, documents):
+    """Failures that name a score, with the document's beginning as the excerpt or without one, and others."""
+    rows = quizzes.join(documents.select("doc_id", "text"), F.col("doc_id") == F.col("source_id"))
+    said = F.concat(F.lit("x: the classifier scored 0."), 10 + F.col("quiz_id") % 90, F.lit(" on this"))
+    raw = F.when(F.col("quiz_id") % 3 == 0, "boom").when(F.col("quiz_id") % 2 == 0, F.concat(said, F.lit(" — excerpt: "), F.substring("text", 1, 600))).otherwise(said)
+    return rows.select("quiz_id", classifier_finding(raw).alias("f")).select("quiz_id", "f.*")
+
+
+@query("h39_fnv1a", "conversations", sql="""
+    with c as (select conv_id, turn, list_transform(string_split(substr(text, 1, 40), ''), lambda x: unicode(x)) u from conversations)
+    select conv_id, turn, cast(list_reduce(list_prepend(2166136261::hugeint, list_transform(u, lambda x: x::hugeint)), lambda h, x: (xor(h, x) * 16777619) % 4294967296) as bigint) h from c where len(list_filter(u, lambda x: x > 65535)) = 0 and len(u) > 0""")
+def h39(c):
+    """Of the first 40 characters of each text."""
+    return c.where("length(text) > 0").select("conv_id", "turn", fnv1a(F.substring("text", 1, 40)).alias("h"))
+
+
+@query("c17_catalogue_status", "sources", "quizzes", sql="""
+    with used as (select source_id, min(created_at) used_at from quizzes where status = 'ready' and quiz_id % 5 <> 0 group by source_id), gone as (select distinct url from sources where source_id % 17 = 3)
+    select source_id, case when g.url is null then coalesce(s.listed_at, u.used_at) end listed_at from sources s left join used u using (source_id) left join gone g on g.url = s.url""")
+def c17(sources, quizzes):
+    used = quizzes.where("status = 'ready'").select("source_id", F.col("created_at").alias("at"), (F.col("quiz_id") % 5 == 0).alias("flagged"))
+    return R.catalogue_status(sources, used, sources.where("source_id % 17 = 3").select("url"))
+
+
+@query("f3_approved_entries", "sources", sql="""
+    select 'approved-' || substr(cast(source_id as varchar), 1, 8) id, 'T' || source_id title, coalesce(case when source_id % 2 = 0 then source end, 'Approved after review') description, url, 'approved' kind, 'en' as language, 'medium' size,
+        'Let in by review on ' || coalesce(strftime(listed_at, '%Y-%m-%d'), '?') || case when source_id % 3 = 1 then ' (classifier had scored ' || printf('%.2f', (source_id % 100) / 100.0) || ')' else '' end tests
+    from sources where source_id % 4 < 3 order by listed_at desc nulls first, source_id limit 100""")
+def f3(sources):
+    status = F.when(F.col("source_id") % 4 < 3, "approved").otherwise("pending")
+    score = F.when(F.col("source_id") % 3 == 1, F.col("source_id") % 100 / 100)
+    requests = sources.select(F.col("source_id").alias("request_id"), F.concat(F.lit("T"), "source_id").alias("title"), F.when(F.col("source_id") % 2 == 0, F.col("source")).alias("description"), "url", status.alias("status"), F.col("listed_at").alias("reviewed_at"), score.alias("detector_score"))
+    return R.approved_entries(requests)
+
+
 @query("d27_usage_cost", "jobs", sql="""
     select model, count(*) jobs, sum(prompt_tokens) prompt_tokens, sum(completion_tokens) completion_tokens, round(sum(prompt_tokens * case model when 'model-a' then 0.3 when 'model-b' then 3.0 else 15.0 end + completion_tokens * case model when 'model-a' then 1.2 when 'model-b' then 15.0 else 75.0 end) / 1000000, 4) as cost
     from jobs group by model""")

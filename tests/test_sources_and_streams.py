@@ -30,11 +30,28 @@ def test_corpus_results_and_outputs(spark, tmp_path):
 
 
 def test_runs_are_never_overwritten(spark, tmp_path):
-    files.write_run(spark.range(3), str(tmp_path / "runs"), "a")
-    files.write_run(spark.range(5), str(tmp_path / "runs"), "b")
-    with pytest.raises(Exception, match="exists"):
-        files.write_run(spark.range(1), str(tmp_path / "runs"), "a")
-    assert spark.read.parquet(str(tmp_path / "runs" / "latest")).count() == 5 and spark.read.parquet(str(tmp_path / "runs" / "run_id=a")).count() == 3
+    base = f"file://{tmp_path}/runs"
+    files.write_run(spark.range(3).repartition(2), base, "a")
+    files.write_run(spark.range(5), base, "b")
+    with pytest.raises(Exception, match="never overwritten"):
+        files.write_run(spark.range(1), base, "a")
+    assert files.read_run(spark, base).count() == 5 and sorted(r["id"] for r in files.read_run(spark, base, "a").collect()) == [0, 1, 2]
+
+
+def test_a_failed_run_leaves_nothing(spark, tmp_path):
+    base = f"file://{tmp_path}/runs"
+    files.write_run(spark.range(2), base, "a")
+    broken = spark.range(100).repartition(4).select(F.when(F.col("id") == 77, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        files.write_run(broken, base, "b")
+    assert sorted(p.name for p in (tmp_path / "runs").iterdir()) == ["latest", "run_id=a"] and files.read_run(spark, base).count() == 2
+
+
+def test_corpus_round_trip(spark, tmp_path):
+    rows = {("en", "a", "one\ntwo"), ("es", "a", "ñ")}
+    files.write_corpus(spark.createDataFrame(sorted(rows), "language string, name string, text string"), f"file://{tmp_path}/c")
+    got = files.read_corpus(spark, f"file://{tmp_path}/c").collect()
+    assert {(r["language"], r["path"].rsplit("/", 1)[1][:-3], r["text"]) for r in got} == rows
 
 
 def test_metric_lines(spark):
