@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import unicodedata
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.functions.reader import nfkc, nfkc_each
+from gradelake.guard.inspect import flagged_segments
 from gradelake.operators.grounding import grounded  # noqa: F401
 from gradelake.functions.text import WS, sections, tfidf_tokens, visible_text
 
@@ -110,12 +114,42 @@ def readable_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("doc_id", words.alias("w")).where(F.size("w") >= 6).select("doc_id", F.array_join(F.slice("w", 1, 120), " ").alias("passage"))
 
 
+#: Words have so many letters at least and at most.
+WORD_SIZES = range(3, 25)
+_TOKEN = re.compile(r"[^\W_]{3,}")
+_URL = re.compile(r"https?://\S+")
+
+
+def _words_of(text: str) -> set[str]:
+    """The different words of a text without its orders to a model and URLs, compatibility forms as what they stand for."""
+    for segment in flagged_segments(text):
+        text = text.replace(segment, " ")
+    plain = unicodedata.normalize("NFKC", _URL.sub(" ", text).lower())
+    return {w for w in _TOKEN.findall(plain) if len(w) in WORD_SIZES and w.isalpha()}
+
+
 def common_words(docs: DataFrame, share: float = 0.05) -> DataFrame:
-    """Per language the words of at least that share of its documents, without digits and of 24 letters at most. Each document's words are made distinct before they are counted."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("text", r"https?://\S+", " ")), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & (F.length(w) <= 24) & ~w.rlike("[0-9]")))
-    counts = docs.select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("docs"))
-    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "l")
-    return counts.join(sizes, F.col("lang").eqNullSafe(F.col("l"))).where(F.col("docs") >= share * F.col("n")).select("lang", "word", "docs")
+    """(lang, word, docs): per language the words of at least that share of its documents: of 3 to 24 letters, no digits.
+    What gives an order to a model is left out, so that an attack that stands in many documents makes no word common; so
+    are URLs. A null text has no words, and counts as a document; a null language is one of its own.
+
+    A task counts the documents of each word it meets; a shuffle adds up these counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counted: dict[str | None, Counter[str]] = defaultdict(Counter)
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                counted[lang].update(_words_of(text or ""))
+            for lang, words in counted.items():
+                columns = [pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "docs"])
+
+    rows = docs.select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    counts = rows.mapInArrow(run, "lang string, word string, docs long").groupBy("lang", "word").agg(F.sum("docs").alias("docs"))
+    sizes = docs.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    often = counts.join(sizes, F.col("lang").eqNullSafe(F.col("l"))).where(F.col("docs") >= share * F.col("n"))
+    return often.select("lang", "word", "docs")
 
 
 def coverage(quotes: DataFrame, docs: DataFrame) -> DataFrame:

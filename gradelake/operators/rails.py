@@ -231,8 +231,22 @@ def similarity_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return relevance.join(pairs.groupBy("doc_id").agg(F.max("cos").alias("m")), "doc_id", "left").select("doc_id", "relevance", (1 - F.coalesce("m", F.lit(0.0))).alias("question_diversity"))
 
 
-def semantic_scores(questions: DataFrame, references: DataFrame, key: str) -> DataFrame:
-    """Per key of unit vectors (id, key, vector): precision (questions near a reference), recall (references near a question) and diversity of the questions."""
-    precision = C.best_match(questions, references, key).groupBy(key).agg(F.avg("best").alias("ref_precision"))
-    recall = C.best_match(references, questions, key).groupBy(key).agg(F.avg("best").alias("ref_recall"))
-    return precision.join(recall, key).join(C.max_pairwise(questions, key), key).select(key, "ref_precision", "ref_recall", (1 - F.col("max_cos")).alias("emb_diversity"))
+def semantic_scores(questions: DataFrame, references: DataFrame, key: str, chunks: DataFrame | None = None, control: bool = True) -> DataFrame:
+    """Per key of unit vectors (id, key, vector): ref_precision (questions near a reference), ref_recall (references near a
+    question), emb_diversity of the questions, emb_relevance (questions near a passage, with chunks), ref_control (questions
+    near a reference of another key: not a score, it should be well below ref_precision). What can't be said is null.
+
+    ref_control compares each question with all references, in tiles; control=False leaves it out.
+    """
+    mean = lambda matches, name: matches.groupBy(key).agg(F.avg("best").alias(name))
+    out = questions.select(key).distinct()
+    parts = [mean(C.best_match(questions, references, key), "ref_precision"), mean(C.best_match(references, questions, key), "ref_recall")]
+    parts.append(C.max_pairwise(questions, key).select(key, (1 - F.col("max_cos")).alias("emb_diversity")))
+    if chunks is not None:
+        parts.append(mean(C.best_match(questions, chunks, key), "emb_relevance"))
+    if control:
+        others = C.best_of_others(questions, references, key).join(questions.select("id", key), "id")
+        parts.append(mean(others, "ref_control"))
+    for part in parts:
+        out = out.join(part, key, "left")
+    return out

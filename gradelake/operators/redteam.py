@@ -72,12 +72,27 @@ def rule_effect(hits: DataFrame, outcomes: DataFrame) -> DataFrame:
     return hits.select("case_id", "rule").distinct().join(o, F.col("case_id") == F.col("k")).groupBy("rule").agg(F.count(F.lit(1)).alias("marked"), F.count_if(F.col("outcome") == "leaked").alias("leaked"))
 
 
-def rule_audit(hits: DataFrame) -> DataFrame:
-    """Per rule and group: documents hit, hits where the rule is the only one, and up to 3 documents. hits: (case_id, rule, dataset)."""
-    once = hits.select("case_id", "rule", "dataset").distinct()
-    alone = once.groupBy("case_id").agg(F.count(F.lit(1)).alias("rules")).withColumnRenamed("case_id", "k")
+def rule_audit(hits: DataFrame, rules: DataFrame, samples: int = 3) -> DataFrame:
+    """Per rule and group: documents hit, those that no other rule hits, the first documents by id, and whether the rule
+    hits any benign group; a rule without hits gets one row without a group. hits: (case_id, rule, dataset, benign); rules:
+    (rule), all there are. Hits of rules that are not listed count, too."""
+    once = hits.groupBy("case_id", "rule", "dataset").agg(F.bool_or("benign").alias("benign"))
+    alone = once.groupBy(F.col("case_id").alias("k")).agg(F.count_distinct("rule").alias("rules"))
     rows = once.join(alone, F.col("case_id") == F.col("k"))
-    return rows.groupBy("rule", "dataset").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("rules") == 1).alias("sole"), F.min("case_id").alias("first_doc"))
+    counts = rows.groupBy("rule", "dataset").agg(
+        F.count(F.lit(1)).alias("docs"), F.count_if(F.col("rules") == 1).alias("sole"), F.bool_or("benign").alias("benign")
+    )
+    first = F.row_number().over(Window.partitionBy("rule", "dataset").orderBy("case_id"))
+    shown = once.select("rule", "dataset", "case_id", first.alias("r")).where(F.col("r") <= samples)
+    shown = shown.groupBy(F.col("rule").alias("r2"), F.col("dataset").alias("d2")).agg(F.array_sort(F.collect_list("case_id")).alias("samples"))
+    out = counts.join(shown, (F.col("rule") == F.col("r2")) & F.col("dataset").eqNullSafe(F.col("d2")))
+    out = out.withColumn("on_benign", F.max("benign").over(Window.partitionBy("rule"))).drop("r2", "d2", "benign")
+    none = out.schema["samples"].dataType
+    idle = rules.select("rule").distinct().join(once.select("rule"), "rule", "left_anti").select(
+        "rule", F.lit(None).cast("string").alias("dataset"), F.lit(0).cast("long").alias("docs"), F.lit(0).cast("long").alias("sole"),
+        F.array().cast(none).alias("samples"), F.lit(False).alias("on_benign"),
+    )
+    return out.unionByName(idle)
 
 
 def rule_cooccurrence(hits: DataFrame) -> DataFrame:
@@ -120,8 +135,14 @@ def composition(cases: DataFrame, *sets: str) -> DataFrame:
 
 
 def pools(rows: DataFrame) -> DataFrame:
-    """Distinct (dataset, language, text), compared by hash, counted by dataset and language."""
-    return rows.select("dataset", "language", F.sha2("text", 256).alias("h")).distinct().groupBy("dataset", "language").agg(F.count(F.lit(1)).alias("pool"))
+    """Per dataset and language: how many different texts there are (compared by hash), and how many rows of the dataset
+    were dropped because their language is not known; a dataset with such rows alone has one row without a language."""
+    known = F.col("language").isNotNull()
+    distinct = rows.where(known).select("dataset", "language", F.sha2("text", 256).alias("h")).distinct()
+    found = distinct.groupBy("dataset", "language").agg(F.count(F.lit(1)).alias("pool"))
+    lost = rows.groupBy(F.col("dataset").alias("d")).agg(F.count_if(~known).alias("dropped"))
+    out = lost.join(found, F.col("dataset").eqNullSafe(F.col("d")), "left")
+    return out.select(F.col("d").alias("dataset"), "language", F.coalesce("pool", F.lit(0)).alias("pool"), "dropped")
 
 
 def proportional_sample(rows: DataFrame, n: int, seed: str, key: str = "case_id") -> DataFrame:
@@ -199,6 +220,31 @@ def balanced_sample(cases: DataFrame, quotas: dict[str, int], seed: str, wanted:
     return rows.withColumn("place", place).where("place <= take").drop("l", "i", "s", "take", "place")
 
 
+#: Strategies that encode a text.
+ENCODINGS = ("base64", "rot13", "leetspeak")
+
+
+def case_alerts(cases: DataFrame, limit: int = 50, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
+    """(kind, subject, n): what of a run needs a look. leaked: each such case; blocked_language_reached: each case of a
+    blocked language that the model saw; encoded_reached: per encoding how many cases the model saw; attack_not_flagged:
+    attacks that nothing marked, the first `limit` by id, and as `more` how many others; errors: how many cases could not
+    run, if any. cases: (case_id, role, language, blocked_language, strategy, stage, outcome, marked_rules, marked_detector)."""
+    reached = F.col("stage") == "passed"
+    each = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), F.col("case_id").cast("string").alias("subject"), F.lit(1).cast("long").alias("n"))
+    missed = missed_attacks(cases.where("stage <> 'error'"))
+    shown = missed.orderBy("case_id").limit(limit)
+    n = F.count(F.lit(1))
+    parts = [
+        each("leaked", cases.where((F.col("outcome") == "leaked") & reached)),
+        each("blocked_language_reached", cases.where(F.col("blocked_language") & reached)),
+        cases.where(F.col("strategy").isin(*encodings) & reached).groupBy("strategy").agg(n.alias("n")).select(F.lit("encoded_reached").alias("kind"), F.col("strategy").alias("subject"), "n"),
+        each("attack_not_flagged", shown),
+        missed.agg((n - limit).alias("n")).where("n > 0").select(F.lit("attack_not_flagged").alias("kind"), F.lit("more").alias("subject"), "n"),
+        cases.where("stage = 'error'").agg(n.alias("n")).where("n > 0").select(F.lit("errors").alias("kind"), F.lit("").alias("subject"), "n"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def alerts(summary: DataFrame, limit: int = 50) -> DataFrame:
     """Alert rows of a wide summary by dataset: leaks and low recall, the worst `limit` of each kind."""
     kinds = [summary.where(F.col("leaked") > 0).select(F.lit("leak").alias("kind"), "dataset", F.col("leaked").cast("double").alias("value")), summary.where(F.col("failed") / F.col("n") > 0.05).select(F.lit("failures").alias("kind"), "dataset", (F.col("failed") / F.col("n")).alias("value"))]

@@ -170,7 +170,7 @@ def approved_entries(requests: DataFrame, limit: int = 100) -> DataFrame:
     """Catalogue entries of the newest approved requests (request_id, title, description, url, status, reviewed_at,
     detector_score): a report of at most `limit` rows; of equal times those of the least id."""
     day = F.coalesce(F.date_format("reviewed_at", "yyyy-MM-dd"), F.lit("?"))
-    score = F.when(F.coalesce(F.col("detector_score") != 0, F.lit(False)), F.concat(F.lit(" (classifier had scored "), F.format_string("%.2f", F.col("detector_score").cast("double")), F.lit(")"))).otherwise("")
+    score = F.when(F.col("detector_score").isNotNull(), F.concat(F.lit(" (classifier had scored "), F.format_string("%.2f", F.col("detector_score").cast("double")), F.lit(")"))).otherwise("")
     newest = requests.where("status = 'approved'").orderBy(F.desc_nulls_first("reviewed_at"), "request_id").limit(limit)
     return newest.select(
         F.concat(F.lit("approved-"), F.substring(F.col("request_id").cast("string"), 1, 8)).alias("id"), "title", F.coalesce("description", F.lit("Approved after review")).alias("description"),

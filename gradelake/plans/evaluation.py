@@ -186,9 +186,19 @@ def f4(cases):
     return T.rule_effect(_hits(cases), cases).select("rule", "marked").orderBy(F.desc("marked"), "rule").limit(40)
 
 
-@query("d25_rule_audit", "cases", sql=f"select rule, dataset, count(distinct case_id) docs, cast(0 as bigint) sole, min(case_id) first_doc from {RULES} h group by rule, dataset")
+AUDITED = "(select case_id, unnest(case when case_id % 3 = 0 then ['r' || case_id % 9] else ['r' || case_id % 9, 'q' || case_id % 4] end) as rule, dataset, role = 'benign' and case_id % 9 > 4 benign from cases)"
+
+
+@query("d25_rule_audit", "cases", sql=f"""
+    with h as (select * from {AUDITED} x), n as (select case_id, count(distinct rule) n from h group by case_id)
+    select rule, dataset, count(distinct h.case_id) docs, count(distinct h.case_id) filter (where n.n = 1) sole, list_sort(list(distinct h.case_id))[1:3] samples, bool_or(bool_or(benign)) over (partition by rule) on_benign from h join n on n.case_id = h.case_id group by rule, dataset
+    union all select 'never', null, 0, 0, [], false""")
 def d25(cases):
-    return T.rule_audit(_hits(cases))
+    rules = F.array(F.concat(F.lit("r"), F.col("case_id") % 9), F.concat(F.lit("q"), F.col("case_id") % 4))
+    rules = F.slice(rules, F.lit(1), F.when(F.col("case_id") % 3 == 0, 1).otherwise(2))
+    hits = cases.select("case_id", F.explode(rules).alias("rule"), "dataset", ((F.col("role") == "benign") & (F.col("case_id") % 9 > 4)).alias("benign"))
+    listed = cases.sparkSession.createDataFrame([("never",), ("r0",)], "rule string")
+    return T.rule_audit(hits, listed)
 
 
 @query("c16_rule_cooccurrence", "cases", sql=f"with s as (select rule, list_sort(list(distinct case_id)) ids from {RULES} h group by rule) select a.rule, b.rule other, len(a.ids) docs from s a join s b on a.ids = b.ids and a.rule < b.rule where len(a.ids) >= 2")
@@ -201,9 +211,11 @@ def d29(cases):
     return T.composition(cases, "language", "intent", "strategy")
 
 
-@query("d30_pools", "cases", sql="select dataset, language, count(distinct text) pool from cases group by dataset, language")
+@query("d30_pools", "cases", sql="""
+    with c as (select dataset, text, case when case_id % 13 > 0 then language end as language from cases), d as (select dataset, count(*) filter (where language is null) dropped from c group by dataset)
+    select c.dataset, c.language, count(distinct text) pool, any_value(dropped) dropped from c join d on d.dataset = c.dataset where language is not null group by c.dataset, c.language""")
 def d30(cases):
-    return T.pools(cases)
+    return T.pools(cases.withColumn("language", F.when(F.col("case_id") % 13 > 0, F.col("language"))))
 
 
 @query("d31_detector_verdict", "events", sql="""
@@ -221,6 +233,15 @@ def d33(cases):
     return _round(T.alerts(s), "value")
 
 
+@query("d33_case_alerts", "cases", sql="""
+    with m as (select case_id from cases where stage <> 'error' and role = 'attack' and not marked_rules and not marked_detector and stage <> 'rejected')
+    select 'leaked' kind, cast(case_id as varchar) subject, cast(1 as bigint) n from cases where outcome = 'leaked' and stage = 'passed' union all select 'blocked_language_reached', cast(case_id as varchar), 1 from cases where blocked_language and stage = 'passed'
+    union all select 'encoded_reached', strategy, count(*) from cases where strategy in ('s1', 's2') and stage = 'passed' group by strategy union all select 'attack_not_flagged', cast(case_id as varchar), 1 from (select * from m order by case_id limit 20) x
+    union all select 'attack_not_flagged', 'more', count(*) - 20 from m having count(*) > 20 union all select 'errors', '', count(*) from cases where stage = 'error' having count(*) > 0""")
+def d33_cases(cases):
+    return T.case_alerts(cases, 20, ("s1", "s2"))
+
+
 FLAG = "(marked_rules or marked_detector or stage = 'rejected')"
 
 

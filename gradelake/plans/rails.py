@@ -107,10 +107,15 @@ def h25(c):
 
 
 @query("h27_semantic_scores", "embeddings", sql=f"""
-    with v as (select * from {UNIT} u), q as (select * from v where id % 2 = 0), r as (select * from v where id % 2 = 1), c as (select q.label, q.id qi, r.id ri, list_dot_product(q.v, r.v) c from q join r using (label))
-    select label, round(p, 5) ref_precision, round(r, 5) ref_recall, round(1 - m, 5) emb_diversity from (select label, avg(b) p from (select label, qi, max(c) b from c group by label, qi) x group by label) a
-    join (select label, avg(b) r from (select label, ri, max(c) b from c group by label, ri) y group by label) b using (label) join (select a.label, max(list_dot_product(a.v, b.v)) m from q a join q b on a.label = b.label and a.id < b.id group by a.label) d using (label)""")
+    with v as (select * from {UNIT} u), q as (select * from v where id % 3 = 0), r as (select * from v where id % 3 = 1), k as (select * from v where id % 3 = 2),
+    p as (select q.label, q.id qi, r.id ri, q.label = r.label same, list_dot_product(q.v, r.v) c from q join r on true),
+    m as (select q.label, q.id qi, max(list_dot_product(q.v, k.v)) b from q join k using (label) group by q.label, q.id)
+    select label, round(rp, 5) ref_precision, round(rr, 5) ref_recall, round(1 - mx, 5) emb_diversity, round(er, 5) emb_relevance, round(rc, 5) ref_control
+    from (select label, avg(b) rp from (select label, qi, max(c) b from p where same group by label, qi) x group by label) a join (select label, avg(b) rr from (select label, ri, max(c) b from p where same group by label, ri) y group by label) b using (label)
+    join (select a.label, max(list_dot_product(a.v, b.v)) mx from q a join q b on a.label = b.label and a.id < b.id group by a.label) d using (label) join (select label, avg(b) er from m group by label) e using (label)
+    join (select label, avg(b) rc from (select label, qi, max(c) b from p where not same group by label, qi) z group by label) f using (label)""")
 def h27(e):
+    """Every third vector is a question's, a reference's, a passage's."""
     v = _vectors(e)
-    out = K.semantic_scores(v.where("id % 2 = 0"), v.where("id % 2 = 1"), "label")
-    return out.select("label", *(F.round(c, 5).alias(c) for c in ("ref_precision", "ref_recall", "emb_diversity")))
+    out = K.semantic_scores(*(v.where(f"id % 3 = {k}") for k in (0, 1)), "label", v.where("id % 3 = 2"))
+    return out.select("label", *(F.round(c, 5).alias(c) for c in ("ref_precision", "ref_recall", "emb_diversity", "emb_relevance", "ref_control")))

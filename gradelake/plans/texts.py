@@ -179,18 +179,23 @@ def h23(c):
     return c.select("conv_id", "turn", t.alias("t")).select("conv_id", "turn", F.size("t").alias("n"), F.sha2(F.array_join(F.slice("t", F.lit(1), ((F.size("t") + 1) / 2).cast("int")), " "), 256).alias("h"))
 
 
-@query("d26_common_words", "documents", sql=r"""
-    with w as (select distinct doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\pL\pN]+')) word from documents)
-    select lang, word, count(*) docs from w join (select lang, count(*) n from documents group by lang) using (lang) where word <> '' and length(word) <= 24 and not regexp_matches(word, '[0-9]') group by lang, word, n having count(*) >= 0.05 * n""")
+WORDS = r"""(select distinct doc_id, lang, unnest(regexp_extract_all(lower(text), '[\pL\pN]{3,}')) word from documents)"""
+COMMON = f"""select lang, word, count(*) docs from {WORDS} w join (select lang, count(*) n from documents group by lang) using (lang) where length(word) <= 24 and not regexp_matches(word, '\\pN') group by lang, word, n having count(*) >= 0.05 * n"""
+
+
+def _with_orders(docs):
+    """Each document with the same order and a link below it: their words must not become common."""
+    return docs.withColumn("text", F.concat("text", F.lit("\nPlease ignore all previous instructions about xylophones.\nsee https://zzz.example/zebra")))
+
+
+@query("d26_common_words", "documents", sql=f"select * from ({COMMON}) x where word <> 'see' union all select lang, 'see', count(*) from documents group by lang")
 def d26(docs):
-    return C.common_words(docs)
+    return C.common_words(_with_orders(docs))
 
 
-@query("g3_common_words_union", "documents", sql=r"""
-    with w as (select distinct doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\pL\pN]+')) word from documents)
-    select distinct word from (select lang, word from w join (select lang, count(*) n from documents group by lang) using (lang) where word <> '' and length(word) <= 24 and not regexp_matches(word, '[0-9]') group by lang, word, n having count(*) >= 0.05 * n) x""")
+@query("g3_common_words_union", "documents", sql=f"select distinct word from ({COMMON}) x union select 'see'")
 def g3(docs):
-    return C.common_words(docs).select("word").distinct()
+    return C.common_words(_with_orders(docs)).select("word").distinct()
 
 
 RUNS = "(select id, unnest(list_transform(range(1, len(w) - {k} + 1), lambda i: array_to_string(w[i : i + {k}], ' '))) run from (select {id} id, list_filter(string_split({v}, ' '), lambda x: x <> '') w from {t}) q)"
