@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from gradelake.plans.bridge import relation, with_relations
+from gradelake.sources.shared import dealt_out
 
 
 @dataclass(frozen=True)
@@ -16,19 +17,24 @@ class Query:
     reads: tuple[str, ...]
     make: Callable[..., DataFrame]
     sql: str | None
+    heavy: bool = False  # much work for each row of the first relation, which is made of documents or pages
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.make(*(relation(spark, sf_dir, r) for r in self.reads))
+        first, *others = (relation(spark, sf_dir, r) for r in self.reads)
+        if self.heavy:
+            table = "pages" if self.reads[0] == "pages" else "documents"
+            first = dealt_out(first, f"{sf_dir}/{table}.parquet")
+        return self.make(first, *others)
 
 
 ALL: dict[str, Query] = {}
 
 
-def query(name: str, *reads: str, sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+def query(name: str, *reads: str, sql: str | None = None, heavy: bool = False) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
     def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         if name in ALL:
             raise ValueError(f"{name} is registered twice")
-        ALL[name] = Query(name, reads, f, with_relations(sql) if sql else None)
+        ALL[name] = Query(name, reads, f, with_relations(sql) if sql else None, heavy)
         return f
 
     return add

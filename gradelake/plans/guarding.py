@@ -25,14 +25,14 @@ def planted(docs):
     return docs.select("doc_id", "lang", F.concat_ws("\n", "text", extra).alias("text"))
 
 
-@query("h16_inspect_documents", "documents", sql="""
+@query("h16_inspect_documents", "documents", heavy=True, sql="""
     select doc_id, doc_id % 10 in (2, 3, 4, 5, 6, 7, 8) as blocked, doc_id % 10 in (0, 1, 8) as flagged from documents""")
 def h16(docs):
     flagged = F.exists("findings", lambda f: f["kind"] == "injection_phrase")
     return G.inspect_documents(planted(docs)).select("doc_id", "blocked", flagged.alias("flagged"))
 
 
-@query("h16_findings", "documents", sql="""
+@query("h16_findings", "documents", heavy=True, sql="""
     with f as (select unnest(case doc_id % 10 when 0 then ['injection_phrase'] when 1 then ['injection_phrase'] when 2 then ['encoded_payload'] when 3 then ['obfuscated_instruction'] when 4 then ['obfuscated_instruction']
     when 5 then ['hidden_html', 'hidden_element'] when 6 then ['hidden_html', 'html_comment'] when 7 then ['model_markup'] when 8 then ['injection_phrase', 'invisible_characters', 'obfuscated_instruction'] else [] end) kind from documents)
     select kind, count(*) docs from f group by kind""")
@@ -57,14 +57,14 @@ SPOKEN = (
 _CASES = " ".join(f"when {k} then [{', '.join(repr(r) for r in rules)}]" for k, (_, rules) in enumerate(SPOKEN))
 
 
-@query("h15_rule_hits", "documents", sql=f"""
+@query("h15_rule_hits", "documents", heavy=True, sql=f"""
     select doc_id, unnest(case doc_id % {len(SPOKEN)} {_CASES} end) as rule from documents""")
 def h15(docs):
     said = F.element_at(F.array(*(F.lit(s) for s, _ in SPOKEN)), (1 + F.col("doc_id") % len(SPOKEN)).cast("int"))
     return G.rule_hits(docs.select("doc_id", F.concat_ws("\n", "text", said).alias("text"))).select("doc_id", "rule")
 
 
-@query("h18_flagged_segments", "documents", sql=f"""
+@query("h18_flagged_segments", "documents", heavy=True, sql=f"""
     with t as (select doc_id, doc_id % 3 kind, replace(text, chr(10), ' ') line from documents),
     l as (select doc_id, kind, unnest(case kind when 0 then [line, '{LINE}'] when 1 then [trim(line || '. {LINE}')] else [line] end) line from t)
     select distinct doc_id, case when length(line) <= 400 then line else '{LINE}' end as segment from l where kind < 2 and line like '%{LINE}'""")
@@ -75,7 +75,7 @@ def h18(docs):
     return G.segments_flagged(docs.select("doc_id", F.coalesce(said, line).alias("text"))).select("doc_id", "segment")
 
 
-@query("h17_obfuscated_segments", "documents", sql=rf"""
+@query("h17_obfuscated_segments", "documents", heavy=True, sql=rf"""
     with plant as (select doc_id, lower(case doc_id % 4 when 0 then text || chr(10) || reverse(substr(text, 1, 400)) when 1 then text || chr(10) || translate(lower(substr(text, 1, 400)), 'abcdefghijklmnopqrstuvwxyz', 'nopqrstuvwxyzabcdefghijklm')
         when 2 then text || chr(10) || translate(substr(text, 1, 400), 'oieas', '01345') else text end) t from documents),
     sent as (select doc_id, unnest(regexp_split_to_array(regexp_replace(regexp_replace(t, 'https?://\S+|<[^<>]*>|[\[\]()]', ' ', 'g'), '([.!?;])\s+', chr(92) || '1' || chr(10), 'g'), '\n+')) s from plant),
@@ -90,7 +90,7 @@ def h17(docs):
     return D.obfuscated_segments(docs.select("doc_id", F.concat_ws("\n", "text", extra).alias("text")))
 
 
-@query("h14_decode_candidates", "documents", sql="""
+@query("h14_decode_candidates", "documents", heavy=True, sql="""
     select doc_id, 'base64' encoding, sha256(substr(text, 1, 60)) h, false in_url from documents where doc_id % 3 = 0 and length(text) >= 60
     union all select doc_id, 'hex', sha256(substr(text, 1, 60)), false from documents where doc_id % 3 = 1 and length(text) >= 60
     union all select doc_id, 'base64', sha256(substr(text, 1, 60)), true from documents where doc_id % 3 = 2 and length(text) >= 60""")
@@ -110,7 +110,7 @@ def held_out(docs):
     return docs.where(fold != 0), docs.where(fold == 0)
 
 
-@query("h8_detect_language", "documents")
+@query("h8_detect_language", "documents", heavy=True)
 def h8(docs):
     return L.detect(docs, L.fit(held_out(docs)[0]), keep=("lang",))
 
@@ -125,7 +125,7 @@ def h8_accuracy(docs):
     )
 
 
-@query("h9_row_language", "documents", sql="""
+@query("h9_row_language", "documents", heavy=True, sql="""
     select doc_id, lang language from documents where doc_id % 3 = 0 or length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) >= 200""")
 def h9(docs):
     """Two thirds of the rows declare no language; of these, texts of 200 letters or more are looked at."""
@@ -135,7 +135,7 @@ def h9(docs):
     return L.row_language(rows, L.fit(docs), "declared")
 
 
-@query("h20_admit_documents", "documents", sql="""
+@query("h20_admit_documents", "documents", heavy=True, sql="""
     select doc_id, case when doc_id % 11 = 0 then 'not_text' when lang in ('fr', 'de') then 'unsupported_language' when doc_id % 10 in (2, 3, 4, 5, 6, 7, 8) then 'unsafe_document' else 'admitted' end outcome
     from documents where length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) >= 200""")
 def h20(docs):
@@ -145,12 +145,12 @@ def h20(docs):
     return G.admit_documents(some, L.fit(docs)).select("doc_id", "outcome")
 
 
-@query("h28_classifier_windows", "md_docs")
+@query("h28_classifier_windows", "md_docs", heavy=True)
 def h28(docs):
     return G.classifier_windows(docs).select("doc_id", "window", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("h"))
 
 
-@query("k2_with_detector", "documents")
+@query("k2_with_detector", "documents", heavy=True)
 def k2(docs):
     score = lambda texts: [min(1.0, t.count("e") / max(1, len(t)) * 5) for t in texts]
     return detector_verdict(G.with_detector(G.classifier_windows(docs), score))

@@ -68,19 +68,19 @@ def d24(cases):
     return blocked.unionByName(benign).unionByName(part("model", cases.where("stage = 'passed'"), "strategy", F.col("outcome") == "leaked"))
 
 
-@query("d32_coverage", "md_docs")
+@query("d32_coverage", "md_docs", heavy=True)
 def d32(docs):
     three = docs.select("doc_id", F.concat("text", F.lit("\n## Part C\n"), "text").alias("text"))
     quotes = three.select("doc_id", F.array_join(F.slice(F.split("text", " "), 4, 6), " ").alias("quote"))
     return C.coverage(quotes, three)
 
 
-@query("h26_readable_passages", "md_docs")
+@query("h26_readable_passages", "md_docs", heavy=True)
 def h26(docs):
     return C.readable_passages(docs)
 
 
-@query("e12_pick_sections", "md_docs")
+@query("e12_pick_sections", "md_docs", heavy=True)
 def e12(docs):
     return V.pick_sections(C.section_rows(docs, least_tokens=40).withColumn("topic", F.lit("part of the doc")), F.col("topic"), 1).select("doc_id", "section")
 

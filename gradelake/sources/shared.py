@@ -39,3 +39,17 @@ def drain(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame
         return out.drop("__batch")
     rest = [c for c in out.columns if c not in (*keys, "__batch")]
     return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("r")).select(*keys, "r.*")
+
+
+#: A table of under so many bytes for each core may lie in fewer parts than there are cores.
+SMALL_SHARE = 32 << 20
+
+
+def dealt_out(rows: DataFrame, path: str) -> DataFrame:
+    """rows of a small table, dealt over all cores: a file of one row group is read by one task, whatever comes after it. A
+    table of more than SMALL_SHARE bytes a core has parts enough and is not shuffled."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return rows.repartition(cores) if size < SMALL_SHARE * cores else rows
