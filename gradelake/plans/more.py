@@ -128,10 +128,16 @@ def h35(b, docs):
     return out.select("quiz_id", "steering", F.round("topic_share", 6).alias("topic_share"))
 
 
-@query("h37_embed_paragraph", "documents", sql="select doc_id, length(text) + 2 + 6 n_chars from documents where text not like concat('%', chr(10), chr(10), '%')")
+@query("h37_embed_paragraph", "documents", sql=r"""
+    with p as (select doc_id, string_split(regexp_replace(trim(text, chr(10)), '\n+', chr(10) || chr(10), 'g'), chr(10) || chr(10)) p from documents), q as (select doc_id, p, doc_id % len(p) k from p)
+    select doc_id, sha256(array_to_string(p[1:k] || ['attack ' || doc_id] || p[k + 1:], chr(10) || chr(10))) h, k as position from q""")
 def h37(docs):
-    one = docs.where(~F.contains("text", F.lit("\n\n")) & ~F.col("text").rlike(r"\n\s*\n"))
-    return one.select("doc_id", F.length(V.embed_paragraph(F.col("text"), F.lit("attack"), F.col("doc_id"))).cast("long").alias("n_chars"))
+    """Lines as paragraphs: the attack stands before the one whose number is the id modulo their count."""
+    text = F.regexp_replace(F.regexp_replace("text", r"^\n+|\n+$", ""), r"\n+", "\n\n")
+    rows = docs.select("doc_id", text.alias("text"))
+    put = V.embed_paragraph(F.col("text"), F.concat(F.lit("attack "), "doc_id"), F.col("doc_id"))
+    n = F.size(F.split("text", "\n\n"))
+    return rows.select("doc_id", F.sha2(put, 256).alias("h"), F.pmod("doc_id", n).alias("position"))
 
 
 @query("g2_build_cases", "cases", sql="select 'A-' || case_id id, dataset from cases where stage <> 'error' union all select 'B-' || case_id, dataset from cases where blocked_language union all select 'E-' || case_id, dataset from cases where role = 'attack'")

@@ -91,10 +91,7 @@ def e5(attempts):
     select a.attempt_id, q.question_id, cast(q.position as int) as position, round(s.score, 6) score, len(q.options) n_options, cast(list_sum(list_transform(q.options, lambda o, i: case when list_contains(q.correct, i - 1) then 1 else 0 end)) as bigint) n_correct
     from attempts a join questions q on a.quiz_id = q.quiz_id left join {SCORES} s on s.attempt_id = a.attempt_id and s.position = q.position""")
 def c3(attempts, questions, answers):
-    a = chosen(answers)
-    scores = S.question_scores(a).withColumnsRenamed({"attempt_id": "x", "position": "y"})
-    full = a.join(scores, (F.col("attempt_id") == F.col("x")) & (F.col("position") == F.col("y"))).select("attempt_id", "position", "selected", "score")
-    out = S.attempt_breakdown(attempts, questions, full)
+    out = S.attempt_breakdown(attempts, questions, S.question_scores(chosen(answers), "selected"))
     return out.select("attempt_id", "question_id", "position", F.round("score", 6).alias("score"), F.size("options").cast("long").alias("n_options"), F.size(F.filter("options", lambda o: o["is_correct"])).cast("long").alias("n_correct"))
 
 
