@@ -17,13 +17,13 @@ class Query:
     reads: tuple[str, ...]
     make: Callable[..., DataFrame]
     sql: str | None
-    heavy: bool = False  # much work for each row of the first relation, which is made of documents or pages
+    heavy: bool = False  # much work for each row of the first relation
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         first, *others = (relation(spark, sf_dir, r) for r in self.reads)
         if self.heavy:
-            table = "pages" if self.reads[0] == "pages" else "documents"
-            first = dealt_out(first, f"{sf_dir}/{table}.parquet")
+            made_of = {"pages": "pages", "attempts": "orders"}.get(self.reads[0], "documents")
+            first = dealt_out(first, f"{sf_dir}/{made_of}.parquet")
         return self.make(first, *others)
 
 

@@ -87,7 +87,7 @@ def e5(attempts):
     return attempts.where("status = 'in_progress'").select("attempt_id", "user_id", "quiz_id", F.first("attempt_id").over(w).alias("resumed"))
 
 
-@query("c3_attempt_breakdown", "attempts", "questions", "answers", sql=f"""
+@query("c3_attempt_breakdown", "attempts", "questions", "answers", heavy=True, sql=f"""
     select a.attempt_id, q.question_id, cast(q.position as int) as position, round(s.score, 6) score, len(q.options) n_options, cast(list_sum(list_transform(q.options, lambda o, i: case when list_contains(q.correct, i - 1) then 1 else 0 end)) as bigint) n_correct
     from attempts a join questions q on a.quiz_id = q.quiz_id left join {SCORES} s on s.attempt_id = a.attempt_id and s.position = q.position""")
 def c3(attempts, questions, answers):
