@@ -166,9 +166,19 @@ def e6(questions):
 
 
 @query("h22_lint_questions", "questions", sql="""
-    select question_id, concat_ws(',', case when len(correct) > 1 then 'marks_several_asks_one' end, case when len(correct) = 1 and length(options[correct[1] + 1]) > 60 and length(options[correct[1] + 1]) > 2 * list_max(list_transform(options, lambda o, i: case when i = correct[1] + 1 then 0 else length(o) end)) then 'give_away_length' end) issues from questions""")
+    with q as (select question_id, question_id % 5 kind, correct, case question_id % 5 when 1 then options[1:3] || ['None of the above'] when 2 then ['a) ' || options[1]] || options[2:4] else options end o from questions),
+    n as (select *, length(o[correct[1] + 1]) own, list_max(list_transform(o, lambda x, i: case when i = correct[1] + 1 then 0 else length(x) end)) rest from q)
+    select question_id, concat_ws(',', case when kind = 0 and len(correct) < 2 then 'asks_several_marks_one' end, case when len(correct) > 1 and kind not in (0, 3) then 'marks_several_asks_one' end, case when kind = 1 then 'all_or_none' end, case when kind = 2 then 'letter_prefix' end,
+        case when len(correct) = 1 and own > 60 and own > 2 * rest then 'give_away_length' end) issues from n""")
 def h22(questions):
-    return questions.select("question_id", F.array_join(C.lint(F.col("prompt"), F.col("options"), F.col("correct")), ",").alias("issues"))
+    """A fifth of the questions each: asks for all, has an option for the others, a numbered option, admits several, is as it is."""
+    kind, o = F.col("question_id") % 5, F.col("options")
+    prompt = F.when(kind == 0, F.concat(F.lit("Select all that apply: "), "prompt")).when(kind == 3, F.concat("prompt", F.lit(" (puede haber más de una)"))).otherwise(F.col("prompt"))
+    other = F.concat(F.slice(o, 1, 3), F.array(F.lit("None of the above")))
+    numbered = F.concat(F.array(F.concat(F.lit("a) "), F.get(o, F.lit(0)))), F.slice(o, 2, 3))
+    options = F.when(kind == 1, other).when(kind == 2, numbered).otherwise(o)
+    q = questions.select("question_id", prompt.alias("prompt"), options.alias("options"), "correct")
+    return q.select("question_id", F.array_join(C.lint(F.col("prompt"), F.col("options"), F.col("correct")), ",").alias("issues"))
 
 
 @query("h23_tfidf_tokens", "conversations", sql=rf"""
