@@ -3,8 +3,8 @@
 Sorting every suffix of a corpus moves each byte hundreds of times. Here suffixes start at anchors only: of every string of `width` bytes the gram (half as long) with
 the least hash is its anchor, so equal strings have their anchor at the same place and meet in the group of that anchor. What a group holds are segments: all strings
 of one anchor, with the bytes around it. Equal segments are one, with a count, and need no bytes at all. Where a group has different segments, their right-hand sides are
-sorted: multikey quicksort orders them to a shallow depth, then a blind trie orders those with a longer common prefix; its nodes say which share how many bytes to the
-right, and the left-hand sides of a node's members, sorted, how many to the left. Strings that lie in both are repeated.
+sorted: multikey quicksort orders them to a shallow depth past the anchor, then a blind trie orders those with a longer common prefix; runs of the order say which share how
+many bytes to the right, and the left-hand sides of a run's members, sorted, how many to the left. Strings that lie in both are repeated.
 """
 
 from __future__ import annotations
@@ -126,12 +126,12 @@ def common(a: bytes, b: bytes) -> int:
     return low
 
 
-def multikey(idx: list[int], keys: list[bytes], depth: int = 0, step: int = 8) -> Iterator[tuple[int, list[int]]]:
-    """Ternary quicksort by `step` bytes at a time to SHALLOW depth: in order, groups with (at least) a common prefix of the given depth."""
+def multikey(idx: list[int], keys: list[bytes], depth: int = 0, until: int = SHALLOW, step: int = 8) -> Iterator[tuple[int, list[int]]]:
+    """Ternary quicksort by `step` bytes at a time, from a depth to which all are equal until another: in order, groups with (at least) a common prefix of the given depth."""
     todo = [(idx, depth)]
     while todo:
         idx, depth = todo.pop()
-        if len(idx) < 2 or depth >= SHALLOW:
+        if len(idx) < 2 or depth >= until:
             if idx:
                 yield depth, idx
             continue
@@ -140,7 +140,19 @@ def multikey(idx: list[int], keys: list[bytes], depth: int = 0, step: int = 8) -
         for i in idx:
             w = keys[i][depth : depth + step]
             (equal if w == pivot else less if w < pivot else more).append(i)
-        todo += [(more, depth), (equal, depth + len(pivot) if len(pivot) == step else SHALLOW), (less, depth)]
+        todo += [(more, depth), (equal, depth + len(pivot) if len(pivot) == step else until), (less, depth)]
+
+
+def intervals(order: list[int], keys: list[bytes]) -> Iterator[tuple[int, list[int]]]:
+    """(common prefix, members in order) of every longest run of sorted keys that have a prefix in common which their neighbours have not."""
+    open_: list[tuple[int, int]] = []
+    for k, same in enumerate([*(common(keys[i], keys[j]) for i, j in zip(order, order[1:])), -1]):
+        first = k
+        while open_ and open_[-1][0] > same:
+            depth, first = open_.pop()
+            yield depth, order[first : k + 1]
+        if not open_ or open_[-1][0] < same:
+            open_.append((same, first))
 
 
 class BlindTrie:
@@ -178,22 +190,16 @@ class BlindTrie:
     def _at(s: bytes, k: int) -> int:
         return s[k] if k < len(s) else -1
 
-    def nodes(self) -> Iterator[tuple[int, list[int]]]:
-        """(common prefix, members in order) of every node with at least two members."""
-        done: list[tuple[int, list[int]]] = []
-
-        def walk(node: tuple | list) -> list[int]:
-            if isinstance(node, list):
-                if len(node) > 1:
-                    done.append((len(self.keys[node[0]]), node))
-                return node
-            members = [i for b in sorted(node[1]) for i in walk(node[1][b])]
-            done.append((node[0], members))
-            return members
-
-        if self.root is not None:
-            walk(self.root)
-        yield from done
+    def order(self) -> list[int]:
+        """All strings' indexes in order."""
+        out, todo = [], [self.root] if self.root is not None else []
+        while todo:
+            node = todo.pop()
+            if isinstance(node, tuple):
+                todo += [node[1][b] for b in sorted(node[1], reverse=True)]
+            else:
+                out += node
+        return out
 
 
 def repeated(segments: list[tuple[int, bytes]], width: int) -> list[list[tuple[int, int]]]:
@@ -201,20 +207,21 @@ def repeated(segments: list[tuple[int, bytes]], width: int) -> list[list[tuple[i
     right = [b[a:] for a, b in segments]
     left = [b[:a][::-1] for a, b in segments]
     found: list[list[tuple[int, int]]] = [[] for _ in segments]
-    for _, group in multikey(list(range(len(segments))), right):
-        if len(group) < 2:
-            continue
+    gram, order = right[0][: width // 2], []
+    shallow = len(gram) if all(r.startswith(gram) for r in right) else 0  # anchors of one hash are one gram, in which there is nothing to sort
+    for _, group in multikey(list(range(len(segments))), right, shallow, shallow + SHALLOW):
         trie = BlindTrie(right)
         for i in group:
             trie.add(i)
-        for shared, members in trie.nodes():
-            order = sorted(members, key=left.__getitem__)
-            near = [common(left[i], left[j]) for i, j in zip(order, order[1:])]
-            for i, before, after in zip(order, [0, *near], [*near, 0]):
-                a, to_left = segments[i][0], max(before, after)
-                first, last = a - to_left, a + shared - width
-                if last >= first:
-                    found[i].append((max(0, first), last + 1))
+        order += trie.order()
+    for shared, members in intervals(order, right):
+        inner = sorted(members, key=left.__getitem__)
+        near = [common(left[i], left[j]) for i, j in zip(inner, inner[1:])]
+        for i, before, after in zip(inner, [0, *near], [*near, 0]):
+            a, to_left = segments[i][0], max(before, after)
+            first, last = a - to_left, a + shared - width
+            if last >= first:
+                found[i].append((max(0, first), last + 1))
     return found
 
 
@@ -256,8 +263,8 @@ def remove_repeats(
     in overlapping blocks. Repeated rows are copies: all lose everything from width bytes on. Null ids change nothing, nor do further columns of any name. An empty
     table gives no rows. Kept text is decoded with U+FFFD where a cut splits a character.
     Equal texts are sorted once, equal segments are only counted. A group with more than most_in_group different segments (an edge of a passage that very many texts
-    hold) would be too much for one task: Spark takes its multikey steps, to the full depth of `width` bytes, by dealing and counting the group's strings (as
-    128-bit keys), where equal keys need no further order. Any share of the rows may fall in one group, and the result does not depend on most_in_group.
+    hold) would be too much for one task: it is not sorted; Spark deals and counts all of its strings of `width` bytes by 128-bit keys instead. Any share of the
+    rows may fall in one group, and the result does not depend on most_in_group.
     """
     if not 32 <= width < 1 << PLACE:
         raise ValueError(f"width must be at least 32 and less than {1 << PLACE}")

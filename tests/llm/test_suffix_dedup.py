@@ -69,13 +69,39 @@ def test_multikey_and_trie_order_strings():
         trie = suffix_dedup.BlindTrie(keys)
         for i in group:
             trie.add(i)
-        nodes = list(trie.nodes())
-        whole = max(nodes, key=lambda x: len(x[1]))[1] if nodes else group
+        whole = trie.order()
         assert sorted(whole) == sorted(group)
         order += whole
     assert [keys[i] for i in order] == sorted(keys)
 
 
+def test_multikey_splits_what_follows_an_anchor():
+    """All of a group begin with its anchor: sorting starts behind it, and strings that part there are still found repeated."""
+    rng, gram = random.Random(4), bytes(range(100))
+    keys = [gram + bytes(rng.choices(b"ab", k=60)) for _ in range(400)]
+    groups = list(suffix_dedup.multikey(list(range(400)), keys, 100, 132))
+    assert len(groups) > 300 and all(len({keys[i][:depth] for i in g}) == 1 for depth, g in groups)
+    assert [keys[i] for i in (i for _, g in suffix_dedup.multikey(list(range(400)), keys, 100, 160) for i in g)] == sorted(keys)
+    before = bytes(rng.choices(b"xyz", k=95))
+    found = suffix_dedup.repeated([(95, before + gram + tail) for tail in (b"12345" + b"p" * 60, b"12345" + b"q" * 60, b"1234" + b"r" * 60)], 200)
+    assert found == [[(0, 1)], [(0, 1)], []]
+
+
+def test_runs_of_sorted_strings():
+    rng = random.Random(5)
+    keys = sorted(bytes(rng.choices(b"ab", k=rng.randint(1, 9))) for _ in range(80))
+    got = {(depth, tuple(run)) for depth, run in suffix_dedup.intervals(list(range(80)), keys)}
+    want = set()
+    for a in range(80):
+        for b in range(a + 1, 80):
+            depth = min(suffix_dedup.common(keys[k], keys[k + 1]) for k in range(a, b))
+            if (a == 0 or suffix_dedup.common(keys[a - 1], keys[a]) < depth) and (b == 79 or suffix_dedup.common(keys[b], keys[b + 1]) < depth):
+                want.add((depth, tuple(range(a, b + 1))))
+    assert got == want
+    deep = [b"a" * k for k in range(3000)]  # no recursion, however deep
+    assert len(list(suffix_dedup.intervals(list(range(3000)), deep))) == 2999
+
+
 def run(spark, docs, **more):
     rows = suffix_dedup.remove_repeats(docs, **more).collect()
     return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows)
