@@ -3,7 +3,9 @@
 Cosine >= t between unit vectors is Euclidean distance <= r = sqrt(2 - 2t). A bounded sample of vectors serves as pivots;
 a vector's home is the cell of its nearest pivot. If x has home i and y has home j and |x - y| <= r, the triangle inequality
 (in its sharper half-space form) gives (|y - p_i|^2 - |y - p_j|^2) / (2 |p_i - p_j|) <= r, so y is copied into every cell where that
-holds and each cell finds all partners of its own vectors alone. Pivots move work between tasks and never change the result.
+holds. Cells are split into blocks, and each pair of blocks is one tile that judges its pairs of vectors once: a vector goes to the tiles
+of its own block with those of its own cell and of the cells that must see it, so copies grow with the blocks of a group and not with
+the square of a cell. Pivots move work between tasks and never change the result.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from gradelake.llm.common import components, cut
 
 #: Rounding of sums over a few thousand doubles stays far below this; it only widens what is copied.
 SLACK = 1e-9
+#: So many rows of a tile are compared at once.
+CHUNK = 1024
 
 
 def _pivots(classes: DataFrame, n: int) -> np.ndarray:
@@ -37,22 +41,33 @@ def _unit(embeddings: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _forest(linked: np.ndarray) -> np.ndarray:
-    """Components of a 0/1 matrix between left and right rows, as a label for each right row and then each left row; -1: alone."""
-    left, right = np.full(linked.shape[0], -1), np.full(linked.shape[1], -1)
-    for i in range(linked.shape[0]):
+def _joined(linked: np.ndarray, start: int, left: np.ndarray, right: np.ndarray) -> None:
+    """Labels of the components between left and right rows (-1: alone), grown by a 0/1 matrix between the left rows from start and all right rows."""
+    for i in np.flatnonzero(linked.any(axis=1)):
         js = np.flatnonzero(linked[i])
-        if len(js):
-            old = np.unique(right[js])
-            for k in old[old >= 0]:
-                right[right == k] = i
-                left[left == k] = i
-            right[js] = left[i] = i
-    return np.concatenate([left, right])
+        old = np.unique(right[js])
+        for k in old[old >= 0]:
+            right[right == k] = start + i
+            left[left == k] = start + i
+        right[js] = left[start + i] = start + i
+
+
+def _tiles(placed: DataFrame, tile: int) -> DataFrame:
+    """Rows (label, rep, n, embedding, cells) once for each tile that must see them: tile (i, j), i <= j, of two blocks of a label, and
+    whether the row is of block i (left)."""
+    of_cell = placed.groupBy("label", F.col("cells")[0].alias("cell")).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("blocks"))
+    of_label = cut(of_cell.groupBy(F.col("label").alias("l")).agg(F.map_from_entries(F.collect_list(F.struct("cell", "blocks"))).alias("blocks")), "blocks")  # one entry a pivot
+    block = lambda cell, k: F.shiftleft(cell.cast("long"), 32) + k
+    home, blocks = F.col("cells")[0], F.col("blocks")
+    blocks_of = lambda c: F.transform(F.sequence(F.lit(0), blocks[c] - 1), lambda k: block(c, k))
+    seen = F.flatten(F.transform(F.filter("cells", lambda c: F.map_contains_key(blocks, c)), blocks_of))
+    own = block(home, F.pmod(F.xxhash64("rep"), blocks[home]))
+    each = placed.join(of_label, F.col("label") == F.col("l")).withColumn("own", own).withColumn("other", F.explode(seen))
+    return each.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "rep", "n", "embedding")
 
 
 def range_join(
-    vectors: DataFrame, threshold: float = 0.93, per_pivot: int = 16384, max_pivots: int = 64, tile: int = 1024,
+    vectors: DataFrame, threshold: float = 0.93, per_pivot: int = 16384, max_pivots: int = 64, tile: int = 8192,
     id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label",
 ) -> DataFrame:
     """All rows of vectors with n_links, component_id and kept.
@@ -63,7 +78,8 @@ def range_join(
     components, or its group or id is null (a null id gives null component_id and kept true). Vectors of different length do not link.
     Equal vectors of a group are one class that is joined once and counted with its size; repeated rows are rows of their class, and
     rows that share an id are one node. Other columns of the input, whatever their names, are not looked at.
-    per_pivot, max_pivots: a pivot for so many classes, up to a bound. tile: cells of more rows are joined as blocks of about so many.
+    per_pivot, max_pivots: a pivot for so many classes of the largest group, up to a bound. tile: cells of more rows are joined as
+    blocks of about so many.
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(group_col).alias("label"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf")))
@@ -71,7 +87,7 @@ def range_join(
     rows = rows.withColumn("usable", usable)
     good = rows.where("usable")
     classes = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-    n_classes = classes.count()
+    n_classes = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     pivots = _pivots(classes, max(1, min(max_pivots, -(-n_classes // per_pivot))))
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
@@ -93,29 +109,33 @@ def range_join(
 
     kinds = {c: classes.schema[c].dataType.simpleString() for c in ("label", "rep", "embedding")}
     placed = cut(classes.select("label", "rep", "n", "embedding").mapInArrow(place, f"label {kinds['label']}, rep {kinds['rep']}, n long, embedding {kinds['embedding']}, cells array<int>"), "placed")
-    spread = placed.select("label", "rep", "n", "embedding", F.posexplode("cells").alias("p", "cell")).withColumn("home", F.col("p") == 0)
-    blocks = cut(spread.groupBy("label", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / tile)).cast("int").alias("blocks")).withColumnRenamed("label", "l").withColumnRenamed("cell", "c"), "blocks")
-    tiled = spread.join(blocks, (F.col("label") == F.col("l")) & (F.col("cell") == F.col("c"))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    as_left = tiled.where("home").withColumn("other", F.explode(every)).select("label", "cell", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left"), "rep", "n", "embedding")
-    as_right = tiled.withColumn("other", F.explode(every)).select("label", "cell", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"), "rep", "n", "embedding")
+    tiled = _tiles(placed, tile)
 
     def join(g: pa.Table) -> pa.Table:
-        """Of one tile: how many rows each left class links with (a = b), and a spanning forest of the links (a <> b)."""
+        """Of one tile: how many rows each class links with (a = b), and a spanning forest of the links (a <> b)."""
         g, out = g.combine_chunks(), []
-        size = pc.list_value_length(g["embedding"])
+        size, alone = pc.list_value_length(g["embedding"]), g["i"][0] == g["j"][0]  # alone: a block with itself
         for n in pc.unique(size).to_pylist():
             own = g.filter(pc.equal(size, n))
-            a, b = own.filter(own["left"]), own.filter(pc.invert(own["left"]))
+            a = own.filter(own["left"])
+            b = a if alone else own.filter(pc.invert(own["left"]))
             if not len(a) or not len(b):
                 continue
-            linked = _unit(a["embedding"].combine_chunks()) @ _unit(b["embedding"].combine_chunks()).T >= threshold
-            ids_a, ids_b = a["rep"].to_numpy(), b["rep"].to_numpy()
-            linked &= ids_a[:, None] != ids_b[None]
-            links = linked @ b["n"].to_numpy()
-            some = links > 0
-            out.append((ids_a[some], ids_a[some], links[some]))
-            label, ids = _forest(linked), np.concatenate([ids_a, ids_b])
+            x, ids_a = _unit(a["embedding"].combine_chunks()), a["rep"].to_numpy()
+            y, ids_b = (x, ids_a) if alone else (_unit(b["embedding"].combine_chunks()), b["rep"].to_numpy())
+            weight_a, weight_b = a["n"].to_numpy(), b["n"].to_numpy()
+            left, right = np.full(len(x), -1), np.full(len(y), -1)
+            links_a, links_b = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+            for start in range(0, len(x), CHUNK):  # the whole matrix of a tile would be large
+                at = slice(start, start + CHUNK)
+                linked = x[at] @ y.T >= threshold
+                linked &= ids_a[at, None] != ids_b[None]
+                links_a[at], links_b = linked @ weight_b, links_b + weight_a[at] @ linked
+                _joined(linked, start, left, right)
+            for ids, links in ((ids_a, links_a),) if alone else ((ids_a, links_a), (ids_b, links_b)):
+                some = links > 0
+                out.append((ids[some], ids[some], links[some]))
+            label, ids = np.concatenate([left, right]), np.concatenate([ids_a, ids_b])
             for k in np.unique(label[label >= 0]):
                 members = np.unique(ids[label == k])
                 out.append((members[1:], np.repeat(members[:1], len(members) - 1), np.zeros(len(members) - 1, np.int64)))
@@ -123,7 +143,7 @@ def range_join(
         kind = g.schema.field("rep").type
         return pa.table({"a": pa.array(columns[0]).cast(kind), "b": pa.array(columns[1]).cast(kind), "links": pa.array(columns[2], pa.int64())})
 
-    found = cut(as_left.unionByName(as_right).groupBy("label", "cell", "i", "j").applyInArrow(join, f"a {kinds['rep']}, b {kinds['rep']}, links long"), "links")
+    found = cut(tiled.groupBy("label", "i", "j").applyInArrow(join, f"a {kinds['rep']}, b {kinds['rep']}, links long"), "links")
     links = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "r")
     roots = components(found.where("a <> b").select("a", "b"))
     known = cut(

@@ -40,6 +40,17 @@ def test_against_brute_force_in_many_cells_and_tiles(spark):
     assert run(spark, rows) == want
 
 
+def test_a_vector_goes_to_no_more_tiles_than_its_group_has_blocks(spark):
+    """Cells of random vectors see each other all: tiles of the square of a cell's blocks would take ten times as many rows."""
+    every = list(range(6))
+    rows = [(1, i, 1, [1.0], [i % 6, *(c for c in every if c != i % 6)]) for i in range(1200)]
+    placed = spark.createDataFrame(rows, "label int, rep long, n long, embedding array<float>, cells array<int>")
+    tiles = near_vectors._tiles(placed, 50)
+    assert tiles.count() == 1200 * 24
+    pairs = tiles.groupBy("i", "j").count().collect()
+    assert len(pairs) == 24 * 25 // 2 and sum(r["i"] == r["j"] for r in pairs) == 24
+
+
 def test_copies_and_chains(spark):
     angle = lambda d: [float(np.cos(d)), float(np.sin(d))]
     rows = [(i, angle(0.3 * i), 1) for i in range(8)] + [(100 + i, [1.0, 0.0], 1) for i in range(30)]
