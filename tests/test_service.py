@@ -70,3 +70,13 @@ def test_overall_scores_renormalise_and_gate(spark):
     df = spark.createDataFrame(rows, "scores map<string,double>")
     assert [r["quality"] for r in E.quality_overall(df).collect()] == [pytest.approx((0.45 * 0.8 + 0.15) / 0.6), None, 0.0, None, 1.0]
     assert [r["composite"] for r in E.composite(df).collect()] == [pytest.approx((0.35 * 0.8 + 0.1) / 0.45), 0.0, 0.0, 0.0, 1.0]
+
+
+def test_quizzes_that_share_questions_do_not_copy_them(spark):
+    """Questions are nested for each quiz that has them, not for each that shares them: no join below the nesting."""
+    z = spark.createDataFrame([(k, 1, "ready") for k in (1, 4, 7, 8)], "quiz_id long, source_id long, status string")
+    jobs = spark.createDataFrame([(k, 1, "succeeded") for k in (1, 4, 7, 8)], "quiz_id long, attempt_no int, status string")
+    src = spark.createDataFrame([(1, 5, "en")], "source_id long, n_chars long, lang string")
+    q = spark.createDataFrame([(1, 2, 11, "b", ["x"], [0]), (1, 1, 10, "a", ["x"], [0])], "quiz_id long, position int, question_id long, prompt string, options array<string>, correct array<int>")
+    got = R.scoring_input(jobs, z, src, q, F.col("quiz_id") % 3).collect()
+    assert sorted((r["quiz_id"], r["questions"] and [x["prompt"] for x in r["questions"]]) for r in got) == [(1, ["a", "b"]), (4, ["a", "b"]), (7, ["a", "b"]), (8, None)]
