@@ -80,3 +80,18 @@ def test_quizzes_that_share_questions_do_not_copy_them(spark):
     q = spark.createDataFrame([(1, 2, 11, "b", ["x"], [0]), (1, 1, 10, "a", ["x"], [0])], "quiz_id long, position int, question_id long, prompt string, options array<string>, correct array<int>")
     got = R.scoring_input(jobs, z, src, q, F.col("quiz_id") % 3).collect()
     assert sorted((r["quiz_id"], r["questions"] and [x["prompt"] for x in r["questions"]]) for r in got) == [(1, ["a", "b"]), (4, ["a", "b"]), (7, ["a", "b"]), (8, None)]
+
+
+def test_breakdown_does_not_shuffle_attempts_times_questions(spark):
+    a = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "attempt_id long, quiz_id long")
+    q = spark.createDataFrame([(7, 10, 1, ["x", "y"], [0]), (7, 11, 2, ["x", "y"], [1])], "quiz_id long, question_id long, position int, options array<string>, correct array<int>")
+    s = spark.createDataFrame([(1, 1, [0], 4.0), (1, 1, [1], 0.0), (2, 2, [1], 4.0), (2, 9, [1], 4.0)], "attempt_id long, position int, selected array<int>, score double")
+    out = S.attempt_breakdown(a, q, s)
+    got = sorted((r["attempt_id"], r["question_id"], -1 if r["score"] is None else r["score"], [o["is_correct"] for o in r["options"]], [o["selected"] for o in r["options"]]) for r in out.collect())
+    assert got == [
+        (1, 10, 0.0, [True, False], [False, True]), (1, 10, 4.0, [True, False], [True, False]), (1, 11, -1, [False, True], [False, False]),
+        (2, 10, -1, [True, False], [False, False]), (2, 11, 4.0, [False, True], [False, True]),
+    ]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(plan) if "Join" in line]
+    assert len(joins) == 2 and "quiz_id" in plan[joins[0]]  # what multiplies the rows comes last
