@@ -29,6 +29,26 @@ def test_corpus_results_and_outputs(spark, tmp_path):
     assert sorted(r["status"] for r in files.parse_outputs(rows, "output", T.StructType.fromDDL("status string, n int")).collect()) == ["error", "error", "ok"]
 
 
+def test_every_result_file_is_read_whole(spark):
+    """Two thousand rows are two files: a file with two JSON texts is read to the end of the first."""
+    from gradelake.plans.sources import _results
+
+    docs = spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("s").alias("source")).coalesce(1)
+    assert _results(docs).agg(F.count("id"), F.sum("id")).first()[:] == (2500, 2500 * 2499 // 2)
+
+
+def test_a_table_in_several_files_is_a_stream(spark, tmp_path):
+    from gradelake.plans.streams import table_stream
+
+    for name, parts in (("events", 3), ("documents", 1)):
+        spark.range(9).repartition(parts).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert drain(table_stream(spark, str(tmp_path), "events"), "append").count() == 9
+    (part,) = (tmp_path / "documents.parquet").glob("part-*")
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "events.parquet").write_bytes(part.read_bytes())
+    assert drain(table_stream(spark, str(tmp_path / "one"), "events"), "append").count() == 9
+
+
 def test_runs_are_never_overwritten(spark, tmp_path):
     base = f"file://{tmp_path}/runs"
     files.write_run(spark.range(3).repartition(2), base, "a")
