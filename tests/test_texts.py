@@ -131,3 +131,20 @@ def test_best_of_tiles_is_that_of_all_pairs(spark):
         each = expected(rows, rows, lambda a, b: a[1] == b[1] and a[0] != b[0])
         assert got == {k: max(v for (_, m), v in each.items() if m == k) for k in {m for _, m in each}}
     assert C.best_of_others(left.limit(0), right, "label").count() == 0 and C.max_pairwise(df.limit(0), "label").count() == 0
+
+
+def test_route_changes_at_the_length_that_its_sql_names(spark):
+    from gradelake.plans.texts import h4
+
+    rows = [(4 * n, f"# Doc {4 * n}\nab \n\n## Part B\n# c") for n in range(3590, 3600)]
+    docs = spark.createDataFrame([(i, t + "d" * (i // 4 - len(t))) for i, t in rows], "doc_id long, text string")
+    got = {r["doc_id"] // 4: r["strategy"] for r in h4(docs).collect()}
+    assert got == {n: "section-map-reduce" if 5 * (n + 7) - 1 > 4 * 4500 else "single-shot" for n in range(3590, 3600)}
+
+
+def test_attack_decision_of_passages_without_long_words(spark):
+    from gradelake.plans.more import h32
+
+    kinds = ["empty", "german", "no_demand", "role-play", "asks about the previous text", "other"]
+    b = spark.createDataFrame([(i, "Ciónos la de. Ñja es") for i in range(6)], "item_id long, text string")
+    assert [r["decision"] for r in h32(b).orderBy("item_id").collect()] == kinds
