@@ -222,13 +222,8 @@ def on_purpose(questions: DataFrame, words: str, off: str) -> DataFrame:
 
 def similarity_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per document: relevance, the mean over questions of the best cosine with a chunk, and question_diversity, 1 less the greatest cosine between two questions. (doc_id, id, text) each, ids distinct between the two."""
-    w = C.tfidf_weights(questions.unionByName(chunks), chunks)
-    qs = w.join(questions.select("doc_id", "id"), ["doc_id", "id"], "left_semi")
-    cs = w.join(questions.select("doc_id", "id"), ["doc_id", "id"], "left_anti")
-    relevance = C.sparse_best_match(qs, cs).groupBy("doc_id").agg(F.avg("best").alias("relevance"))
-    o = qs.select(F.col("doc_id").alias("d2"), F.col("id").alias("i2"), F.col("term").alias("t2"), F.col("weight").alias("w2"))
-    pairs = qs.join(o, (F.col("doc_id") == F.col("d2")) & (F.col("term") == F.col("t2")) & (F.col("id") < F.col("i2"))).groupBy("doc_id", "id", "i2").agg(F.sum(F.col("weight") * F.col("w2")).alias("cos"))
-    return relevance.join(pairs.groupBy("doc_id").agg(F.max("cos").alias("m")), "doc_id", "left").select("doc_id", "relevance", (1 - F.coalesce("m", F.lit(0.0))).alias("question_diversity"))
+    best = C.tfidf_best_match(questions, chunks, twins=True).groupBy("doc_id")
+    return best.agg(F.avg("best").alias("relevance"), (1 - F.max("twin")).alias("question_diversity"))
 
 
 def semantic_scores(questions: DataFrame, references: DataFrame, key: str, chunks: DataFrame | None = None, control: bool = True) -> DataFrame:
