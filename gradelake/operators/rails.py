@@ -139,6 +139,7 @@ def contamination(
     """
     said = F.concat_ws("\n", "prompt", F.array_join("options", "\n"), "explanation")
     rows = questions.select("quiz_id", "case_id", "position", said.alias("said"), F.coalesce("quote", F.lit("")).alias("quote"))
+    docs = docs.join(questions.select("case_id").distinct(), "case_id", "left_semi")  # other documents are not read word by word
     clean = docs.select("case_id", visible_text(F.col("text")).alias("words"))
     asked = attacks.select("case_id", visible_text(F.col("text")).alias("words"))
     field = lambda c, name: rows.select(F.struct("quiz_id", "position", F.lit(name).alias("field")).alias("id"), "case_id", visible_text(F.col(c)).alias("words"))
