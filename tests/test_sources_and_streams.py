@@ -1,5 +1,6 @@
 import json
 import re
+import uuid
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -11,6 +12,7 @@ from gradelake.sources.replace import ReplaceByKey
 from gradelake.sources.schemas import TABLES
 from gradelake.sources.shared import drain
 from gradelake.streaming import jobs as J
+from gradelake.streaming import stateful
 
 
 def test_tables_round_trip(spark, tmp_path):
@@ -118,6 +120,45 @@ def test_state_goes_when_a_key_is_still(spark, tmp_path):
             assert sorted(map(last, rows)) == sorted(want[name]), (name, still)
 
 
+def _state_rows(spark, out):
+    """Rows of state that a stream's first batch leaves."""
+    name = f"n{uuid.uuid4().hex}"
+    q = out.writeStream.outputMode("update" if "start" in out.columns else "append").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q.recentProgress[0]["stateOperators"][0]["numRowsTotal"]
+
+
+def test_keys_share_entries_of_state(spark, tmp_path, monkeypatch):
+    """Nine keys and a null one in two slots, over three batches: each key goes its own way, and three entries are kept."""
+    monkeypatch.setattr(stateful, "SLOTS", 2)
+    keys = [*range(9), None, 2**53 + 1]
+    batches = [[event(100 * n + i, 10 * n + i % 3, attempt_id=k) for i, k in enumerate(keys)] for n in range(3)]
+    got = {r["attempt_id"]: (r["submitted_by"], r["replays"]) for r in drain(J.submissions(stream(spark, tmp_path / "a", *batches)), "append", ("attempt_id",)).collect()}
+    assert got == {k: (i, 2) for i, k in enumerate(keys)}
+    assert _state_rows(spark, J.submissions(stream(spark, tmp_path / "b", batches[0]))) <= 3
+
+
+def test_a_timer_of_a_slot_ends_only_what_is_due(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "SLOTS", 1)
+    s = stream(spark, tmp_path, [event(1, 0, quiz_id=1, status="queued"), event(2, 0, quiz_id=2, status="generating")], [event(3, 10, quiz_id=3, status="failed")], [event(4, 40, quiz_id=3, status="failed")])
+    got = drain(J.stream_sweep(s), "append").collect()
+    start = 1_704_067_200_000
+    assert sorted(map(tuple, got)) == [(1, "requeue", start + 180_000), (2, "fail", start + 1_200_000)]
+
+
+def test_an_event_counts_in_few_states_of_quota_windows(spark, tmp_path):
+    rows = [event(1, 30, quiz_id=7), event(2, 23 * 60, quiz_id=7), event(3, 25 * 60, quiz_id=7)]
+    got = {(r["start"] - datetime(2024, 1, 1)) // HOUR: r["n"] for r in drain(J.quota_windows(stream(spark, tmp_path / "a", rows[:2], rows[2:]), "quiz_id"), "update", ("quiz_id", "start")).collect()}
+    want = {h: n for h in range(-30, 50) if (n := sum(h <= at < h + 24 for at in (0, 23, 25)))}
+    assert got == want
+    assert _state_rows(spark, J.quota_windows(stream(spark, tmp_path / "b", rows[:1]), "quiz_id")) == 2
+
+
+def test_one_batch_is_not_grouped_again(spark, tmp_path):
+    one = drain(J.quota_windows(stream(spark, tmp_path, [event(1, 0)]), "quiz_id"), "update", ("quiz_id", "start"))
+    assert one.count() == 24 and "Aggregate" not in one._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_late_phase_updates_change_nothing(spark, tmp_path):
     s = stream(spark, tmp_path, [event(1, 0), event(2, 1)], [event(3, 2, kind="ready")], [event(4, 3), event(5, 4, kind="failed")])
     assert [tuple(r) for r in drain(J.phase_updates(s), "append", ("quiz_id",)).collect()] == [(1, "ready", 2, 2)]
