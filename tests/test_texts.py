@@ -206,3 +206,44 @@ def test_attack_decision_of_passages_without_long_words(spark):
     kinds = ["empty", "german", "no_demand", "role-play", "asks about the previous text", "other"]
     b = spark.createDataFrame([(i, "Ciónos la de. Ñja es") for i in range(6)], "item_id long, text string")
     assert [r["decision"] for r in h32(b).orderBy("item_id").collect()] == kinds
+
+
+def test_marks_are_found_from_the_characters_they_begin_with():
+    """Wherever a look at every place finds the next mark, the quick look does; it is taken for texts without whole lines that are marks."""
+    import random
+
+    from gradelake.functions import reader as R
+
+    bits, rows = ["<!--", "-->", "<b>", "</p>", "<", "[", "![", "]", "](a(b))", "][x]", "!", "http", "https://a.b", "`c`", "`", " x ", "é", "_", "12.", "\n"], random.Random(3)
+    for _ in range(2_000):
+        t = "".join(rows.choices(bits, k=rows.randint(1, 15)))
+        for marked, every in ((False, R._MARK), (True, R._SKIPPABLE)):
+            find = R._finder(t, marked)
+            for at in range(len(t) + 1):
+                a, b = find(t, at), every.search(t, at)
+                assert (a and (a.span(), a.lastgroup)) == (b and (b.span(), b.lastgroup)), (t, at, marked)
+    assert R._finder("prose [with](a) https://a.b", False) != R._MARK.search and R._finder("```\n", False) == R._MARK.search
+
+
+def test_texts_that_go_to_python_are_stripped_there(spark):
+    rows = [("A\x01b\tc\x7f", "ab\tc"), ("​А\U000e0041\x85ﬁ﻿E", "afie"), ("ＡＢ­\x00", "ab"), (None, None)]
+    out = spark.createDataFrame(rows, "t string, want string").select(X.normalize_for_matching(F.col("t")).alias("got"), "want")
+    assert [r["got"] for r in out.collect()] == [w for _, w in rows]
+    assert X.INVISIBLE not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_tiles_are_multiplied_in_strips(spark, monkeypatch):
+    import inspect
+
+    monkeypatch.setattr(C, "STRIP", 3)
+    v = np.random.default_rng(5).normal(size=(40, 4))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, f"k{i % 3}", [float(x) for x in v[i]]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, label string, vector array<double>")
+    p = v @ v.T
+    for tile in (7, 8192):
+        got = {r["id"]: r["best"] for r in C.best_of_others(df.where("id < 20"), df.where("id >= 20"), "label", tile).collect()}
+        assert got == pytest.approx({i: max(p[i, j] for j in range(20, 40) if i % 3 != j % 3) for i in range(20)})
+        most = {r["label"]: r["max_cos"] for r in C.max_pairwise(df, "label", tile).collect()}
+        assert most == pytest.approx({f"k{k}": max(p[i, j] for i in range(k, 40, 3) for j in range(k, 40, 3) if i != j) for k in range(3)})
+    assert all(inspect.signature(f).parameters["tile"].default == 8192 for f in (C.best_match, C.max_pairwise, C.best_of_others))
