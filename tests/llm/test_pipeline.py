@@ -1,6 +1,8 @@
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gradelake.llm import pii, queries
 
@@ -39,3 +41,15 @@ def test_odd_documents(spark, odd_docs, tmp_path):
             stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{k}-{name}")
             now = spark.read.parquet(f"{tmp_path}/{k}-{name}")
         assert (now.count() == 0) == (k == 1)
+
+
+def test_batches_are_bounded_by_bytes(spark, small):
+    session = spark.newSession()
+    rows = session.range(0, 60, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 33_333).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(9).alias("n_chars"))
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    largest = lambda: rows.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    dict(corpus_pipeline.STAGES)["pii"](session, rows, small)
+    assert largest() < 3 << 20
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    dict(corpus_pipeline.STAGES)["pii"](session, rows, small)
+    assert largest() < 2 << 20
