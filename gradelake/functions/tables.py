@@ -2,6 +2,7 @@
 
     select * from sections(table(select doc_id, text from docs))
     select * from shingles(table(docs) partition by (doc_id), 5)
+    select doc_id, size(shingles) from shingle_sets(table(docs) partition by (doc_id), 5)
 
 Each takes a table whose first column is a key and whose second is a text; its output begins with the key.
 """
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import udtf
-from pyspark.sql.types import BooleanType, DataType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from gradelake.functions.reader import visible
@@ -67,6 +68,12 @@ class _Findings:
             yield rows[0], f["kind"], f["severity"], f["rule"], f["severity"] == "block"
 
 
+def _shingles(text: str, n: int) -> dict[str, None]:
+    """The different runs of n visible words, in order."""
+    words = visible(text).split()
+    return dict.fromkeys(map(" ".join, zip(*(words[k:] for k in range(n)))))
+
+
 class _Shingles:
     """(key, shingle) of each different run of n visible words of a text."""
 
@@ -77,12 +84,25 @@ class _Shingles:
         return _shaped(rows, shingle=StringType())
 
     def eval(self, rows: Row, n: int) -> Iterator[tuple]:
-        words = visible(rows[1] or "").split()
-        for run in dict.fromkeys(" ".join(words[i : i + n]) for i in range(len(words) - n + 1)):
+        for run in _shingles(rows[1] or "", n):
             yield rows[0], run
 
 
-FUNCTIONS = {"sections": _Sections, "windows": _Windows, "findings": _Findings, "shingles": _Shingles}
+class _ShingleSets:
+    """(key, shingles): those of shingles(), all of a text in one row. A text without any has no row."""
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, n: AnalyzeArgument) -> AnalyzeResult:
+        if n.isConstantExpression and (n.value or 0) < 1:
+            raise ValueError("a run has one word or more")
+        return _shaped(rows, shingles=ArrayType(StringType()))
+
+    def eval(self, rows: Row, n: int) -> Iterator[tuple]:
+        if runs := _shingles(rows[1] or "", n):
+            yield rows[0], list(runs)
+
+
+FUNCTIONS = {"sections": _Sections, "windows": _Windows, "findings": _Findings, "shingles": _Shingles, "shingle_sets": _ShingleSets}
 
 
 def register(spark: SparkSession) -> None:

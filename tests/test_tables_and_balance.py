@@ -60,6 +60,18 @@ def test_table_functions(spark):
             spark.sql(f"select * from {bad}").collect()
 
 
+def test_shingle_sets_are_the_shingles_of_a_text(spark):
+    tables.register(spark)
+    docs = [(1, "# A\none two three four one two three"), (2, None), (3, "one two"), (4, "a B a b a b")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    for n in (2, 3):
+        each = spark.sql(f"select doc_id, collect_list(shingle) from shingles(table({{docs}}) partition by (doc_id), {n}) group by doc_id", docs=docs).collect()
+        sets = spark.sql(f"select * from shingle_sets(table({{docs}}) partition by (doc_id), {n})", docs=docs).collect()
+        assert sorted(map(tuple, sets)) == sorted(map(tuple, each)) and len(sets) == (3 if n == 2 else 2)
+    with pytest.raises(Exception, match="word or more"):
+        spark.sql("select * from shingle_sets(table({docs}), 0)", docs=docs).collect()
+
+
 def test_sections_take_linear_time():
     text = "\n".join(f"line {k}" for k in range(200_000))
     assert [s[:2] for s in split_sections(text)] == [("(intro)", 0)]
