@@ -213,3 +213,16 @@ def test_retries(spark):
     df = spark.createDataFrame([(1,), (2,), (6,)], "received int")
     assert [tuple(r)[1:] for r in J.retry_plan(df).collect()] == [(20, False), (40, False), (300, True)]
     assert J.sweep(spark.createDataFrame([("queued", "2024-01-01 00:00:00", None, 0)], "status string, since string, scored_at string, scoring_attempts int"), F.lit("2024-01-01 00:04:00")).collect()[0]["action"] == "requeue"
+
+
+def test_corpus_of_many_files_is_read_by_few_tasks(spark, tmp_path):
+    rows = [(("en", "es", "a b")[k % 3], f"n {k}é", f"text {k}\r\nñ") for k in range(400)]
+    files.write_corpus(spark.createDataFrame(rows, "language string, name string, text string"), f"file://{tmp_path}/c")
+    for skipped in ("_x.md", ".y.md", "z.txt", "empty.md"):
+        (tmp_path / "c" / "en" / skipped).write_text("" if skipped == "empty.md" else "no")
+    (tmp_path / "c" / "en" / "broken.md").write_bytes(b"a\xffb")
+    got, plain = files.read_corpus(spark, f"file://{tmp_path}/c"), files.read_corpus(spark, f"file://{tmp_path}/[c]")  # a pattern: Spark's reader
+    assert got.rdd.getNumPartitions() == 1
+    key = lambda df: sorted(map(tuple, df.selectExpr("path", "hex(text)").collect()))
+    assert key(got) == key(plain) and len(key(got)) == 401
+    assert {r["language"] for r in got.collect()} == {"en", "es", "a b"}
